@@ -7,6 +7,7 @@ is a temporary folder of this machine taken.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -24,6 +25,13 @@ ARROW_ROWS = 512
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Hand text to Python in batches of few rows, whatever their length."""
     ship(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of jobs that are over: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def shared_dir(spark: SparkSession) -> str:

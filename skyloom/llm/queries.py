@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, scaled_sketch, simhash
+from . import byte_bpe, packing, quality_rules, scaled_sketch, simhash, token_files
 from .common import documents
 
 
@@ -13,6 +13,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_counts(documents(spark, sf_dir))
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, freq = token_files.write_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_tokens(spark, folder, freq)
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.encode_and_decode(documents(spark, sf_dir), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -22,8 +39,12 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled_sketch.sketch_and_edits(documents(spark, sf_dir))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op7_simhash_near_dedup, op8_document_fingerprints)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_token_id_files, op4_byte_bpe, op7_simhash_near_dedup, op8_document_fingerprints, op10_best_fit_packing)}
 
 
 OP1_SQL = r"""
