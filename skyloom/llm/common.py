@@ -73,6 +73,20 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def range_buckets(docs: DataFrame, key: str, count: int) -> list:
+    """At most ``count`` - 1 ascending bounds that split the keys about evenly."""
+    if count < 2:
+        return []
+    shares = ", ".join(str(i / count) for i in range(1, count))
+    found = docs.agg(F.expr(f"approx_percentile({key}, array({shares}), {20 * count})")).first()[0] or []
+    return sorted(set(found))
+
+
+def range_place(key: Column, bounds: list) -> Column:
+    """Number of the bounds below the key: the range that it is in."""
+    return F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < key)) if bounds else F.lit(0)
+
+
 def crc_mod(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``: the fold of a document."""
     return F.crc32(doc_id.cast("string").cast("binary")) % mod

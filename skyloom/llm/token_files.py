@@ -24,14 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, fresh_dir, release_shuffles, small_batches, stored
+from .common import discard, fresh_dir, range_buckets, range_place, release_shuffles, small_batches, stored
 from .rans import Coder, table_of
 from .token_ids import PieceEncoder, groups_by_size
 
 HEAD = struct.Struct("<4sIQI")
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 20
 FILE_IDS = 1 << 23
-LANES = 2048
+LANES = 8192
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -100,7 +100,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_i
     spark = docs.sparkSession
     encoder = PieceEncoder.of(tokenizer)
     wide, vocabulary = encoder.wide, max(encoder.library.get_vocab_size(), end_id + 1)
-    dealt = encoded(docs, tokenizer, end_id, key, text).repartitionByRange(F.col("key")).sortWithinPartitions("key", "ids")
+    # key ranges from the keys alone: a range partitioner would encode all texts once more to sample them
+    bounds = range_buckets(docs.select(F.col(key).cast("long").alias("k")), "k", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = encoded(docs, tokenizer, end_id, key, text).repartitionById(len(bounds) + 1, range_place(F.col("key"), bounds)).sortWithinPartitions("key", "ids")
     ids = stored(dealt.mapInArrow(_placed, "key long, ids binary, part int, before long"), "ids")
     del dealt
     release_shuffles(spark)

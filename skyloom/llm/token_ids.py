@@ -1,10 +1,10 @@
-"""Token ids of texts by a tokenizers file, many times each piece but encoded once.
+"""Token ids of texts by a tokenizers file, each distinct piece encoded once.
 
-A byte-level BPE file encodes each pre-token by itself, so the ids of a text are
-the ids of its pre-tokens in order.  A worker keeps the ids of the pieces that it
-has met, up to a bound; only new pieces go to the library.  Texts with a code point outside the
-blocks whose letter classes are the same in all Unicode versions go to the library
-whole.
+A byte-level BPE file encodes each pre-token (piece) by itself, so the ids of a
+text are the ids of its pieces in order.  A batch of texts is cut into pieces in
+numpy, pieces are told apart by a 64-bit hash, and only those that the worker
+hasn't met go to the library.  The numpy cut knows ASCII and the letters U+00C0 to
+U+017F; texts with other characters go to the library whole.
 """
 
 from __future__ import annotations
@@ -13,16 +13,81 @@ import os
 
 import numpy as np
 
-#: The pre-token pattern of the file's byte-level splitter (a fixed value of the format).
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Code points outside Latin, Greek, Cyrillic and general punctuation.
-ODD = "[^\x00-ͷЀ-ԯ -‧‪-⁤₠-₿]"
+from .common import utf8
+
 #: Pieces that a worker remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_500_000
 
 _made: dict[str, PieceEncoder] = {}
 
 
+#: Classes of bytes: letters (two-byte letters are letters byte by byte), digits, white space, others, not known here.
+LETTER, DIGIT, SPACE, OTHER, UNKNOWN = 1, 2, 3, 4, 5
+CLASSES = np.full(256, OTHER, np.uint8)
+CLASSES[[*range(65, 91), *range(97, 123)]] = LETTER
+CLASSES[48:58] = DIGIT
+CLASSES[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = SPACE
+CLASSES[28:32] = UNKNOWN  # splitters differ on these
+CLASSES[0x80:] = UNKNOWN
+CLASSES[0x80:0xC0] = LETTER
+CLASSES[[0xC3, 0xC4, 0xC5]] = LETTER
+_rng = np.random.default_rng(20_240_229)
+WEIGHT = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+BASE = 0x9E3779B97F4A7C15
+
+
+def powers(base: int, count: int) -> np.ndarray:
+    out = np.full(count, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def base_powers(count: int) -> list[np.ndarray]:
+    if len(_powers[0]) < count:
+        size = max(count, 1 << 20)
+        _powers[:] = [powers(BASE, size), powers(pow(BASE, -1, 1 << 64), size)]
+    return _powers
+
+
+def piece_starts(raw: np.ndarray, text_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(piece starts as a mask, class of each byte) of texts that stand one after another.
+
+    A run of white space before another character is cut before its last character;
+    a single blank joins what follows it.
+    """
+    kind = CLASSES[raw]
+    before = np.empty_like(kind)
+    before[0:1], before[1:] = 0, kind[:-1]
+    after = np.zeros_like(kind)
+    after[:-1] = kind[1:]
+    first = text_starts[text_starts < len(raw)]
+    before[first] = 0
+    inner = first[first > 0]
+    after[inner - 1] = 0
+    blank = np.zeros(len(raw), bool)
+    blank[1:] = (raw[:-1] == 32) & (before[1:] == SPACE)
+    white = kind == SPACE
+    start = np.where(white, (before != SPACE) | ((after != SPACE) & (after != 0)), (before != kind) & ~blank)
+    marks = np.flatnonzero((raw == 39) & start & (after == LETTER))
+    if len(marks):
+        follow = np.concatenate([raw, np.zeros(3, np.uint8)])
+        limit = np.append(first, len(raw))
+        end = limit[np.searchsorted(first, marks, side="right")]
+        one, two = follow[marks + 1], follow[marks + 2]
+        room = end - marks
+        length = np.where((room > 2) & (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))), 2, np.where(np.isin(one, np.frombuffer(b"stmd", np.uint8)), 1, 0))
+        marks, length, end = marks[length > 0], length[length > 0], end[length > 0]
+        start[marks + 1] = False
+        rest = marks + 1 + length
+        inside = rest < end
+        rest = rest[inside]
+        start[rest[kind[rest] == LETTER]] = True
+    return start, kind
+
+
 class PieceEncoder:
     """Texts to little-endian unsigned 16- or 32-bit ids; one per worker and file."""
 
@@ -34,10 +99,9 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.wide = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.split, self.odd = regex.compile(PIECES).findall, regex.compile(ODD).search
-        self.loose, self.plain = regex.compile(r" \s| $").search, regex.compile(r" ?\p{L}+").fullmatch
-        self.known, self.spaced = {}, {}
+        self.plain = regex.compile(r" ?\p{L}+").fullmatch
         self.line = self.library.encode("\n", add_special_tokens=False).ids
+        self.forget()
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
@@ -45,69 +109,99 @@ class PieceEncoder:
             _made[path] = cls(path)
         return _made[path]
 
-    def learn(self, pieces) -> None:
-        """Ask the library for pieces that aren't known yet.
+    def forget(self) -> None:
+        """Starts with no known pieces: number of a hash, and where its ids stand in the pool."""
+        self.known: dict[int, int] = {}
+        self.at, self.size, self.pool, self.filled = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.wide), 0
+
+    def library_ids(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of each piece.
 
         Pieces of letters go in one text with a line feed after each: the splitter
         ends a run of letters there and gives the line feed a token of its own.
         """
-        fresh = [p for p in pieces if p not in self.known]
-        runs = [p for p in fresh if self.plain(p)] if len(self.line) == 1 else []
+        out: dict[int, np.ndarray] = {}
+        runs = [i for i, p in enumerate(pieces) if self.plain(p)] if len(self.line) == 1 else []
         if runs:
-            ids = np.array(self.library.encode_batch_fast(["\n".join(runs) + "\n"], add_special_tokens=False)[0].ids, self.wide)
+            ids = np.array(self.library.encode_batch_fast(["\n".join([pieces[i] for i in runs]) + "\n"], add_special_tokens=False)[0].ids, self.wide)
             ends = np.flatnonzero(ids == self.line[0])
             if len(ends) == len(runs):
-                raw, size, at = ids.tobytes(), ids.itemsize, 0
-                for p, e in zip(runs, ends.tolist(), strict=True):
-                    self.known[p] = raw[at * size : e * size]
-                    at = e + 1
-                fresh = [p for p in fresh if p not in self.known]
-        for p, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, self.wide).tobytes()
+                out = {i: ids[a:b] for i, a, b in zip(runs, [0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True)}
+        rest = [i for i in range(len(pieces)) if i not in out]
+        for i, e in zip(rest, self.library.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, self.wide)
+        return [out[i] for i in range(len(pieces))]
+
+    def learn(self, hashes: list[int], pieces: list[str]) -> None:
+        ids = self.library_ids(pieces)
+        n, many = len(self.known), sum(map(len, ids))
+        while n + len(ids) > len(self.at):
+            self.at, self.size = np.append(self.at, np.zeros_like(self.at)), np.append(self.size, np.zeros_like(self.size))
+        while self.filled + many > len(self.pool):
+            self.pool = np.append(self.pool, np.zeros_like(self.pool))
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.at[n : n + len(ids)] = self.filled + np.cumsum(size) - size
+        self.size[n : n + len(ids)] = size
+        self.pool[self.filled : self.filled + many] = np.concatenate(ids)
+        self.filled += many
+        self.known.update(zip(hashes, range(n, n + len(ids)), strict=True))
+
+    def regular(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts that hold known characters only, none of them empty."""
+        whole = b"".join(texts)
+        raw = np.frombuffer(whole, np.uint8)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        firsts = np.cumsum(sizes) - sizes
+        start = np.flatnonzero(piece_starts(raw, firsts)[0])
+        up, down = base_powers(len(raw) + 1)
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(WEIGHT[raw] * up[: len(raw)], out=total[1:])
+        end = np.append(start[1:], len(raw))
+        h = (total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)
+        h ^= h >> np.uint64(32)
+        distinct, where, inverse = np.unique(h, return_index=True, return_inverse=True)
+        names = distinct.tolist()
+        number = list(map(self.known.get, names))
+        fresh = [i for i, k in enumerate(number) if k is None]
+        if fresh:
+            spans = zip(start[where[fresh]].tolist(), end[where[fresh]].tolist(), strict=True)
+            self.learn([names[i] for i in fresh], [whole[a:b].decode() for a, b in spans])
+            number = list(map(self.known.get, names))
+        number = np.array(number)[inverse]
+        size = self.size[number]
+        ends = np.cumsum(size)
+        ids = self.pool[np.repeat(self.at[number] - ends + size, size) + np.arange(ends[-1])]
+        cuts = np.append(0, ends)[np.append(np.searchsorted(start, firsts), len(start))]
+        raw_ids, wide = ids.tobytes(), ids.itemsize
+        return [raw_ids[a * wide : b * wide] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as bytes of ``wide``.
-
-        Where each space stands before a character that is no white space, the
-        splitter starts a piece at each space, so that the stretch from one space to
-        the next has its own ids: these are remembered too.
-        """
-        texts = [t or "" for t in texts]
+        """Ids of each text as bytes of ``wide``."""
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        if len(self.spaced) > REMEMBERED:
-            self.spaced = {}
-        way = ["odd" if self.odd(t) else "cut" if self.loose(t) else "spaced" for t in texts]
-        parts = [t.split(" ") if w == "spaced" else self.split(t) if w == "cut" else None for t, w in zip(texts, way, strict=True)]
-        fresh = set()
-        for p, w in zip(parts, way, strict=True):
-            if w == "spaced":
-                fresh.update(p[1:])
-        fresh = [c for c in fresh if c not in self.spaced]
-        cut = [self.split(" " + c) for c in fresh]
-        asked = set()
-        for p in cut:
-            asked.update(p)
-        for p, w in zip(parts, way, strict=True):
-            if w == "cut":
-                asked.update(p)
-            elif w == "spaced":
-                asked.update(self.split(p[0]))
-        self.learn(asked)
-        get = self.known.__getitem__
-        for c, p in zip(fresh, cut, strict=True):
-            self.spaced[c] = b"".join(map(get, p))
-        odd = iter(self.library.encode_batch_fast([t for t, w in zip(texts, way, strict=True) if w == "odd"], add_special_tokens=False))
-        spaced = self.spaced.__getitem__
-        out = []
-        for p, w in zip(parts, way, strict=True):
-            if w == "spaced":
-                out.append(b"".join(map(get, self.split(p[0]))) + b"".join(map(spaced, p[1:])))
-            else:
-                out.append(b"".join(map(get, p)) if w == "cut" else np.array(next(odd).ids, self.wide).tobytes())
+            self.forget()
+        out = [b""] * len(texts)
+        raw = [utf8(t) for t in texts]
+        plain, odd = [], []
+        for i, x in enumerate(raw):
+            if x:
+                (plain if known_only(x) else odd).append(i)
+        if plain:
+            for i, ids in zip(plain, self.regular([raw[i] for i in plain]), strict=True):
+                out[i] = ids
+        for i, e in zip(odd, self.library.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, self.wide).tobytes()
         return out
 
 
+#: Bytes that the numpy cut knows, to be struck out.
+KNOWN_BYTES = bytes(int(b) for b in np.flatnonzero(CLASSES != UNKNOWN))
+
+
+def known_only(x: bytes) -> bool:
+    """Whether all characters are ASCII or letters of U+00C0 to U+017F (U+00D7 and U+00F7 are signs)."""
+    return not x.translate(None, KNOWN_BYTES) and b"\xc3\x97" not in x and b"\xc3\xb7" not in x
+
+
 def groups_by_size(batches, most_chars: int = 2_000_000):
     """(record batch, texts) in pieces of bounded text size; column 1 holds the texts."""
     for batch in batches:
