@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, quality_rules, scaled_sketch, simhash, token_files
-from .common import documents
+from . import byte_bpe, language_id, packing, quality_classifier, quality_rules, scaled_sketch, simhash, token_files
+from .common import crc_mod, documents
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,13 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_and_decode(documents(spark, sf_dir), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    fold = crc_mod(F.col("doc_id"), 5)
+    found = language_id.predict(docs, language_id.learn(docs, fold != 0))
+    return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "langs")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -39,12 +46,20 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled_sketch.sketch_and_edits(documents(spark, sf_dir))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    fold = crc_mod(F.col("doc_id"), 5)
+    model = quality_classifier.learn(docs, documents(spark, sf_dir, "labels"), fold != 0)
+    found = quality_classifier.predict(docs, model)
+    return found.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_token_id_files, op4_byte_bpe, op7_simhash_near_dedup, op8_document_fingerprints, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_token_id_files, op4_byte_bpe, op5_language_id, op7_simhash_near_dedup, op8_document_fingerprints, op9_quality_classifier, op10_best_fit_packing)}
 
 
 OP1_SQL = r"""
