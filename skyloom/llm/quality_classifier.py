@@ -39,7 +39,7 @@ def units(text: str | None) -> np.ndarray:
     words = utf8(text).split()
     if len(_seen) > REMEMBERED:
         _seen.clear()
-    for w in set(words) - _seen.keys():
+    for w in [w for w in set(words) if w not in _seen]:
         _seen[w] = (xxhash.xxh64_intdigest(w.lower()) % WORDS) * SHAPES + xxhash.xxh64_intdigest(RUN.sub(rb"\1", w.translate(SHAPE))) % SHAPES
     return np.fromiter(map(_seen.__getitem__, words), np.int64, len(words))
 
