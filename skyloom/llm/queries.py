@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, packing, quality_classifier, quality_rules, scaled_sketch, simhash, token_files
+from . import byte_bpe, language_id, packing, quality_classifier, quality_rules, scaled_sketch, simhash, suffix_dedup, token_files
 from .common import crc_mod, documents
 
 
@@ -37,6 +37,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "langs")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(documents(spark, sf_dir))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -59,7 +63,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_token_id_files, op4_byte_bpe, op5_language_id, op7_simhash_near_dedup, op8_document_fingerprints, op9_quality_classifier, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_token_id_files, op4_byte_bpe, op5_language_id, op6_suffix_array_dedup, op7_simhash_near_dedup, op8_document_fingerprints, op9_quality_classifier, op10_best_fit_packing)}
 
 
 OP1_SQL = r"""
