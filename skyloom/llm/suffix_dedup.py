@@ -46,7 +46,9 @@ from .token_ids import base_powers
 MATCH, GRAM = 50, 20
 WINDOW = MATCH - GRAM + 1
 REACH = WINDOW - 1 + MATCH
-BLOCK, RANGE = 4 << 20, 16 << 20
+#: Suffixes are sorted by so many bytes.
+DEPTH = 56
+BLOCK, RANGE = 2 << 20, 8 << 20
 NONE = np.uint64((1 << 64) - 1)
 
 
@@ -88,6 +90,20 @@ def anchors(raw: bytes, ends: np.ndarray, step: int = 1 << 16) -> tuple[np.ndarr
     return (np.concatenate(found), np.concatenate(hashes)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
+def owned_strings(at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) start of the strings of ``MATCH`` bytes whose smallest gram, the leftmost of equals, is each anchor."""
+    first, last = at - WINDOW + 1, at.copy()
+    for d in range(1, WINDOW):
+        near = at[d:] - at[:-d] < WINDOW
+        if not near.any():
+            break
+        i = np.flatnonzero(near & (h[:-d] <= h[d:])) + d
+        first[i] = np.maximum(first[i], at[i - d] + 1)
+        i = np.flatnonzero(near & (h[d:] < h[:-d]))
+        last[i] = np.minimum(last[i], at[i + d] - WINDOW)
+    return first, last
+
+
 class Block:
     """Texts of one block with their anchors, in the order in which both sides of an exchange list them."""
 
@@ -96,8 +112,9 @@ class Block:
         self.ends = np.cumsum(sizes)
         at, h = anchors(raw, self.ends)
         doc = np.searchsorted(self.ends, at, side="right")
-        lo = np.maximum(self.ends[doc] - sizes[doc], at - WINDOW + 1)
-        hi = np.minimum(self.ends[doc], at + MATCH)
+        first, last = owned_strings(at, h)
+        lo = np.maximum(self.ends[doc] - sizes[doc], first)
+        hi = np.minimum(self.ends[doc], last + MATCH)
         keep = hi - lo >= MATCH
         at, h, doc, lo, hi = at[keep], h[keep], doc[keep], lo[keep], hi[keep]
         up, down = base_powers(len(raw) + 1)
@@ -263,21 +280,22 @@ def send_contexts(ranges: int):
 
 
 def intervals(lcp: np.ndarray, left: np.ndarray, least: int):
-    """(start, end, length, maximal) of the intervals of ``lcp`` (between neighbours) whose common prefix is at least ``least``.
+    """(start, end, length, maximal, top) of the intervals of ``lcp`` (between neighbours) whose common prefix is at least ``least``.
 
     One scan with a stack over the enhanced suffix array.  An interval is maximal if
-    the symbols to the left of its suffixes are not all the same.
+    the symbols to the left of its suffixes are not all the same, and top if no other interval holds it.
     """
     n = len(left)
+    lcp, left = lcp.tolist(), left.tolist()
     stack: list[list] = []  # common prefix, first suffix, left symbol or -1 if several
     for i in range(1, n + 1):
-        h = int(lcp[i - 1]) if i < n else -1
+        h = lcp[i - 1] if i < n else -1
         h = h if h >= least else -1
-        at, symbol = i - 1, int(left[i - 1])
+        at, symbol = i - 1, left[i - 1]
         while stack and stack[-1][0] > h:
             length, at, kind = stack.pop()
             kind = kind if kind == symbol else -1
-            yield at, i, length, kind == -1
+            yield at, i, length, kind == -1, not stack and h < 0
             symbol = kind
             if stack and stack[-1][0] > h:
                 stack[-1][2] = stack[-1][2] if stack[-1][2] == symbol else -1
@@ -289,17 +307,12 @@ def intervals(lcp: np.ndarray, left: np.ndarray, least: int):
                 stack.append([h, at, symbol])
 
 
-def enhanced_suffix_array(rows: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, common prefix with the next) of suffixes: row bytes from ``start``, ``size`` of them, of one ``group`` only."""
-    width = -(-REACH // 8) * 8
-    text = np.zeros((len(rows), width), np.uint8)
-    grid = start[:, None] + np.arange(REACH)[None, :]
-    inside = np.arange(REACH)[None, :] < size[:, None]
-    text[:, :REACH] = np.where(inside, np.take_along_axis(rows, np.minimum(grid, rows.shape[1] - 1), axis=1), 0)
+def enhanced_suffix_array(text: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common prefix with the next) of suffixes cut to the columns of ``text``; those of different groups share nothing."""
     words = text.view(">u8").astype(np.uint64)
-    order = np.lexsort((size, *[words[:, j] for j in range(words.shape[1] - 1, -1, -1)], group))
-    t, s, g = text[order], size[order], group[order]
-    equal = np.minimum((t[1:] == t[:-1]).cumprod(axis=1, dtype=np.uint8).sum(axis=1, dtype=np.int64), np.minimum(s[1:], s[:-1]))
+    order = np.lexsort((*[words[:, j] for j in range(words.shape[1] - 1, -1, -1)], group))
+    t, g = text[order], group[order]
+    equal = (t[1:] == t[:-1]).cumprod(axis=1, dtype=np.uint8).sum(axis=1, dtype=np.int64)
     return order, np.where(g[1:] == g[:-1], equal, 0)
 
 
@@ -321,14 +334,22 @@ def judge_contexts(part: pd.DataFrame) -> pd.DataFrame:
         j = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
         # equal strings have the gram at the same place: suffixes of one gram meet by their distance to it
         place = gram[owner] * REACH + (head[owner, 2] - j + REACH // 2)
-        order, lcp = enhanced_suffix_array(text[owner], j, size[owner] - j, place)
+        columns = np.minimum(j[:, None] + np.arange(DEPTH)[None, :], REACH - 1)
+        suffix = text[owner[:, None], columns]
+        suffix[:, MATCH:][j[:, None] + np.arange(MATCH, DEPTH)[None, :] >= size[owner][:, None]] = 0
         before = np.where(j > 0, text[owner, np.maximum(j - 1, 0)], left[owner])
-        o, s = owner[order], j[order]
-        for a, b, _, _ in intervals(lcp, before[order], MATCH):
-            inside = o[a:b]
-            least = key[inside].min()
-            hit = key[inside] > least
-            np.bitwise_or.at(masks, inside[hit], np.uint64(1) << s[a:b][hit].astype(np.uint64))
+        order, lcp = enhanced_suffix_array(suffix, place)
+        paired = np.zeros(len(order), bool)  # suffixes that share MATCH bytes with a neighbour
+        paired[:-1] |= lcp >= MATCH
+        paired[1:] |= lcp >= MATCH
+        keep = np.flatnonzero(paired)
+        if len(keep):
+            order, lcp = order[keep], lcp[keep[:-1]]
+            tops = np.array([a for a, _, _, _, top in intervals(lcp, before[order], MATCH) if top])
+            k = key[owner[order]]
+            least = np.minimum.reduceat(k, tops)[np.searchsorted(tops, np.arange(len(order)), side="right") - 1]
+            hit = order[k > least]
+            np.bitwise_or.at(masks, owner[hit], np.uint64(1) << j[hit].astype(np.uint64))
         at = to
     cuts = np.cumsum(part["n"].to_numpy())[:-1]
     return pd.DataFrame({"block": part["block"], "kind": 1, "bucket": part["bucket"], "reply": [x.astype("<u8").tobytes() for x in np.split(masks, cuts)]})
