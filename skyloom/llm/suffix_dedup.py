@@ -48,7 +48,7 @@ WINDOW = MATCH - GRAM + 1
 REACH = WINDOW - 1 + MATCH
 #: Suffixes are sorted by so many bytes.
 DEPTH = 56
-BLOCK, RANGE = 2 << 20, 8 << 20
+BLOCK, RANGE = 1 << 20, 8 << 20
 NONE = np.uint64((1 << 64) - 1)
 
 
