@@ -126,8 +126,10 @@ def quality_filter(docs: DataFrame, text: str = "text", key: str = "doc_id", sam
         "n_words": F.size(ws), "word_chars": F.aggregate(ws, F.lit(0), lambda a, w: a + F.length(w)), "n_symbols": F.regexp_count(whole, F.lit(SYMBOLS)),
         "n_dup_lines": n_dup_lines(F.col(text)), "n_repeat_words": n_repeat_words(ws),
     }
-    with_words = docs.withColumn("q_words", words(F.col(text)))
+    # a filter would be pushed below the word list and repeat it inside every lambda; the row number, which is never negative, holds it back
+    once = F.when(F.monotonically_increasing_id() >= 0, words(F.col(text)))
+    with_words = docs.withColumn("q_words", once)
     conditions = rules(whole, ws, counts)
-    sample = docs.where(F.pmod(F.xxhash64(key), F.lit(sample_share)) == 0).select(text).withColumn("q_words", words(F.col(text)))
+    sample = docs.where(F.pmod(F.xxhash64(key), F.lit(sample_share)) == 0).select(text).withColumn("q_words", once)
     order = cascade_order(sample, conditions, whole, ws)
     return with_words.where(cascade(conditions, order).isNull()).drop("q_words")
