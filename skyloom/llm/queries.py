@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, packing, quality_classifier, quality_rules, scaled_sketch, simhash, suffix_dedup, token_files
+from . import byte_bpe, language_id, ngram_trie, packing, quality_classifier, quality_rules, scaled_sketch, simhash, suffix_dedup, token_files
 from .common import crc_mod, documents
 
 
@@ -13,6 +13,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_counts(documents(spark, sf_dir))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return ngram_trie.score(docs, ngram_trie.train(docs))
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -63,7 +68,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_token_id_files, op4_byte_bpe, op5_language_id, op6_suffix_array_dedup, op7_simhash_near_dedup, op8_document_fingerprints, op9_quality_classifier, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op3_token_id_files, op4_byte_bpe, op5_language_id, op6_suffix_array_dedup, op7_simhash_near_dedup, op8_document_fingerprints, op9_quality_classifier, op10_best_fit_packing)}
 
 
 OP1_SQL = r"""
