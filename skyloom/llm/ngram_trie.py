@@ -31,12 +31,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, release_shuffles, small_batches, utf8
+from .common import by_bucket, fresh_dir, release_shuffles, small_batches, utf8
 from .suffix_dedup import WEIGHTS, mixed
 from .token_files import write_whole
 from .token_ids import base_powers, groups_by_size
 
-ORDER, LEAST, DISCOUNT, SHARD = 3, 3, 0.75, 64 << 20
+ORDER, LEAST, DISCOUNT, SHARD = 3, 3, 0.75, 24 << 20
 END = np.uint64(0x9E3779B97F4A7C15)
 #: Quantised logs: code 255 is 0, each step below it STEP.
 STEP = 9.0 / 255
@@ -48,7 +48,8 @@ class EliasFano:
     """A sorted sequence of unsigned longs: low bits packed, high bits in unary."""
 
     def __init__(self, arrays: dict, name: str):
-        self.n, self.low_bits, self.buckets = (int(x) for x in arrays[f"{name}.meta"])
+        self.n, self.low_bits, self.buckets = (int(x) for x in arrays[f"{name}.meta"][:3])
+        self.least = arrays[f"{name}.meta"][3:].astype(np.uint64)
         self.low, self.high, self.rank = arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.rank"]
         self.zeros = np.arange(len(self.rank), dtype=np.int64) * 64 - self.rank.astype(np.int64)
 
@@ -56,6 +57,8 @@ class EliasFano:
     def build(name: str, values: np.ndarray) -> dict:
         values = np.asarray(values, np.uint64)
         n = len(values)
+        least = values[:1] if n else np.zeros(1, np.uint64)
+        values = values - least  # a shard's values start far from 0
         top = int(values[-1]) if n else 0
         l = max(0, ((top // n) if n else 0).bit_length() - 1)
         high = (values >> np.uint64(l)).astype(np.int64)
@@ -72,7 +75,7 @@ class EliasFano:
             np.bitwise_or.at(low, word, v << off)
             over = np.flatnonzero(off + np.uint64(l) > 64)
             np.bitwise_or.at(low, word[over] + 1, v[over] >> (np.uint64(64) - off[over]))
-        return {f"{name}.meta": np.array([n, l, buckets], "<i8"), f"{name}.low": low, f"{name}.high": words, f"{name}.rank": (np.cumsum(ones) - ones).astype("<u8")}
+        return {f"{name}.meta": np.append(np.array([n, l, buckets], np.uint64), least), f"{name}.low": low, f"{name}.high": words, f"{name}.rank": (np.cumsum(ones) - ones).astype("<u8")}
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         l = self.low_bits
@@ -103,13 +106,15 @@ class EliasFano:
     def access(self, i: np.ndarray) -> np.ndarray:
         j = np.searchsorted(self.rank, i.astype(np.uint64), side="right") - 1
         pos = j * 64 + self._select(self.high[j], i - self.rank[j].astype(np.int64))
-        return ((pos - i).astype(np.uint64) << np.uint64(self.low_bits)) | self.lows(i)
+        return (((pos - i).astype(np.uint64) << np.uint64(self.low_bits)) | self.lows(i)) + self.least
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Index of each value, or -1: successor search in the bucket of its high bits."""
         out = np.full(len(x), -1, np.int64)
+        above = x >= self.least
+        x = x - self.least
         h = (x >> np.uint64(self.low_bits)).astype(np.int64)
-        some = np.flatnonzero((h < self.buckets) & (h >= 0)) if self.n else np.zeros(0, np.int64)
+        some = np.flatnonzero(above & (h < self.buckets) & (h >= 0)) if self.n else np.zeros(0, np.int64)
         if not len(some):
             return out
         h = h[some]
@@ -302,7 +307,7 @@ def level_one(folder: str):
         n = np.add.reduceat(n, first)
         shard = int(part["shard"].iloc[0])
         write_whole(folder, f"level1-{shard:05d}.trie", container(EliasFano.build("codes", h[first]) | {"counts": n.astype("<u8")}))
-        return pd.DataFrame({"shard": [shard], "entries": [len(first)], "total": [int(n.sum())]})
+        return pd.DataFrame({"shard": np.array([shard], np.int32), "entries": [len(first)], "total": [int(n.sum())]})
 
     return run
 
@@ -384,7 +389,7 @@ def level_more(folder: str, level: int, sizes: list[int]):
         base = base[np.flatnonzero(opens)[np.cumsum(opens) - 1]] if len(c) else base
         arrays = EliasFano.build("codes", base + w) | EliasFano.build("pointers", pointers) | {"probs": quantised(p), "weights": quantised(left)}
         write_whole(folder, f"level{level}-{shard:05d}.trie", container(arrays))
-        return pd.DataFrame({"shard": [shard], "entries": [len(c)], "total": [int(n.sum())]})
+        return pd.DataFrame({"shard": np.array([shard], np.int32), "entries": [len(c)], "total": [int(n.sum())]})
 
     return run
 
@@ -398,7 +403,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     size = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = int(1 + size // SHARD)
     kind = "shard int, entries long, total long"
-    done = [r.asDict() for r in docs.mapInArrow(count_words(shards), SENT).groupBy("shard").applyInPandas(level_one(folder), kind).collect()]  # a row a shard
+    done = [r.asDict() for r in by_bucket(docs.mapInArrow(count_words(shards), SENT), shards, level_one(folder), kind).collect()]  # a row a shard
     entries = {r["shard"]: r["entries"] for r in done}
     starts = [np.append(0, np.cumsum([entries.get(s, 0) for s in range(shards)])).tolist()]
     trie = Trie(folder, shards, starts, sum(r["total"] for r in done))
@@ -406,7 +411,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     for level in range(2, order + 1):
         sizes = np.diff(trie.starts[level - 2]).tolist()
         fresh = Trie(folder, shards, [s.tolist() for s in trie.starts], trie.tokens)
-        done = docs.mapInArrow(count_level(fresh, level), SENT).groupBy("shard").applyInPandas(level_more(folder, level, sizes), kind).collect()
+        done = by_bucket(docs.mapInArrow(count_level(fresh, level), SENT), shards, level_more(folder, level, sizes), kind).collect()
         entries = {r["shard"]: r["entries"] for r in done}
         starts.append(np.append(0, np.cumsum([entries.get(s, 0) for s in range(shards)])).tolist())
         trie = Trie(folder, shards, starts, trie.tokens)
@@ -443,7 +448,7 @@ def score(docs: DataFrame, trie: Trie, key: str = "doc_id", text: str = "text")
     small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch, texts in groups_by_size(batches):
+        for batch, texts in groups_by_size(batches, 6_000_000):
             h, many = token_hashes(texts)
             count, base, model = score_tokens(trie, h, many)
             start = np.cumsum(many) - many

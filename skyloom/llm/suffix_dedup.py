@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_shuffles, sliding, small_batches, stored, utf8
+from .common import by_bucket, release_shuffles, sliding, small_batches, stored, utf8
 from .token_ids import base_powers
 
 MATCH, GRAM = 50, 20
@@ -242,7 +242,7 @@ def judge_anchors(part: pd.DataFrame) -> pd.DataFrame:
     code = np.empty(len(order), np.uint8)
     code[order] = np.where(k > least, 1, np.where(doubtful, 2, 0))
     cuts = np.cumsum(part["n"].to_numpy())[:-1]
-    return pd.DataFrame({"block": part["block"], "kind": 0, "bucket": part["bucket"], "reply": [zlib.compress(x.tobytes(), 1) for x in np.split(code, cuts)]})
+    return pd.DataFrame({"block": part["block"], "kind": np.int32(0), "bucket": part["bucket"], "reply": [zlib.compress(x.tobytes(), 1) for x in np.split(code, cuts)]})
 
 
 def codes_of(x: Block, replies: dict) -> np.ndarray:
@@ -352,7 +352,7 @@ def judge_contexts(part: pd.DataFrame) -> pd.DataFrame:
             np.bitwise_or.at(masks, owner[hit], np.uint64(1) << j[hit].astype(np.uint64))
         at = to
     cuts = np.cumsum(part["n"].to_numpy())[:-1]
-    return pd.DataFrame({"block": part["block"], "kind": 1, "bucket": part["bucket"], "reply": [x.astype("<u8").tobytes() for x in np.split(masks, cuts)]})
+    return pd.DataFrame({"block": part["block"], "kind": np.int32(1), "bucket": part["bucket"], "reply": [x.astype("<u8").tobytes() for x in np.split(masks, cuts)]})
 
 
 def removed_bytes(x: Block, replies: dict) -> np.ndarray:
@@ -385,17 +385,17 @@ def settled_blocks(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int
     blocks = stored(make_blocks(docs, key, text), "blocks", "uncompressed")
     total = blocks.agg(F.sum(F.octet_length("texts"))).first()[0] or 0
     ranges = int(min(1 << 20, 1 + 2 * total // RANGE))
-    small_batches(spark, 1)
+    small_batches(spark, 4)
     kind = "block long, kind int, bucket int, reply binary"
     sent = blocks.select("block", "texts", "keys", "sizes").mapInArrow(send_anchors(ranges), SENT)
-    codes = stored(sent.groupBy("bucket").applyInPandas(judge_anchors, kind), "codes")
+    codes = stored(by_bucket(sent, ranges, judge_anchors, kind), "codes")
     release_shuffles(spark)
 
     def told(replies):
         return replies.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "reply")).alias("replies"))  # at most two for each range
 
     doubtful = blocks.select("block", "texts", "keys", "sizes").join(told(codes).hint("shuffle_hash"), "block", "left").mapInArrow(send_contexts(ranges), SENT)
-    masks = stored(doubtful.groupBy("bucket").applyInPandas(judge_contexts, kind), "masks")
+    masks = stored(by_bucket(doubtful, ranges, judge_contexts, kind), "masks")
     release_shuffles(spark)
     return blocks.join(told(codes.union(masks)).hint("shuffle_hash"), "block", "left"), ranges
 
