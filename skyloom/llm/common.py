@@ -7,6 +7,7 @@ is a temporary folder of this machine taken.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -139,6 +140,15 @@ def components(links: DataFrame, name: str = "components", most_rounds: int = 60
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def trim_memory() -> None:
+    """Give freed memory of this worker back to the machine, which it shares with the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def by_bucket(sent: DataFrame, count: int, judge, kind: str) -> DataFrame:
     """``judge`` (pandas in and out) over all rows of each bucket, which column 0 numbers from 0 to ``count`` - 1.
 
@@ -156,6 +166,8 @@ def by_bucket(sent: DataFrame, count: int, judge, kind: str) -> DataFrame:
         for b in sorted(held):
             out = judge(pa.Table.from_batches(held.pop(b)).to_pandas())
             yield from pa.Table.from_pandas(out[names], preserve_index=False).to_batches()
+            del out
+            trim_memory()
 
     return sent.repartitionById(count, F.col(sent.columns[0])).mapInArrow(run, kind)
 

@@ -36,7 +36,7 @@ from .suffix_dedup import WEIGHTS, mixed
 from .token_files import write_whole
 from .token_ids import base_powers, groups_by_size
 
-ORDER, LEAST, DISCOUNT, SHARD = 3, 3, 0.75, 24 << 20
+ORDER, LEAST, DISCOUNT, SHARD = 3, 3, 0.75, 48 << 20
 END = np.uint64(0x9E3779B97F4A7C15)
 #: Quantised logs: code 255 is 0, each step below it STEP.
 STEP = 9.0 / 255
@@ -121,14 +121,16 @@ class EliasFano:
         want = x[some] & np.uint64((1 << self.low_bits) - 1)
         at = np.where(h > 0, self.zero_at(np.maximum(h - 1, 0)) - np.maximum(h - 1, 0), 0)
         end = self.zero_at(h) - h
-        live = np.flatnonzero(at < end)
-        while len(live):
-            got = self.lows(at[live])
-            hit = got == want[live]
-            out[some[live[hit]]] = at[live[hit]]
-            live = live[~hit & (got < want[live])]
-            at[live] += 1
-            live = live[at[live] < end[live]]
+        stop, live = end.copy(), np.flatnonzero(at < end)
+        while len(live):  # a bucket of a frequent context may hold thousands
+            middle = (at[live] + stop[live]) >> 1
+            less = self.lows(middle) < want[live]
+            at[live[less]] = middle[less] + 1
+            stop[live[~less]] = middle[~less]
+            live = live[at[live] < stop[live]]
+        inside = np.flatnonzero(at < end)
+        inside = inside[self.lows(at[inside]) == want[inside]]
+        out[some[inside]] = at[inside]
         return out
 
 

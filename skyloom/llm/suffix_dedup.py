@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bucket, release_shuffles, sliding, small_batches, stored, utf8
+from .common import by_bucket, release_shuffles, sliding, small_batches, stored, trim_memory, utf8
 from .token_ids import base_powers
 
 MATCH, GRAM = 50, 20
@@ -184,6 +184,7 @@ def blocks_of(batch, ranges: int):
     unpack = zstandard.ZstdDecompressor()
     rows = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
     for i, block in enumerate(rows["block"]):
+        trim_memory()
         yield i, block, Block(unpack.decompress(rows["texts"][i]), np.frombuffer(rows["keys"][i], "<i8"), np.frombuffer(rows["sizes"][i], "<i8"), ranges)
 
 
