@@ -42,7 +42,10 @@ def r(expr: str, name: str, digits: int = 6) -> str:
     return f"round({expr}, {digits}) + 0.0 AS {name}"
 
 
-ANGLE = F.radians(F.col("az"))
+def angle():
+    return F.radians(F.col("az"))
+
+
 WEIGHTS_SQL = "st AS (SELECT tod, det, abs(dat - lag(dat) OVER (PARTITION BY tod, det ORDER BY samp)) AS s FROM samples), wt AS (SELECT tod, det, sigma, 1 / (sigma * sigma) AS w FROM (SELECT tod, det, median(s) / (2 * 0.4769362762044699) AS sigma FROM st GROUP BY tod, det) WHERE sigma > 0)"
 
 
@@ -87,7 +90,7 @@ def timestream_chisq(spark, d):
 
 @query(f"SELECT ipix, {r('sum(dat)', 'i')}, {r('sum(dat * cos(radians(az)))', 'q')}, {r('sum(dat * sin(radians(az)))', 'u')} FROM samples GROUP BY ipix")
 def tod_to_map_iqu(spark, d):
-    return rounded(M.scatter_iqu(src.events(spark, d), ANGLE), "i", "q", "u")
+    return rounded(M.scatter_iqu(src.events(spark, d), angle()), "i", "q", "u")
 
 
 PRECON_SQL = "p AS (SELECT ipix, CAST(count(*) AS DOUBLE) AS ii, sum(cos(radians(az))) AS iq, sum(sin(radians(az))) AS iu, sum(cos(radians(az)) * cos(radians(az))) AS qq, sum(cos(radians(az)) * sin(radians(az))) AS qu, sum(sin(radians(az)) * sin(radians(az))) AS uu FROM samples GROUP BY ipix)"
@@ -95,18 +98,18 @@ PRECON_SQL = "p AS (SELECT ipix, CAST(count(*) AS DOUBLE) AS ii, sum(cos(radians
 
 @query(f"{PRECON_SQL} SELECT ipix, ii, {', '.join(r(x, x) for x in ('iq', 'iu', 'qq', 'qu', 'uu'))} FROM p")
 def precon_iqu(spark, d):
-    return rounded(M.precon_iqu(src.events(spark, d), ANGLE), "iq", "iu", "qq", "qu", "uu")
+    return rounded(M.precon_iqu(src.events(spark, d), angle()), "iq", "iu", "qq", "qu", "uu")
 
 
 @query(f"{PRECON_SQL}, t AS (SELECT *, qq * uu - qu * qu AS det, qq * uu - qu * qu > 1e-6 * pow(qq + uu, 2) AS good FROM p) SELECT ipix, {r('CASE WHEN good THEN uu / det ELSE 0 END', 'qq', 5)}, {r('CASE WHEN good THEN qq / det ELSE 0 END', 'uu', 5)}, {r('CASE WHEN good THEN -qu / det ELSE 0 END', 'qu', 5)} FROM t")
 def invert_qu(spark, d):
-    return rounded(M.invert_qu(M.precon_iqu(src.events(spark, d), ANGLE)), "qq", "uu", "qu", digits=5)
+    return rounded(M.invert_qu(M.precon_iqu(src.events(spark, d), angle())), "qq", "uu", "qu", digits=5)
 
 
 @query(f", m AS (SELECT ipix, sum(dat) AS i, sum(dat * cos(radians(az))) AS q, sum(dat * sin(radians(az))) AS u FROM samples GROUP BY ipix) SELECT tod, det, {r('sum(i + q * cos(radians(az)) + u * sin(radians(az)))', 'total', 3)} FROM samples JOIN m USING (ipix) GROUP BY tod, det")
 def map_to_tod_iqu(spark, d):
     s = src.events(spark, d)
-    return rounded(M.gather_iqu(s, M.scatter_iqu(s, ANGLE), ANGLE).groupBy("tod", "det").agg(F.sum("val").alias("total")), "total", digits=3)
+    return rounded(M.gather_iqu(s, M.scatter_iqu(s, angle()), angle()).groupBy("tod", "det").agg(F.sum("val").alias("total")), "total", digits=3)
 
 
 @query("SELECT event_id, CAST(trunc((CAST(event_id % 1000 AS DOUBLE) / 1000 - 0.0::DOUBLE) * 0.9::DOUBLE / 0.02::DOUBLE + 0.5) * 50 + trunc((CAST(user_id % 97 AS DOUBLE) / 97 - 0.0::DOUBLE) / 0.02::DOUBLE + 0.5) AS BIGINT) AS ipix FROM events", None)
@@ -133,24 +136,24 @@ def tod_limits(spark, d):
     return src.events(spark, d).groupBy("tod").agg(F.min("az").alias("lo"), F.max("az").alias("hi"), F.min("dat").alias("lo_dat"), F.max("dat").alias("hi_dat"), F.count("*").alias("nsamp"), F.countDistinct("det").alias("ndet"), (F.max("samp") + 1).alias("ndata"))
 
 
-BAD = F.col("event_id") % 50 < 3
+BAD = "event_id % 50 < 3"
 RUNS_SQL = "b AS (SELECT tod, det, samp, samp - row_number() OVER (PARTITION BY tod, det ORDER BY samp) AS g FROM samples WHERE event_id % 50 < 3), cuts AS (SELECT tod, det, min(samp) AS start, max(samp) + 1 AS stop FROM b GROUP BY tod, det, g)"
 
 
 @query(f"{RUNS_SQL} SELECT tod, det, start, stop FROM cuts")
 def cut_runs(spark, d):
-    return S.runs(src.events(spark, d), BAD)
+    return S.runs(src.events(spark, d), F.expr(BAD))
 
 
 @query(f"{RUNS_SQL}, p AS (SELECT tod, det, start - 20 AS start, stop + 20 AS stop FROM cuts), q AS (SELECT *, CASE WHEN start > coalesce(max(stop) OVER (PARTITION BY tod, det ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS f FROM p), g AS (SELECT *, sum(f) OVER (PARTITION BY tod, det ORDER BY start, stop) AS n FROM q) SELECT tod, det, min(start) AS start, max(stop) AS stop FROM g GROUP BY tod, det, n")
 def cut_merge(spark, d):
-    c = S.runs(src.events(spark, d), BAD)
+    c = S.runs(src.events(spark, d), F.expr(BAD))
     return S.merge_cuts(c.withColumns({"start": F.col("start") - 20, "stop": F.col("stop") + 20}))
 
 
 @query(f"{RUNS_SQL} SELECT tod, det, unnest(generate_series(start, stop - 1)) AS samp FROM cuts")
 def cut_expand(spark, d):
-    return S.expand_cuts(S.runs(src.events(spark, d), BAD))
+    return S.expand_cuts(S.runs(src.events(spark, d), F.expr(BAD)))
 
 
 @query("SELECT tod, det, samp, dat FROM samples WHERE event_id % 50 < 3")
