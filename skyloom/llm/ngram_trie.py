@@ -354,12 +354,10 @@ def count_level(trie: Trie, level: int):
             good = c >= 0
             if not good.any():
                 continue
-            keys = np.stack([c[good], word[good]], axis=1)
-            order = np.lexsort((keys[:, 1], keys[:, 0]))
-            keys = keys[order]
-            first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
-            n = np.diff(np.append(first, len(keys)))
-            keys = keys[first]
+            # context and word in one integer: both are numbers of entries, below 2**31 here
+            assert max(int(c.max()), int(word.max())) < 1 << 31, "a level has too many entries for one packed key"
+            packed, n = np.unique((c[good] << 32) | word[good], return_counts=True)
+            keys = np.stack([packed >> 32, packed & 0xFFFFFFFF], axis=1)
             where = np.searchsorted(trie.starts[level - 2], keys[:, 0], side="right") - 1
             near = (keys[:, 0] - trie.starts[level - 2][where]).astype("<u4")
             yield sent_rows(where, [near, keys[:, 1].astype("<u4"), n.astype(np.uint8 if n.max() < 256 else "<u4")])

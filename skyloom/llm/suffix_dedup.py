@@ -385,7 +385,7 @@ def settled_blocks(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int
     spark = docs.sparkSession
     blocks = stored(make_blocks(docs, key, text), "blocks", "uncompressed")
     total = blocks.agg(F.sum(F.octet_length("texts"))).first()[0] or 0
-    ranges = int(min(1 << 20, 1 + 2 * total // RANGE))
+    ranges = int(min(1 << 20, 1 + 8 * total // RANGE))  # texts shrink to about a fifth, and anchors take as much as the texts
     small_batches(spark, 4)
     kind = "block long, kind int, bucket int, reply binary"
     sent = blocks.select("block", "texts", "keys", "sizes").mapInArrow(send_anchors(ranges), SENT)
