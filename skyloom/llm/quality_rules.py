@@ -121,15 +121,18 @@ def quality_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", sam
 
 def quality_filter(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_share: int = 128) -> DataFrame:
     """The documents that no rule rejects, with all their columns.  Counts are computed only as far as the cascade goes."""
-    whole, ws = F.coalesce(F.col(text), F.lit("")), F.col("q_words")
+    held = "q_words"
+    while held in {c.lower() for c in docs.columns}:  # a column of the table may have this name
+        held += "_"
+    whole, ws = F.coalesce(F.col(text), F.lit("")), F.col(held)
     counts = {
         "n_words": F.size(ws), "word_chars": F.aggregate(ws, F.lit(0), lambda a, w: a + F.length(w)), "n_symbols": F.regexp_count(whole, F.lit(SYMBOLS)),
         "n_dup_lines": n_dup_lines(F.col(text)), "n_repeat_words": n_repeat_words(ws),
     }
     # a filter would be pushed below the word list and repeat it inside every lambda; the row number, which is never negative, holds it back
     once = F.when(F.monotonically_increasing_id() >= 0, words(F.col(text)))
-    with_words = docs.withColumn("q_words", once)
+    with_words = docs.withColumn(held, once)
     conditions = rules(whole, ws, counts)
-    sample = docs.where(F.pmod(F.xxhash64(key), F.lit(sample_share)) == 0).select(text).withColumn("q_words", once)
+    sample = docs.where(F.pmod(F.xxhash64(key), F.lit(sample_share)) == 0).select(text).withColumn(held, once)
     order = cascade_order(sample, conditions, whole, ws)
-    return with_words.where(cascade(conditions, order).isNull()).drop("q_words")
+    return with_words.where(cascade(conditions, order).isNull()).drop(held)
