@@ -309,12 +309,12 @@ def file_blacklist(spark, d):
     return out.select("name", F.concat(F.lit("src/"), "name", F.lit("/v"), F.element_at(F.split("path", "/"), 2)).alias("path"))
 
 
-@query(", v AS (SELECT det, samp, dat FROM samples WHERE det < 40), k AS (SELECT unnest(generate_series(0, 63)) AS k) SELECT det, CAST(k AS BIGINT) AS k, round(sum(CASE WHEN samp IN (0, 63) THEN 1 ELSE 2 END * dat * cos(pi() * samp * k / 63)), 5) + 0.0 AS val FROM v, k GROUP BY det, k", src.VECTORS_SQL)
+@query(", v AS (SELECT det, samp, dat FROM samples), k AS (SELECT unnest(generate_series(0, 63)) AS k) SELECT det, CAST(k AS BIGINT) AS k, round(sum(CASE WHEN samp IN (0, 63) THEN 1 ELSE 2 END * dat * cos(pi() * samp * k / 63)), 5) + 0.0 AS val FROM v, k GROUP BY det, k", src.VECTORS_SQL)
 def dct1_vectors(spark, d):
     """Discrete cosine transform of each vector, a batch of rows at a time."""
     import pandas as pd
 
-    e = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 40").select("vec_id", "embedding")
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
 
     def run(frames):
         for f in frames:
@@ -388,10 +388,141 @@ def clean_common_poly(spark, d):
     return _per_tod(spark, d, run, "tod int, det long, rms double, n_spikes int, n_jumps int")
 
 
+def _per_map(spark, d, f, kind: str) -> DataFrame:
+    """A kernel over each timestream's map; a task holds one map, whose grid is fixed."""
+    m = M.scatter(src.events(spark, d), F.col("dat"), ("tod", "ipix"))
+
+    def run(part):
+        image = np.zeros(NPIX)
+        image[part["ipix"].to_numpy()] = part["val"].to_numpy()
+        return f(part["tod"].iloc[0], image.reshape(src.NX, src.NY))
+
+    return m.groupBy("tod").applyInPandas(run, kind)
+
+
+def _grid():
+    """Coordinates of the map's pixels about its middle."""
+    return np.meshgrid(np.arange(src.NX) - src.NX // 2, np.arange(src.NY) - src.NY // 2, indexing="ij")
+
+
+@query()
+def ring_sums(spark, d):
+    """Sums of each map over beam-smoothed annuli."""
+    import pandas as pd
+
+    x, y = _grid()
+    beam = np.fft.ifftshift(np.exp(-(x**2 + y**2) / 2.0))
+    rings = K.rings([0, 3, 6, 9, 12], x, y, (0, 0), beam)
+    return _per_map(spark, d, lambda tod, image: pd.DataFrame({"tod": tod, "ring": range(len(rings)), "val": (rings * image).sum(axis=(1, 2))}), "tod string, ring int, val double")
+
+
+@query()
+def needlet_power(spark, d):
+    """Power of each map in needlet bands."""
+    import pandas as pd
+
+    k = np.hypot(np.fft.fftfreq(src.NX)[:, None] * src.NX, np.fft.fftfreq(src.NY)[None, :] * src.NY)
+    bands = K.needlet_bands(range(5), 16.0, k)
+    return _per_map(spark, d, lambda tod, image: pd.DataFrame({"tod": tod, "band": range(len(bands)), "power": (K.map_to_wavelets(image, bands) ** 2).sum(axis=(1, 2))}), "tod string, band int, power double")
+
+
+@query()
+def two_resolution_rhs(spark, d):
+    """Right-hand side of the prior of a fine map in the middle of each coarse map."""
+    import pandas as pd
+
+    x, y = _grid()
+    two = K.TwoResolution((src.NX, src.NY), (np.hypot(x, y) < 6).astype(float), 2, 3.0, np.ones((src.NX, src.NY)))
+
+    def run(tod, image):
+        coarse, _ = two.rhs(image)
+        return pd.DataFrame({"tod": tod, "ipix": np.arange(NPIX), "val": coarse.ravel()})
+
+    return _per_map(spark, d, run, "tod string, ipix long, val double")
+
+
+@query()
+def zernike_fit(spark, d):
+    """Least-squares Zernike coefficients up to degree 3 of each map's inner disc."""
+    import pandas as pd
+
+    x, y = _grid()
+    inside = np.hypot(x, y) <= 10
+    z = K.zernike(3, np.hypot(x, y)[inside] / 10, np.arctan2(y, x)[inside])
+    return _per_map(spark, d, lambda tod, image: pd.DataFrame({"tod": tod, "k": range(len(z)), "coef": np.linalg.lstsq(z.T, image[inside], rcond=None)[0]}), "tod string, k int, coef double")
+
+
+@query()
+def gapfill_eigenmodes(spark, d):
+    """Vectors with a run of bad samples filled from their label's strong modes."""
+    import pandas as pd
+
+    def run(tod, det, x):
+        bad = (det[:, None] * 7 + np.arange(x.shape[1])) % 50 < 3
+        y = K.gapfill_eig(np.where(bad, 0, x), bad)
+        return pd.DataFrame({"tod": tod, "det": np.repeat(det, y.shape[1]), "samp": np.tile(np.arange(y.shape[1]), len(y)), "dat": y.ravel()})
+
+    return _per_tod(spark, d, run, "tod int, det long, samp long, dat double")
+
+
+@query()
+def steps_taken_off(spark, d):
+    """Vectors with a step in the middle of every seventh, which is fitted beside the common mode and taken off."""
+    import pandas as pd
+
+    def run(tod, det, x):
+        step = (det % 7 == 0)[:, None] * (np.arange(x.shape[1]) >= 32) * 5.0
+        y = K.steps_beside_common(x + step, [[32] if k % 7 == 0 else [] for k in det], np.median(x, axis=0))
+        return pd.DataFrame({"tod": tod, "det": det, "left": y[:, 32:].mean(axis=1) - y[:, :32].mean(axis=1)})
+
+    return _per_tod(spark, d, run, "tod int, det long, left double")
+
+
+@query()
+def power_spectrum_fit(spark, d):
+    """White and red noise of each vector."""
+    import pandas as pd
+
+    return _per_tod(spark, d, lambda tod, det, x: pd.DataFrame({"tod": tod, "det": det} | dict(zip(("white", "red", "slope"), K.power_law_fit(x).T, strict=True))), "tod int, det long, white double, red double, slope double")
+
+
+@query()
+def pixels_healpix_nest(spark, d):
+    e = src.events(spark, d)
+    return e.select("event_id", C.healpix_nest(F.radians(F.col("az")), F.asin((F.col("event_id") % 1999) / 1000.0 - 0.999), 16).alias("ipix"))
+
+
+@query("SELECT CAST(trunc(az * 36 / 360.0) AS INT) AS bin, det, round(sum(dat), 5) + 0.0 AS val FROM samples GROUP BY ALL")
+def template_azimuth_shared(spark, d):
+    """Azimuth bins of each detector over all timestreams."""
+    return rounded(S.project(src.events(spark, d).withColumn("bin", S.az_bin(F.col("az"), 0.0, 360.0, 36)), "det", "bin"), "val", digits=5)
+
+
+@query(", e AS (SELECT tod, min(az) AS lo, max(az) AS hi FROM samples GROUP BY tod), s AS (SELECT tod, det, dat, 2 * (az - lo) / (hi - lo) - 1 AS x FROM samples JOIN e USING (tod)) SELECT tod, det, round(sum(dat * x), 4) + 0.0 AS t1, round(sum(dat * (2 * x * x - 1)), 4) + 0.0 AS t2, round(sum(dat * (4 * x * x * x - 3 * x)), 4) + 0.0 AS t3 FROM s GROUP BY tod, det")
+def template_chebyshev(spark, d):
+    return rounded(S.chebyshev_project(src.events(spark, d)), "t1", "t2", "t3", digits=4)
+
+
+def _regions(spark, d):
+    m = M.scatter(src.events(spark, d), F.col("dat"))
+    x, y = F.floor(F.col("ipix") / src.NY) - 15.5, F.col("ipix") % src.NY - 11.5
+    return S.region_means(m, C.sector(x, y, (0.0, 0.0), (1.0, 4.2, 8.3, 11.1), 4))
+
+
+@query(", m AS (SELECT ipix // 24 - 15.5::DOUBLE AS x, ipix % 24 - 11.5::DOUBLE AS y, sum(dat) AS val FROM samples GROUP BY ipix), r AS (SELECT val, sqrt(x * x + y * y) AS r, CASE WHEN x > 0 AND y > 0 THEN 0 WHEN y > 0 THEN 1 WHEN x < 0 THEN 2 ELSE 3 END AS a FROM m) SELECT CAST(CASE WHEN r < 4.2 THEN 0 WHEN r < 8.3 THEN 4 ELSE 8 END + a AS BIGINT) AS region, count(*) AS n, round(avg(val), 6) + 0.0 AS mean FROM r WHERE r >= 1.0 AND r < 11.1 GROUP BY 1")
+def region_means(spark, d):
+    return rounded(_regions(spark, d).drop("boot_var"), "mean")
+
+
+@query()
+def region_bootstrap(spark, d):
+    return _regions(spark, d)
+
+
 @query()
 def pcg_map(spark, d):
     """The map under common-mode noise, by conjugate gradients with the hits as preconditioner."""
-    s = src.events(spark, d).where("det < 2")
+    s = src.events(spark, d)
     hits = solve.vector(M.hits(s), NPIX)
     x, _ = solve.pcg(solve.blocks(s), NPIX, "common_white", 8, precon=np.where(hits > 0, 1 / np.maximum(hits, 1), 0))
     return spark.createDataFrame([(int(i), float(v)) for i, v in enumerate(x) if v], "ipix long, val double")

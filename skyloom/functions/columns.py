@@ -69,3 +69,35 @@ def y_to_rj(ghz: Column) -> Column:
     """Compton y to Rayleigh-Jeans temperature."""
     x = reduced_frequency(ghz)
     return T * planck_g(ghz) * (x * (F.exp(x) + 1) / (F.exp(x) - 1) - 4)
+
+
+def healpix_nest(ra: Column, dec: Column, nside: int) -> Column:
+    """Equal-area pixel numbers in nested order; ``nside`` is a power of two.  A face, then the bits of its two coordinates in turn."""
+    z, tt, n = F.sin(dec), F.pmod(ra, F.lit(2 * math.pi)) / (math.pi / 2), nside
+    za = F.abs(z)
+    down, up = F.floor(n * (0.5 + tt - z * 0.75)), F.floor(n * (0.5 + tt + z * 0.75))
+    fd, fu = F.floor(down / n), F.floor(up / n)
+    quarter = F.least(F.floor(tt), F.lit(3))
+    side = n * F.sqrt(3 * (1 - za))
+    a, b = (F.least(F.floor(x * side), F.lit(n - 1)) for x in (tt - quarter, 1 - tt + quarter))
+    north = z > 0
+    face = F.when(za <= 2 / 3, F.when(fd == fu, fd % 4 + 4).when(fd < fu, fd).otherwise(fu + 8)).when(north, quarter).otherwise(quarter + 8)
+    x = F.when(za <= 2 / 3, F.pmod(up, F.lit(n))).when(north, n - 1 - b).otherwise(a)
+    y = F.when(za <= 2 / 3, n - 1 - F.pmod(down, F.lit(n))).when(north, n - 1 - a).otherwise(b)
+    pixel = face.cast("long") * (n * n)
+    for k in range(n.bit_length() - 1):
+        for at, v in ((2 * k, x), (2 * k + 1, y)):
+            pixel = pixel + F.shiftleft(F.shiftright(v.cast("long"), k).bitwiseAND(F.lit(1)), at)
+    return pixel
+
+
+def sector(x: Column, y: Column, centre, radii, angles: int, ratio: float = 1.0, tilt: float = 0.0) -> Column:
+    """Number of the ring sector that holds a point, ring by ring, or null; rings are ellipses whose second axis is ``ratio`` times the first, tilted by ``tilt``."""
+    u = (x - centre[0]) * math.cos(tilt) + (y - centre[1]) * math.sin(tilt)
+    v = ((y - centre[1]) * math.cos(tilt) - (x - centre[0]) * math.sin(tilt)) / ratio
+    r = F.sqrt(u * u + v * v)
+    ring = F.when(r < radii[0], None)
+    for k, edge in enumerate(radii[1:]):
+        ring = ring.when(r < edge, k)
+    turn = F.least(F.floor(F.pmod(F.atan2(v, u), F.lit(2 * math.pi)) * angles / (2 * math.pi)), F.lit(angles - 1))
+    return (ring * angles + turn).cast("long")

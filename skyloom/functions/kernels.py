@@ -348,3 +348,45 @@ class TwoResolution:
 
     def rhs(self, coarse_map):
         return self.split(self.ivar * coarse_map)
+
+
+def power_law_fit(d: np.ndarray, dt: float = 1.0, slope: float = -1.5, rounds: int = 50, tolerance: float = 0.01) -> np.ndarray:
+    """(white, red, slope) of each row: the likeliest white + red * f ** slope for its DCT-I power, by damped scoring; f is 1 in the middle of the log range."""
+    y2 = dct1(d)[:, 1:] ** 2
+    f = np.arange(1, y2.shape[1] + 1) / (2 * y2.shape[1] * dt)
+    log_f = np.log(f / np.sqrt(f[0] * f[-1]))
+    out = []
+    for y in y2:
+        tail = max(float(np.median(y[len(y) // 2 :])), 1e-300)
+        p, lam = np.array([np.log(tail), np.log(max(float(y[: max(2, len(y) // 8)].mean()), 1e-300) * np.exp(-slope * log_f[0])), slope]), 0.0
+
+        def parts(q):
+            white, red = np.exp(q[0]) + 0 * log_f, np.exp(q[1] + q[2] * log_f)
+            m = white + red
+            return float((np.log(m) + y / m).sum()), m, np.stack([white, red, red * log_f]) / m
+
+        cost, m, g = parts(p)
+        for _ in range(rounds):
+            curve = g @ g.T
+            step = np.clip(np.linalg.solve(curve + lam * np.diag(np.diag(curve)) + 1e-9 * np.eye(3), g @ (y / m - 1)), -1, 1)
+            new = parts(p + step)
+            better = np.isfinite(new[0]) and new[0] <= cost
+            if better:
+                p, (cost, m, g) = p + step, new
+            lam = (0.0 if lam < 0.2 else lam / np.sqrt(2)) if better else (1.0 if lam == 0 else 2 * lam)
+            if better and np.abs(step).max() < tolerance * 0.1:
+                break
+        out.append([np.exp(p[0]), np.exp(p[1]), p[2]])
+    return np.array(out)
+
+
+def stripe_prior(correlation: np.ndarray, thresh: float = 0.5) -> np.ndarray:
+    """DCT-I weights of the inverse of a stationary covariance of stripes (rows: detectors); small powers are raised to ``thresh`` times the median."""
+    power = dct1(correlation)
+    if thresh > 0:
+        power = np.maximum(power, thresh * np.median(power, axis=-1, keepdims=True))
+    return 1 / power / (2 * (correlation.shape[-1] - 1))
+
+
+def apply_stripe_prior(weights: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return dct1(dct1(x) * weights)

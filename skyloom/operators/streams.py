@@ -90,3 +90,32 @@ def legendre_project(samples: DataFrame, order: int = 3) -> DataFrame:
 
 def az_bin(az: Column, lo: float, hi: float, bins: int) -> Column:
     return ((az - lo) * bins / (hi - lo)).cast("int")
+
+
+def chebyshev_project(samples: DataFrame, count: int = 4, at: str = "az") -> DataFrame:
+    """Sums of data times the Chebyshev polynomials 1 to ``count`` - 1 in ``at``, scaled to -1 to 1 over each timestream."""
+    ends = samples.groupBy("tod").agg(F.min(at).alias("lo"), F.max(at).alias("hi"))  # joined, so that no window gathers a timestream
+    x = F.col("x")
+    p = [F.lit(1.0), x]
+    for _ in range(2, count):
+        p.append(2 * x * p[-1] - p[-2])
+    scaled = samples.join(ends, "tod").withColumn("x", F.coalesce(F.try_divide(F.col(at) - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * 2 - 1)
+    return scaled.groupBy(*BY_DET).agg(*[F.sum(F.col("dat") * p[k]).alias(f"t{k}") for k in range(1, count)])
+
+
+def region_means(points: DataFrame, region: Column, value: str = "val", resamples: int = 200) -> DataFrame:
+    """(region, n, mean, boot_var) of points in regions: the variance of the mean over resamples.
+
+    A resample draws each point as often as a Poisson variable of mean 1 says, whose
+    seed is the point's hash, so the draw needs neither order nor a shuffle of points.
+    """
+    p = points.select(region.alias("region"), F.col(value).alias("v"), F.xxhash64(*points.columns).alias("h")).where("region is not null")
+    u = (F.xxhash64("h", "draw").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)).alias("u")
+    cdf, times, term = 0.0, F.lit(0), 0.36787944117144233
+    for k in range(1, 9):
+        cdf += term
+        term /= k
+        times = times + (F.col("u") >= cdf).cast("int")
+    drawn = p.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).select("region", "draw", "v", u).withColumn("w", times)
+    boot = drawn.groupBy("region", "draw").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w").cast("double")).alias("m")).groupBy("region").agg(F.var_pop("m").alias("boot_var"))
+    return p.groupBy("region").agg(F.count("*").alias("n"), F.avg("v").alias("mean")).join(boot, "region")

@@ -99,16 +99,55 @@ def isobeta_derivs(p, x, y):
     return f, np.stack([-2 * by_r2 * dx * c, by_r2 * (-2 * dx * (x - p[0]) * np.sin(p[1]) - 2 * dy), -2 * by_r2 * (g - 1) * p[2], -1.5 * f * np.log(g), g**e])
 
 
-MODELS = {"gauss": gauss_derivs, "isobeta": isobeta_derivs}
+def ellipse(p, x, y):
+    """Squared elliptical radius about (x0, y0) with two axes and an angle, and its derivatives by these five."""
+    (x0, y0, a, b, psi), off = p[:5], x - p[0]
+    c, co, si = np.cos(y0), np.cos(psi), np.sin(psi)
+    u, v = off * c * co + (y - y0) * si, (y - y0) * co - off * c * si
+    ku, kv = 2 * u / a**2, 2 * v / b**2
+    shift = off * np.sin(y0)
+    by = [c * (kv * si - ku * co), -ku * (shift * co + si) + kv * (shift * si - co), -ku * u / a, -kv * v / b, ku * v - kv * u]
+    return u * u / a**2 + v * v / b**2, np.stack(by)
+
+
+def elliptical_gauss_derivs(p, x, y):
+    """Value and derivatives by x0, y0, two widths, angle, amplitude."""
+    q, by = ellipse(p, x, y)
+    shape = np.exp(-0.5 * q)
+    return p[5] * shape, np.concatenate([-0.5 * p[5] * shape * by, shape[None]])
+
+
+def elliptical_isobeta_derivs(p, x, y):
+    """Value and derivatives by x0, y0, two core radii, angle, beta, amplitude."""
+    q, by = ellipse(p, x, y)
+    e = 0.5 - 1.5 * p[5]
+    shape = (1 + q) ** e
+    f = p[6] * shape
+    return f, np.concatenate([f * e / (1 + q) * by, np.stack([-1.5 * f * np.log1p(q), shape])])
+
+
+MODELS = {"gauss": gauss_derivs, "isobeta": isobeta_derivs, "elliptical_gauss": elliptical_gauss_derivs, "elliptical_isobeta": elliptical_isobeta_derivs}
+
+
+def freedom(free) -> np.ndarray:
+    """(parameters, fitted) matrix: 0 is fixed, 1 moves alone, parameters of one greater number move as one."""
+    free = np.asarray(free, int)
+    columns = [[i] for i in np.flatnonzero(free == 1)] + [np.flatnonzero(free == g) for g in np.unique(free[free > 1])]
+    out = np.zeros((len(free), len(columns)))
+    for k, rows in enumerate(columns):
+        out[rows, k] = 1
+    return out
 
 
-def fit(samples: DataFrame, parts: list[str], start: np.ndarray, counts: list[int], free: np.ndarray | None = None, iterations: int = 10, tolerance: float = 1e-4) -> tuple[np.ndarray, float, np.ndarray]:
+def fit(samples: DataFrame, parts: list[str], start: np.ndarray, counts: list[int], free: np.ndarray | None = None, iterations: int = 10, tolerance: float = 1e-4, limits: dict[int, tuple[float, float]] | None = None) -> tuple[np.ndarray, float, np.ndarray]:
     """Damped least squares of summed source models to (tod, det, dx, dy, dat, w) samples: (parameters, chi squared, errors).
 
     Each step is one job: partitions emit their normal equations, which are summed.
+    ``free``: what :func:`freedom` takes.  ``limits``: parameter -> (low, high); one that reaches an end stays there, and those tied to it.
     """
     p = np.array(start, float)
-    free = np.ones(len(p), bool) if free is None else np.asarray(free, bool)
+    free = np.ones(len(p), int) if free is None else np.asarray(free, int)
+    move = freedom(free)
 
     def equations(q):
         def run(frames):
@@ -130,20 +169,25 @@ def fit(samples: DataFrame, parts: list[str], start: np.ndarray, counts: list[in
     chi, grad, curve = equations(p)
     lam = 0.0
     for _ in range(iterations):
-        c = curve[np.ix_(free, free)]
+        if not move.shape[1]:
+            break
+        c = move.T @ curve @ move
         scale = np.sqrt(np.maximum(np.diag(c), 1e-300))
         c = c / np.outer(scale, scale)
-        step = np.linalg.solve(c + lam * np.diag(np.diag(c)), grad[free] / scale) / scale
-        q = p.copy()
-        q[free] += step
+        step = np.linalg.solve(c + lam * np.diag(np.diag(c)), move.T @ grad / scale) / scale
+        q = p + move @ step
+        ends = [i for i, (lo, hi) in (limits or {}).items() if not lo < q[i] < hi]
+        for i in ends:
+            q = q + (move @ move[i]) * (np.clip(q[i], *limits[i]) - q[i])
         new = equations(q)
         good = new[0] < chi
         done = good and chi - new[0] < tolerance and lam == 0
         if good:
             p, (chi, grad, curve) = q, new
+            move = move[:, ~move[ends].any(axis=0)] if ends else move
         lam = damping(lam, bool(good))
         if done:
             break
     errors = np.zeros(len(p))
-    errors[free] = np.sqrt(np.diag(np.linalg.pinv(curve[np.ix_(free, free)])))
+    errors[:] = move @ np.sqrt(np.diag(np.linalg.pinv(move.T @ curve @ move)))
     return p, float(chi), errors

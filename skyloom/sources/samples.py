@@ -124,6 +124,54 @@ def read_fits_samples(spark: SparkSession, path: str, branch: float | None = Non
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "tod string, det long, samp long, ctime double, dx double, dy double, dat double, mask boolean, elev double")
 
 
+def polarimeter_samples(data: bytes, polarised: bool = False, swapped: bool = True, intervals: bool = False) -> dict[str, np.ndarray]:
+    """Columns of a polarimeter's FITS table: half sums of both channels, I alone or Q and U as detectors 0 and 1.
+
+    ``swapped``: the detectors are -U and Q.  ``intervals``: samples outside all START to END (exclusive) rows of the unit 3 are masked, if the file has it.
+    """
+    units = parse_fits(data)
+    t = units[1][1]
+    half = {k: 0.5 * (t[f"{k}1"].astype(float) + t[f"{k}2"].astype(float)) for k in ("IQU" if polarised else "I")}
+    rows = ([-half["U"], half["Q"]] if swapped else [half["Q"], half["U"]]) if polarised else [half["I"]]
+    keep, n = t["FLAG"].astype(int) == 0, len(t)
+    if intervals and len(units) > 3:
+        edge = np.zeros(n + 1, int)
+        for name, sign in (("START", 1), ("END", -1)):
+            np.add.at(edge, np.clip(units[3][1][name].astype(int), 0, n), sign)
+        keep = keep & (np.cumsum(edge[:-1]) > 0)
+    each = {"ctime": (t["MJD"].astype(float) - 2455977.5 + 2400000.5) * 86400 + 1329696000, "dx": t["RA"].astype(float), "dy": t["DEC"].astype(float), "mask": keep, "az": np.deg2rad(t["AZ"].astype(float)), "elev": np.deg2rad(t["EL"].astype(float))}
+    return {"det": np.repeat(np.arange(len(rows)), n), "samp": np.tile(np.arange(n), len(rows)), "dat": np.concatenate(rows)} | {k: np.tile(v, len(rows)) for k, v in each.items()}
+
+
+def read_polarimeter(spark: SparkSession, path: str, polarised: bool = False, swapped: bool = True, intervals: bool = False) -> DataFrame:
+    """Samples of polarimeter FITS files; see :func:`polarimeter_samples`."""
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for p, d in zip(frame["path"], frame["content"], strict=True):
+                yield pd.DataFrame({"tod": p} | polarimeter_samples(bytes(d), polarised, swapped, intervals))
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "tod string, det long, samp long, dat double, ctime double, dx double, dy double, mask boolean, az double, elev double")
+
+
+def fits_table(rows: np.ndarray, primary: bool = True) -> bytes:
+    """A FITS binary table of a record array with plain numeric columns, after an empty first unit if ``primary``."""
+    codes = {"u1": "B", "i2": "I", "i4": "J", "i8": "K", "f4": "E", "f8": "D"}
+    kinds = [(n, rows.dtype[n].str[1:]) for n in rows.dtype.names]
+    body = rows.astype([(n, f">{k}") for n, k in kinds]).tobytes()
+    cards = {"XTENSION": "'BINTABLE'", "BITPIX": 8, "NAXIS": 2, "NAXIS1": len(body) // max(len(rows), 1), "NAXIS2": len(rows), "PCOUNT": 0, "GCOUNT": 1, "TFIELDS": len(kinds)}
+    for i, (n, k) in enumerate(kinds, 1):
+        cards |= {f"TTYPE{i}": f"'{n}'", f"TFORM{i}": f"'1{codes[k]}'"}
+
+    def unit(cards):
+        head = "".join(f"{k:<8}= {v!s:>20}".ljust(80) for k, v in cards.items()) + "END".ljust(80)
+        return head.ljust(-(-len(head) // 2880) * 2880).encode("ascii")
+
+    return (unit({"SIMPLE": "T", "BITPIX": 8, "NAXIS": 0}) if primary else b"") + unit(cards) + body + b"\0" * (-len(body) % 2880)
+
+
 def fits_image(image: np.ndarray, header: dict | None = None) -> bytes:
     """A FITS file with one image, x along the first axis of ``image``."""
     cards = {"SIMPLE": "T", "BITPIX": "-64", "NAXIS": "2", "NAXIS1": str(image.shape[0]), "NAXIS2": str(image.shape[1])} | {k: f"'{v}'" if isinstance(v, str) else repr(v) for k, v in (header or {}).items()}

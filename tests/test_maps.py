@@ -64,7 +64,7 @@ def test_noise_is_symmetric_and_not_negative(name):
     assert np.linalg.eigvalsh((a + a.T) / 2).min() > -1e-9 * np.abs(a).max()
 
 
-@pytest.mark.parametrize("name, p", [("gauss", [0.1, 0.2, 0.3, 2.0]), ("isobeta", [0.1, 0.2, 0.3, 0.7, 2.0])])
+@pytest.mark.parametrize("name, p", [("gauss", [0.1, 0.2, 0.3, 2.0]), ("isobeta", [0.1, 0.2, 0.3, 0.7, 2.0]), ("elliptical_gauss", [0.1, 0.2, 0.9, 0.6, 0.4, 2.0]), ("elliptical_isobeta", [0.1, 0.2, 0.9, 0.6, 0.4, 0.7, 2.0])])
 def test_derivatives(name, p):
     x, y = np.random.default_rng(3).normal(size=(2, 20))
     _, g = solve.MODELS[name](np.array(p), x, y)
@@ -110,3 +110,69 @@ def test_fits_and_tagged_files():
     assert head["CRVAL1"] == 1.5 and (body.T == image).all()
     data = np.array([1], "<i4").tobytes() + b"x\n" + np.array([2, 3, 2, 8], "<i4").tobytes() + np.arange(6.0).tobytes()
     assert (src.parse_tagged(data)["x"] == np.arange(6.0).reshape(2, 3)).all()
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
+def test_query_without_sql_gives_rows(spark, name):
+    assert catalog.queries()[name](spark, SF).count() > 0
+
+
+def test_tied_and_limited_fits(spark):
+    rng = np.random.default_rng(5)
+    xy = rng.uniform(-1, 1, (2, 400))
+    truth = np.array([0.1, 0.05, 0.4, 0.4, 0.0, 3.0])
+    d = solve.elliptical_gauss_derivs(truth, *xy)[0] + 0.01 * rng.normal(size=400)
+    s = spark.createDataFrame([(0, 0, float(a), float(b), float(v), 1e4) for a, b, v in zip(*xy, d, strict=True)], "tod int, det int, dx double, dy double, dat double, w double")
+    p, _, err = solve.fit(s, ["elliptical_gauss"], [0.0, 0.0, 0.5, 0.5, 0.0, 2.0], [6], free=[1, 1, 2, 2, 0, 1], iterations=15)
+    assert p[2] == p[3] and p[4] == 0 and err[4] == 0 and np.allclose(p, truth, atol=0.02)
+    p, _, _ = solve.fit(s, ["elliptical_gauss"], [0.0, 0.0, 0.5, 0.5, 0.0, 2.0], [6], free=[1, 1, 2, 2, 0, 1], iterations=15, limits={5: (0.0, 2.5)})
+    assert p[5] == 2.5
+
+
+def test_nested_and_ring_pixels_are_the_same_pixels(spark):
+    from pyspark.sql import functions as F
+
+    from skyloom.functions import columns as C
+
+    n, rng = 8, np.random.default_rng(6)
+    s = spark.createDataFrame([(float(a), float(b)) for a, b in zip(rng.uniform(0, 2 * np.pi, 20000), np.arcsin(rng.uniform(-1, 1, 20000)), strict=True)], "ra double, dec double")
+    got = s.select(C.healpix_ring(F.col("ra"), F.col("dec"), n).alias("r"), C.healpix_nest(F.col("ra"), F.col("dec"), n).alias("k")).distinct().toPandas()
+    assert len(got) == got["r"].nunique() == got["k"].nunique() == 12 * n * n
+    assert got["k"].min() == 0 and got["k"].max() == 12 * n * n - 1
+
+
+def test_polarimeter_file(spark, tmp_path):
+    n = 10
+    t = np.zeros(n, [(c, "f8") for c in ("RA", "DEC", "I1", "I2", "Q1", "Q2", "U1", "U2", "MJD", "AZ", "EL")] + [("FLAG", "i2")])
+    t["Q1"], t["U1"], t["I1"], t["FLAG"][4], t["MJD"] = 2, 4, 6, 1, 55977.0 + np.arange(n) / 86400
+    cut = np.array([(1, 3), (2, 6)], [("START", "i4"), ("END", "i4")])
+    path = tmp_path / "a.fits"
+    path.write_bytes(src.fits_table(t) + src.fits_table(t, False) + src.fits_table(cut, False))
+    got = src.read_polarimeter(spark, str(path), polarised=True, intervals=True).toPandas()
+    assert len(got) == 2 * n and set(got[got["det"] == 0]["dat"]) == {-2.0} and set(got[got["det"] == 1]["dat"]) == {1.0}
+    assert sorted(got[got["mask"] & (got["det"] == 0)]["samp"]) == [1, 2, 3, 5]
+    assert set(src.read_polarimeter(spark, str(path)).toPandas()["dat"]) == {3.0}
+
+
+def test_power_law_fit_and_stripe_prior():
+    rng = np.random.default_rng(7)
+    n = 4000
+    f = np.arange(1, n) / (2 * (n - 1))
+    scale = np.concatenate([[0], np.sqrt(1 + (f / 0.05) ** -2.0)])
+    d = K.dct1(rng.normal(size=(3, n)) * scale) / (2 * (n - 1))
+    assert np.allclose(K.power_law_fit(d)[:, 2], -2, atol=0.2)
+    corr = np.exp(-np.arange(20) / 3.0)[None, :].repeat(2, 0)
+    x = rng.normal(size=(2, 20))
+    covered = K.dct1(K.dct1(x) * K.dct1(corr)) / (2 * 19)
+    assert np.allclose(K.apply_stripe_prior(K.stripe_prior(corr, 0), covered), x)
+
+
+def test_region_bootstrap_is_near_the_standard_error(spark):
+    from pyspark.sql import functions as F
+
+    from skyloom.operators import streams as S
+
+    v = np.random.default_rng(8).normal(size=500)
+    got = S.region_means(spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i long, val double"), F.lit(1)).first()
+    assert got["n"] == 500 and abs(got["mean"] - v.mean()) < 1e-9
+    assert 0.6 < got["boot_var"] / (v.var() / 500) < 1.5
