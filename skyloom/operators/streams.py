@@ -35,7 +35,8 @@ def fill_linear(samples: DataFrame) -> DataFrame:
     w = _along()
     known = F.when(F.col("dat").isNotNull(), F.struct("samp", "dat"))
     back = F.last(known, ignorenulls=True).over(w)
-    ahead = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # looked at backwards, so that the frame grows by a row; one that shrinks is scanned anew for every row
+    ahead = F.last(known, ignorenulls=True).over(Window.partitionBy(*BY_DET).orderBy(F.desc("samp")))
     s = samples.withColumns({"b": back, "a": ahead})
     span = (F.col("a.samp") - F.col("b.samp")).cast("double")
     line = F.col("b.dat") + F.try_divide((F.col("a.dat") - F.col("b.dat")) * (F.col("samp") - F.col("b.samp")), span)
