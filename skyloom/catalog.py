@@ -503,6 +503,22 @@ def template_chebyshev(spark, d):
     return rounded(S.chebyshev_project(src.events(spark, d)), "t1", "t2", "t3", digits=4)
 
 
+@query(", s AS (SELECT tod, det, samp, dat, lead(ctime) OVER (PARTITION BY tod, det ORDER BY samp) - ctime AS step FROM samples), u AS (SELECT tod, det, median(step) AS usual FROM s GROUP BY tod, det), p AS (SELECT tod, det, samp, dat, sum(CASE WHEN samp > 0 AND abs(step) > 4 * usual THEN 1 ELSE 0 END) OVER (PARTITION BY tod, det ORDER BY samp) AS piece FROM s JOIN u USING (tod, det)), n AS (SELECT *, samp - min(samp) OVER w AS i, count(*) OVER w AS c, greatest(1, count(*) OVER w // 20) AS n FROM p WINDOW w AS (PARTITION BY tod, det, piece)), t AS (SELECT *, c // n AS e, c % n AS x FROM n) SELECT tod, det, CAST(piece AS BIGINT) AS piece, CASE WHEN i < x * (e + 1) THEN i // (e + 1) ELSE x + (i - x * (e + 1)) // e END AS seg, round(sum(dat), 6) + 0.0 AS val FROM t GROUP BY ALL")
+def template_gap_stripes(spark, d):
+    return rounded(S.project(S.gap_segments(src.events(spark, d), 20, 4.0), "tod", "det", "piece", "seg"), "val")
+
+
+@query(f", e AS (SELECT tod, min(ctime) AS t0, CAST(greatest(1, ceil(2 * 0.00001::DOUBLE * (max(ctime) - min(ctime)))) AS INT) AS n FROM samples GROUP BY tod), k AS (SELECT tod, t0, n, unnest(generate_series(0, n - 1)) AS k FROM e), s AS (SELECT tod, det, k, dat, (ctime - t0) * (0.00001::DOUBLE + 0.00001::DOUBLE * k / greatest(n - 1, 1)) AS a FROM samples JOIN k USING (tod)) SELECT tod, det, CAST(k AS INT) AS k, {r('sum(dat * cos(a))', 'c', 3)}, {r('sum(dat * sin(a))', 's', 3)} FROM s GROUP BY tod, det, k")
+def template_notch(spark, d):
+    return rounded(S.notch_project(src.events(spark, d), 0.00001, 0.00002), "c", "s", digits=3)
+
+
+@query()
+def template_bowl(spark, d):
+    """Legendre polynomials in each detector's elevation offset; azimuth stands for elevation."""
+    return S.polynomial_project(S.elevation_offsets(src.events(spark, d), "az"), "apix")
+
+
 def _regions(spark, d):
     m = M.scatter(src.events(spark, d), F.col("dat"))
     x, y = F.floor(F.col("ipix") / src.NY) - 15.5, F.col("ipix") % src.NY - 11.5

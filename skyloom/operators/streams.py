@@ -68,10 +68,54 @@ def gap_pieces(samples: DataFrame, thresh: float) -> DataFrame:
 
 def segments(samples: DataFrame, seg_len: int = 100) -> DataFrame:
     """``seg``: near-equal parts of about ``seg_len`` samples, the first ones longer."""
-    size = F.count("*").over(Window.partitionBy(*BY_DET))
+    return samples.withColumn("seg", near_equal(F.col("samp"), F.count("*").over(Window.partitionBy(*BY_DET)), seg_len))
+
+
+def near_equal(at: Column, size: Column, seg_len: int) -> Column:
     n = F.greatest(F.lit(1), F.floor(size / seg_len))
     each, extra = F.floor(size / n), size % n
-    return samples.withColumn("seg", F.when(F.col("samp") < extra * (each + 1), F.floor(F.col("samp") / (each + 1))).otherwise(extra + F.floor((F.col("samp") - extra * (each + 1)) / each)).cast("long"))
+    return F.when(at < extra * (each + 1), F.floor(at / (each + 1))).otherwise(extra + F.floor((at - extra * (each + 1)) / each)).cast("long")
+
+
+def gap_segments(samples: DataFrame, seg_len: int = 500, thresh: float = 10.0) -> DataFrame:
+    """``piece`` and ``seg`` (within the piece): near-equal parts that don't cross a time gap.
+
+    The sample before a step of over ``thresh`` times the detector's median step begins a piece, the first sample aside.
+    """
+    steps = samples.withColumn("step", F.lead("ctime").over(_along()) - F.col("ctime"))
+    usual = steps.groupBy(*BY_DET).agg(F.median("step").alias("usual"))
+    cut = F.coalesce((F.abs("step") > thresh * F.col("usual")) & (F.col("samp") > 0), F.lit(False)).cast("int")
+    pieces = steps.join(usual, list(BY_DET)).withColumn("cut", cut).withColumn("piece", F.sum("cut").over(_along().rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy(*BY_DET, "piece")
+    at = F.col("samp") - F.min("samp").over(whole)
+    return pieces.withColumn("seg", near_equal(at, F.count("*").over(whole), seg_len)).drop("step", "usual", "cut")
+
+
+def elevation_offsets(samples: DataFrame, elev: str = "elev") -> DataFrame:
+    """``apix``: elevation less a parabola in time through the detectors' mean, over the timestream's largest such offset."""
+    mean = samples.groupBy("tod", "samp").agg(F.avg(elev).alias("y"))
+    long = mean.groupBy("tod").agg((F.max("samp") + 1).alias("n"))
+    x, y = F.col("samp") / F.col("n") - 0.5, F.col("y")
+    sums = mean.join(long, "tod").groupBy("tod", "n").agg(*[F.sum(F.pow(x, F.lit(k))).alias(f"s{k}") for k in range(5)], *[F.sum(y * F.pow(x, F.lit(k))).alias(f"y{k}") for k in range(3)])
+
+    def det(columns):
+        a, b, c = columns
+        return a[0] * (b[1] * c[2] - b[2] * c[1]) - b[0] * (a[1] * c[2] - a[2] * c[1]) + c[0] * (a[1] * b[2] - a[2] * b[1])
+
+    powers = [[F.col(f"s{i + j}") for j in range(3)] for i in range(3)]
+    right = [F.col(f"y{j}") for j in range(3)]
+    fit = sums.select("tod", "n", *[F.coalesce(F.try_divide(det([right if i == k else powers[i] for i in range(3)]), det(powers)), F.lit(0.0)).alias(f"c{k}") for k in range(3)])
+    off = samples.join(fit, "tod").withColumn("off", F.col(elev) - (F.col("c0") + F.col("c1") * x + F.col("c2") * x * x))
+    most = off.groupBy("tod").agg(F.max(F.abs("off")).alias("most"))
+    return off.join(most, "tod").withColumn("apix", F.coalesce(F.try_divide(F.col("off"), F.col("most")), F.lit(0.0))).drop("n", "c0", "c1", "c2", "off", "most")
+
+
+def notch_project(samples: DataFrame, low: float, high: float) -> DataFrame:
+    """(tod, det, k, c, s): sums of data times cosine and sine of time since the start, for each timestream's evenly spaced frequencies from ``low`` to ``high``."""
+    ends = samples.groupBy("tod").agg(F.min("ctime").alias("t0"), F.greatest(F.lit(1), F.ceil(2 * (high - low) * (F.max("ctime") - F.min("ctime")))).cast("int").alias("nfreq"))
+    each = samples.join(ends, "tod").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nfreq") - 1)))
+    angle = (F.col("ctime") - F.col("t0")) * (low + (high - low) * F.col("k") / F.greatest(F.col("nfreq") - 1, F.lit(1)))
+    return each.groupBy(*BY_DET, "k").agg(F.sum(F.col("dat") * F.cos(angle)).alias("c"), F.sum(F.col("dat") * F.sin(angle)).alias("s"))
 
 
 def project(samples: DataFrame, *key: str, value: Column | None = None) -> DataFrame:
@@ -82,11 +126,15 @@ def project(samples: DataFrame, *key: str, value: Column | None = None) -> DataF
 def legendre_project(samples: DataFrame, order: int = 3) -> DataFrame:
     """Sums of data times Legendre polynomials over each detector's samples."""
     n = F.count("*").over(Window.partitionBy(*BY_DET))
-    s = samples.withColumn("x", F.when(n > 1, 2.0 * F.col("samp") / F.greatest(n - 1, F.lit(1)) - 1).otherwise(-1.0))
-    p = [F.lit(1.0), F.col("x")]
+    return polynomial_project(samples.withColumn("x", F.when(n > 1, 2.0 * F.col("samp") / F.greatest(n - 1, F.lit(1)) - 1).otherwise(-1.0)), "x", order)
+
+
+def polynomial_project(samples: DataFrame, at: str, order: int = 3) -> DataFrame:
+    """Sums of each detector's data times Legendre polynomials in the column ``at``."""
+    p = [F.lit(1.0), F.col(at)]
     for k in range(1, order):
-        p.append(((2 * k + 1) * F.col("x") * p[k] - k * p[k - 1]) / (k + 1))
-    return s.groupBy(*BY_DET).agg(*[F.sum(F.col("dat") * p[k]).alias(f"p{k}") for k in range(order + 1)])
+        p.append(((2 * k + 1) * F.col(at) * p[k] - k * p[k - 1]) / (k + 1))
+    return samples.groupBy(*BY_DET).agg(*[F.sum(F.col("dat") * p[k]).alias(f"p{k}") for k in range(order + 1)])
 
 
 def az_bin(az: Column, lo: float, hi: float, bins: int) -> Column:

@@ -176,3 +176,16 @@ def test_region_bootstrap_is_near_the_standard_error(spark):
     got = S.region_means(spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i long, val double"), F.lit(1)).first()
     assert got["n"] == 500 and abs(got["mean"] - v.mean()) < 1e-9
     assert 0.6 < got["boot_var"] / (v.var() / 500) < 1.5
+
+
+def test_elevation_offsets(spark):
+    from skyloom.operators import streams as S
+
+    x = np.arange(40) / 40
+    e = 3 + x - 2 * x**2 + np.random.default_rng(9).normal(size=(3, 40)) * 0.1
+    s = spark.createDataFrame([(0, i, j, float(e[i, j])) for i in range(3) for j in range(40)], "tod int, det int, samp long, elev double")
+    got = np.zeros((3, 40))
+    for r in S.elevation_offsets(s).collect():
+        got[r["det"], r["samp"]] = r["apix"]
+    off = e - np.polyval(np.polyfit(x, e.mean(axis=0), 2), x)
+    assert np.allclose(got, off / np.abs(off).max())
