@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import packing, quality_classifier, quality_rules, simhash, suffix_dedup
+from skyloom.llm import packing, quality_classifier, quality_rules, shingle_join, suffix_dedup
 from skyloom.llm.common import crc_mod, documents, fresh_dir
 from skyloom.llm.queries import tokenizer_file
 
@@ -22,8 +22,8 @@ def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each SimHash group."""
-    return simhash.deduplicate(docs)
+    """The document of smallest id of each group that links of a five-word Jaccard similarity of 0.8 or more make."""
+    return shingle_join.deduplicate(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -237,3 +237,46 @@ def test_pipeline_keeps_columns(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = spark.createDataFrame(stage(spark, docs, sf).toPandas(), before.schema)
         assert docs.columns == before.columns and 0 < docs.count() <= before.count(), name
+
+
+def brute_components(texts):
+    """Smallest key of each group of links of five-word Jaccard similarity 0.8 or more."""
+    sets = {}
+    for k, t in texts:
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+        w = regex.findall(r"[^\x20\x09-\x0D]+", w)
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    root = {k: k for k in sets}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {k: top(k) for k in sets}
+
+
+@pytest.mark.parametrize("sf", [None, "/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_near_dedup_stage_finds_all_similar_pairs(spark, docs, sf):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    words = [f"v{i}" for i in rng.integers(0, 900, 200)]
+    rows = [(k, t) for k, t in ROWS if k != 9]
+    for k in range(100, 130):  # near copies: one to four words changed
+        w = list(words)
+        for i in rng.choice(200, rng.integers(1, 5), replace=False):
+            w[i] = f"new{k}{i}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string") if sf is None else spark.read.parquet(f"{sf}/documents.parquet")
+    texts = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    want = brute_components(texts)
+    got = corpus_pipeline.without_near_copies(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(k for k in want if want[k] == k)
+    assert corpus_pipeline.without_near_copies(spark, docs.where("doc_id > 100000000"), sf).count() == 0
