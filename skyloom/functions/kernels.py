@@ -79,11 +79,33 @@ def binned_power(y: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.add.reduceat(y * y, edges[:-1], axis=-1) / np.diff(edges)
 
 
+def step_widths(d: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+    """Noise width of each detector from the median step of its samples; one without a step gets the mean of the others."""
+    if mask is None:
+        mask = np.ones(d.shape, bool)
+    steps = [np.abs(np.diff(x[m])) for x, m in zip(d, mask, strict=True)]
+    return filled(np.array([np.median(x) if len(x) else np.nan for x in steps]) / (2 * ERFINV_HALF))
+
+
+def filled(x: np.ndarray) -> np.ndarray:
+    """NaN replaced by the mean of the rest, or by one."""
+    some = np.isfinite(x)
+    return np.where(np.isnan(x), x[some].mean() if some.any() else 1.0, x)
+
+
+def levelled(d: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
+    """Rows scaled so that samples that are missing (zero) don't lower the mean power."""
+    return d if mask is None else d * np.sqrt(d.shape[1] / np.maximum(mask.sum(axis=1), 1))[:, None]
+
+
 class White:
-    """Independent noise: the width of each detector from the median step."""
+    """Independent noise: the width of each detector from the median step.
+
+    ``mask`` (here and below): the samples that there are; the others are zero and tell nothing of the noise.
+    """
 
-    def __init__(self, d, dt=1.0, **_):
-        self.weights = 1 / (np.median(np.abs(np.diff(d, axis=1)), axis=1) / (2 * ERFINV_HALF)) ** 2
+    def __init__(self, d, dt=1.0, mask=None, **_):
+        self.weights = 1 / step_widths(d, mask) ** 2
 
     def apply(self, d):
         return d * self.weights[:, None]
@@ -95,8 +117,8 @@ class White:
 class WhiteNotch(White):
     """White noise with a band of frequencies taken out."""
 
-    def __init__(self, d, dt=1.0, low=0.0, high=0.0, **_):
-        super().__init__(d)
+    def __init__(self, d, dt=1.0, low=0.0, high=0.0, mask=None, **_):
+        super().__init__(d, mask=mask)
         n = d.shape[1]
         width = 1 / (2 * n * dt - dt)
         self.keep = np.ones(n)
@@ -107,17 +129,25 @@ class WhiteNotch(White):
 
 
 class CommonWhite:
-    """White noise beside one common mode, the leading singular vector, which is taken out."""
+    """White noise beside one common mode, the leading singular vector, which is taken out.
 
-    def __init__(self, d, dt=1.0, **_):
+    A sample's common mode is fitted to the detectors that have the sample.
+    """
+
+    def __init__(self, d, dt=1.0, mask=None, **_):
         u, s, v = np.linalg.svd(d, full_matrices=False)
         self.v = u[:, 0]
-        self.weights = 1 / np.maximum(np.var(d - np.outer(self.v, self.v @ d), axis=1), 1e-300)
+        self.mask = np.ones(d.shape, bool) if mask is None else mask
+        rest = d - np.outer(self.v, self.common(d, np.ones(len(d))))
+        used = self.mask & (self.mask.sum(axis=0) > 1)  # a detector alone has no rest
+        self.weights = filled(np.array([1 / max(np.var(x[m]), 1e-300) if m.sum() > 1 else np.nan for x, m in zip(rest, used, strict=True)]))
+
+    def common(self, d, w):
+        return ((self.v * w) @ (d * self.mask)) / np.maximum((self.v**2 * w) @ self.mask, 1e-300)
 
     def apply(self, d):
         w = self.weights
-        common = ((self.v * w) @ d) / (self.v**2 @ w)
-        return w[:, None] * (d - np.outer(self.v, common))
+        return w[:, None] * (d - np.outer(self.v, self.common(d, w))) * self.mask
 
     def det_weights(self):
         return self.weights
@@ -126,7 +156,8 @@ class CommonWhite:
 class BinnedDet:
     """Inverse mean power of each detector in bands."""
 
-    def __init__(self, d, dt=1.0, freqs=(0.1, 1.0), **_):
+    def __init__(self, d, dt=1.0, freqs=(0.1, 1.0), mask=None, **_):
+        d = levelled(d, mask)
         edges = bins_of(freqs, d.shape[1], dt)
         self.weight = np.repeat(1 / np.maximum(binned_power(dct1(d), edges), 1e-300), np.diff(edges), axis=1)
 
@@ -140,7 +171,8 @@ class BinnedDet:
 class BinnedEig:
     """Strong common modes and detectors have a power in each band; the inverse is taken band by band."""
 
-    def __init__(self, d, dt=1.0, freqs=(0.1, 1.0), thresh=5.0, **_):
+    def __init__(self, d, dt=1.0, freqs=(0.1, 1.0), thresh=5.0, mask=None, **_):
+        d = levelled(d, mask)
         self.edges = bins_of(freqs, d.shape[1], dt)
         value, vector = np.linalg.eigh(d @ d.T)
         self.modes = vector[:, value > thresh**2 * np.median(value)]
@@ -168,9 +200,9 @@ class BinnedEig:
 class SmoothedSvd:
     """Rotation to singular modes, each with a smoothed power spectrum; the mean is given no weight."""
 
-    def __init__(self, d, dt=1.0, fwhm=50.0, prewhiten=False, u=None, **_):
-        self.pre = 1 / (np.median(np.abs(np.diff(d, axis=1)), axis=1) / (2 * ERFINV_HALF)) if prewhiten else np.ones(len(d))
-        d = d * self.pre[:, None]
+    def __init__(self, d, dt=1.0, fwhm=50.0, prewhiten=False, u=None, mask=None, **_):
+        self.pre = 1 / step_widths(d, mask) if prewhiten else np.ones(len(d))
+        d = levelled(d * self.pre[:, None], mask)
         self.u = np.linalg.svd(d, full_matrices=False)[0] if u is None else u
         power = np.maximum(smooth(dct1(self.u.T @ d) ** 2, fwhm), 1e-300)
         self.weight = 1 / power

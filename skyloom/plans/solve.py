@@ -15,11 +15,14 @@ def blocks(samples: DataFrame) -> DataFrame:
     return samples.groupBy("tod", "det").agg(F.sort_array(F.collect_list(F.struct("samp", "dat", "ipix"))).alias("s")).select("tod", "det", F.col("s.dat").alias("dat"), F.col("s.ipix").alias("ipix"))
 
 
-def rectangle(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(data, pixels) of one timestream, cut to its shortest detector."""
+def rectangle(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(data, pixels, mask) of one timestream, as long as its longest detector: what a shorter one lacks is zero and False in the mask."""
     part = part.sort_values("det")
-    n = min(map(len, part["dat"]))
-    return np.stack([np.asarray(x[:n], float) for x in part["dat"]]), np.stack([np.asarray(x[:n], np.int64) for x in part["ipix"]])
+    sizes = part["dat"].map(len).to_numpy()
+    mask = np.arange(sizes.max()) < sizes[:, None]
+    d, pix = np.zeros(mask.shape), np.zeros(mask.shape, np.int64)
+    d[mask], pix[mask] = (np.concatenate([np.asarray(x) for x in part[c]]) for c in ("dat", "ipix"))
+    return d, pix, mask
 
 
 def normal_product(rows: DataFrame, image: np.ndarray | None, noise: str = "white", **options) -> np.ndarray:
@@ -27,11 +30,11 @@ def normal_product(rows: DataFrame, image: np.ndarray | None, noise: str = "whit
     sent = rows.sparkSession.sparkContext.broadcast(image)  # a map, whose grid is fixed
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        d, pix = rectangle(part)
-        model = NOISE[noise](d, **options)
-        out = model.apply(d if sent.value is None else sent.value[pix])
-        some, inverse = np.unique(pix, return_inverse=True)
-        return pd.DataFrame({"ipix": some, "val": np.bincount(inverse.ravel(), out.ravel())})
+        d, pix, mask = rectangle(part)
+        model = NOISE[noise](d, mask=mask, **options)
+        out = model.apply(d if sent.value is None else sent.value[pix] * mask)
+        some, inverse = np.unique(pix[mask], return_inverse=True)
+        return pd.DataFrame({"ipix": some, "val": np.bincount(inverse, out[mask])})
 
     return rows.groupBy("tod").applyInPandas(run, "ipix long, val double").groupBy("ipix").agg(F.sum("val").alias("val"))
 

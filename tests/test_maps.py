@@ -81,6 +81,38 @@ def test_pcg_reaches_weighted_mean(spark):
     assert left[-1] <= 1e-10 * left[0]
 
 
+@pytest.mark.parametrize("name", K.NOISE)
+def test_normal_product_keeps_all_samples(spark, name):
+    rng = np.random.default_rng(11)
+    rows = [(0, det, i, float(rng.normal() + 3 * np.sin(i)), int(rng.integers(6)) if i < 25 else 6) for det, n in enumerate((30, 26, 27, 1)) for i in range(n)]
+    cells = solve.blocks(spark.createDataFrame(rows, "tod long, det long, samp long, dat double, ipix long"))
+    d, mask, pix = np.zeros((4, 30)), np.zeros((4, 30), bool), np.zeros((4, 30), int)
+    for _, det, i, x, p in rows:
+        d[det, i], mask[det, i], pix[det, i] = x, True, p
+    model, options = K.NOISE[name], {"low": 0.1, "high": 0.2, "freqs": (0.1, 0.3)}
+    m = model(d, mask=mask, **options)
+    x = rng.normal(size=7)
+    for image, given in ((None, d), (x, x[pix] * mask)):
+        want = np.bincount(pix[mask], (m.apply(given) * mask)[mask], minlength=7)
+        got = solve.vector(solve.normal_product(cells, image, name, **options), 7)
+        assert np.allclose(got, want, rtol=1e-9) and np.isfinite(got).all() and got[6] != 0
+    a = np.stack([(m.apply(e.reshape(4, 30) * mask) * mask).ravel() for e in np.eye(120)])
+    assert np.allclose(a, a.T, atol=1e-9 * np.abs(a).max())
+
+
+def test_common_mode_with_missing_samples_is_the_masked_inverse():
+    """With a very strong common mode, the inverse of the covariance of the samples that there are."""
+    d = np.random.default_rng(12).normal(size=(3, 40))
+    mask = np.arange(40) < np.array([[40], [30], [35]])
+    m = K.CommonWhite(d * mask, mask=mask)
+    for t in (10, 33, 38):
+        on = mask[:, t]
+        cov = np.diag(1 / m.weights[on]) + 1e6 * np.outer(m.v[on], m.v[on])
+        x = np.zeros((3, 40))
+        x[on, t] = d[on, t]
+        assert np.allclose(m.apply(x)[on, t], np.linalg.solve(cov, d[on, t]), atol=1e-3)
+
+
 def test_fit_finds_source(spark):
     got = {r["par"]: r["val"] for r in catalog.queries()["fit_source"](spark, SF).collect()}
     assert abs(got["x0"] - 0.2) < 0.05 and abs(got["amp"] - 5) < 0.3
