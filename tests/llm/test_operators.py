@@ -96,6 +96,34 @@ def test_scaled_sketch(docs, empty):
     assert s.select((scaled_sketch.merge(scaled_sketch.sketch(a, share=1), scaled_sketch.sketch(b, share=1), 1) == scaled_sketch.merge(scaled_sketch.sketch(b, share=1), scaled_sketch.sketch(a, share=1), 1)).alias("x")).first()["x"]
 
 
+@pytest.mark.parametrize("share", [scaled_sketch.SHARE, 8])
+def test_scaled_sketch_sees_short_texts(spark, share):
+    """A short text that a longer one contains is found; with all hashes the likeness is exact."""
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    rng = np.random.default_rng(9)
+    words = [[f"w{x}" for x in rng.integers(0, 10**6, 60)] for _ in range(60)]
+    pairs = [(i, " ".join(w[:10]), " ".join(w)) for i, w in enumerate(words)]
+    s, t = F.col("s"), F.col("t")
+    like = scaled_sketch.text_likeness(s, t, scaled_sketch.sketch(s, share=share), scaled_sketch.sketch(t, share=share), share)
+    got = spark.createDataFrame(pairs, "i long, s string, t string").select(like.alias("x")).collect()
+    assert all(r["x"] == 1 for r in got)
+    rows = [(2 * i, s) for i, s, _ in pairs] + [(2 * i + 1, t) for i, _, t in pairs]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    for r in scaled_sketch.sketch_and_edits(docs, bytes_a_range=500, share=share).collect():
+        a, b = texts[r["doc_id"]], texts[(r["doc_id"] - 1) % len(rows)]
+        e = a[: len(a) - len(a) // 2] + b[: len(a) // 2]
+        exact = [len(shingles(a) & shingles(x)) / min(len(shingles(a)), len(shingles(x))) for x in (e, b)]
+        if share == 1:
+            assert np.allclose([r["near_edited"], r["near_next"]], exact)
+        elif r["doc_id"] % 2:
+            assert r["near_next"] == 1
+
+
 def library_ids(texts):
     from tokenizers import Tokenizer
 
