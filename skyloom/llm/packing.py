@@ -5,8 +5,9 @@ shorter; full pieces are sequences of their own.  The other pieces are dealt by
 hash into groups of about ``GROUP`` pieces; each group is packed by itself, so
 that at most one badly filled sequence a group is lost.  In a group the longest
 piece goes first, each to the fullest bin that holds it.  Then underfull bins move
-one piece, or exchange one for one or two for one, whenever that raises the sum of
-squared fills, until no bin can be emptied any further.
+one or two pieces, or exchange one for one, two for one or one for two, whenever that
+raises the sum of squared fills, until no bin has such a change or the volume of the
+pieces allows no fewer bins.
 
 Defined cases: null is the empty text and has the end id alone; rows of equal key
 are packed each; an empty table gives an empty result; other columns aren't read.
@@ -14,7 +15,9 @@ are packed each; an empty table gives an empty result; other columns aren't read
 
 from __future__ import annotations
 
+import heapq
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -26,8 +29,6 @@ from .common import small_batches, stored
 from .token_ids import PieceEncoder, groups_by_size
 
 LENGTH, GROUP = 2048, 30_000
-#: Underfull bins that local search looks at beside the one that it empties.
-ROUNDS = 40
 
 
 def pieces(n: int, length: int = LENGTH) -> list[int]:
@@ -59,57 +60,118 @@ def best_fit(lengths: np.ndarray, length: int = LENGTH) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, length: int = LENGTH, rounds: int = ROUNDS) -> list[list[int]]:
+def pair_sums(sizes: list[int]) -> dict[int, tuple[int, int]]:
+    """Sum -> two sizes, for all pairs of a bin's pieces; a bin has few distinct sizes, as they sum up to its fill."""
+    many = Counter(sizes)
+    some = sorted(many)
+    return {a + b: (a, b) for k, a in enumerate(some) for b in some[k if many[a] > 1 else k + 1 :]}
+
+
+class Underfull:
+    """Bins by what they can take: for each set of pieces given away, the room after it and its size."""
+
+    def __init__(self, length: int):
+        self.outs: list[dict[int, dict[int, tuple]]] = [{} for _ in range(length + 1)]
+        self.some = 0  # bit r is set if a bin can have r left
+        self.has: dict[int, list[tuple[int, int]]] = {}
+
+    def add(self, k: int, gap: int, sizes: list[int]) -> None:
+        outs = {0: ()} | pair_sums(sizes) | {a: (a,) for a in sizes}
+        self.has[k] = [(gap + o, o) for o in outs]
+        for r, o in self.has[k]:
+            self.outs[r].setdefault(o, {})[k] = outs[o]
+            self.some |= 1 << r
+
+    def remove(self, k: int) -> None:
+        for r, o in self.has.pop(k, ()):
+            at = self.outs[r]
+            del at[o][k]
+            if not at[o]:
+                del at[o]
+            if not at:
+                self.some ^= 1 << r
+
+    def taker(self, n: int, fill: int, length: int, single: bool):
+        """(left, out size, bin, pieces out) of the bin that ``n`` from a bin of ``fill`` fills best, or None.
+
+        Left is its room afterwards; it must then be fuller than the giver was.
+        """
+        r = n
+        while higher := self.some >> r:
+            r += (higher & -higher).bit_length() - 1
+            if length - (r - n) <= fill:
+                break
+            for o in sorted(o for o in self.outs[r] if o < n):  # the least out: the giver loses most
+                for k, out in self.outs[r][o].items():
+                    if single or len(out) < 2:
+                        return r - n, o, k, out
+            r += 1
+        return None
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, length: int = LENGTH) -> list[list[int]]:
     """Moves and exchanges between underfull bins that raise squared fill; emptied bins go.
 
-    A round takes the least filled bin as donor and walks over the other underfull
-    bins, fullest first.  For each it takes the change that fills it most: a piece
-    moved, a piece exchanged for a shorter one, or for two that are shorter together.
+    The least filled bin gives as long as another can take one or two of its pieces,
+    for none, one or (against one) two shorter ones.  Bins take turns until none has
+    a change.
     """
     size = lengths.tolist()
+    bins = [list(b) for b in bins]
     fill = [sum(size[i] for i in b) for b in bins]
-    live = [k for k in range(len(bins)) if fill[k] < length]
-    for _ in range(rounds):
-        live = sorted((k for k in live if 0 < fill[k] < length), key=lambda k: (fill[k], k))
-        if len(live) < 2 or sum(length - fill[k] for k in live) < length:
-            break
-        donor, better = live[0], False
-        for k in reversed(live[1:]):
-            if not bins[donor]:
-                break
-            gap = length - fill[k]
-            if not gap:
-                continue
-            best = (0, None, ())
-            own = bins[k]
-            pairs = [(size[a] + size[b], (a, b)) for x, a in enumerate(own[:40]) for b in own[x + 1 : 40]]
-            outs = [(0, ())] + [(size[a], (a,)) for a in own] + pairs
-            for i in bins[donor]:
-                for out, which in outs:
-                    gain = size[i] - out
-                    # fuller bins may take only what raises the sum of squares
-                    if best[0] < gain <= gap and fill[k] + gain > fill[donor] - gain:
-                        best = (gain, i, which)
-            gain, i, which = best
-            if i is None:
-                # the same with the parts exchanged: two of the donor for one here
-                mine = bins[donor][:40]
-                for x, a in enumerate(mine):
-                    for b in mine[x + 1 :]:
-                        for c in own:
-                            g = size[a] + size[b] - size[c]
-                            if gain < g <= gap:
-                                gain, i, which = g, (a, b), (c,)
-            if i is None:
+    sizes_of = lambda k: [size[i] for i in bins[k]]
+    index = Underfull(length)
+    spare = 0
+    for k in range(len(bins)):
+        if fill[k] < length:
+            index.add(k, length - fill[k], sizes_of(k))
+            spare += length - fill[k]
+
+    def pull(k: int, out: tuple[int, ...]) -> list[int]:
+        got = []
+        for n in out:
+            at = next(x for x, i in enumerate(bins[k]) if size[i] == n)
+            got.append(bins[k].pop(at))
+        return got
+
+    better = True
+    while better:
+        better = False
+        queue = [(fill[k], k) for k in index.has]
+        heapq.heapify(queue)
+        while queue and spare >= length:
+            was, donor = heapq.heappop(queue)
+            if donor not in index.has or was != fill[donor]:
+                continue  # full, or it has come in again
+            own = sizes_of(donor)
+            index.remove(donor)
+            offers = [(n, (n,)) for n in sorted(set(own), reverse=True)] + sorted(pair_sums(own).items(), reverse=True)
+            found = None
+            for n, given in offers:
+                taker = index.taker(n, fill[donor], length, len(given) == 1)
+                if taker and (found is None or (taker[0], taker[1] - n) < found[0]):
+                    found = (taker[0], taker[1] - n), given, taker
+                    if not taker[0] and not taker[1]:
+                        break
+            if found is None:
+                index.add(donor, length - fill[donor], own)
                 continue
-            given = i if isinstance(i, tuple) else (i,)
-            bins[donor] = [x for x in bins[donor] if x not in given] + list(which)
-            bins[k] = [x for x in own if x not in which] + list(given)
-            fill[k] += gain
-            fill[donor] -= gain
+            (_, less), given, (_, _, k, out) = found
+            index.remove(k)
+            mine, theirs = pull(donor, given), pull(k, out)
+            bins[k] += mine
+            bins[donor] += theirs
+            fill[k] -= less
+            fill[donor] += less
             better = True
-        if not better:
-            live = live[1:]
+            for x in (k, donor):
+                if 0 < fill[x] < length:
+                    index.add(x, length - fill[x], sizes_of(x))
+                    heapq.heappush(queue, (fill[x], x))
+            if not fill[donor]:
+                spare -= length
+        if spare < length:
+            break
     return [b for b in bins if b]
 
 

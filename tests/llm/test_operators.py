@@ -186,6 +186,25 @@ def test_packing(docs, empty):
     assert len(bins) == 2 and sorted(i for b in bins for i in b) == [0, 1, 2, 3]
 
 
+def test_local_search_goes_on_until_no_bin_has_a_change():
+    sizes = np.random.default_rng(1).integers(600, 761, 2000)
+    first = packing.best_fit(sizes)
+    bins = packing.local_search(first, sizes)
+    assert sorted(i for b in bins for i in b) == list(range(2000)) and max(sizes[b].sum() for b in bins) <= 2048
+    assert len(first) - len(bins) > 40
+    sizes = np.random.default_rng(2).integers(30, 60, 120)
+    bins = packing.local_search([[i] for i in range(120)], sizes, 100)
+    fill = [int(sizes[b].sum()) for b in bins]
+    if sum(100 - f for f in fill) >= 100:  # by brute force: no move or exchange raises the squares
+        for d, give in enumerate(bins):
+            for k, take in enumerate(bins):
+                outs = [0, *sizes[take]]
+                pairs = [sizes[a] + sizes[b] for x, a in enumerate(take) for b in take[x + 1 :]]
+                two = [sizes[a] + sizes[b] for x, a in enumerate(give) for b in give[x + 1 :]]
+                gains = [i - o for i in sizes[give] for o in outs + pairs] + [i - o for i in two for o in outs]
+                assert d == k or not any(0 < g <= 100 - fill[k] and fill[k] + g > fill[d] for g in gains)
+
+
 def test_suffix_dedup(docs, empty):
     seen, want = {}, []
     for k, t in sorted(ROWS, key=lambda r: r[0]):
