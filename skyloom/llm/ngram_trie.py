@@ -1,17 +1,16 @@
 """LM scoring with an Elias-Fano n-gram trie in memory-mapped level files.
 
 Level 1 holds all words of the training texts, as sorted 64-bit hashes.  A deeper
-level holds the n-grams seen ``LEAST`` times or more, sorted by context and last
-word.  For each context a monotone pointer gives the range of its successors; a
+level holds all n-grams of the training texts, sorted by context and last word.  For each context a monotone pointer gives the range of its successors; a
 successor is stored relative to its context (its word number plus the last code of
 the ranges before), so that the codes are monotone as well.  Both sequences, and the
 hashes, are Elias-Fano coded; a lookup is a successor search in the context's range.
-Absolute discounting is interpolated down to add-one unigrams; discounted
+Absolute discounting is interpolated down to add-one unigrams; a shard's discount at
+a level is n1 / (n1 + 2 n2), of the numbers of n-grams seen once and twice.  Discounted
 probabilities and back-off weights are quantised to a byte, unigram counts are exact.
 
 A level is counted over all training texts: blocks of distinct n-grams with their
-counts meet by context range.  An n-gram is only counted where its context is in the
-trie.  Levels are split in shards by first word; tasks map the files from the shared
+counts meet by context range.  Levels are split in shards by first word; tasks map the files from the shared
 folder and hold no level in memory (other stores are read into memory).
 
 Defined cases: null is the empty text, which is the end token alone; without a
@@ -36,7 +35,8 @@ from .suffix_dedup import WEIGHTS, mixed
 from .token_files import write_whole
 from .token_ids import base_powers, groups_by_size
 
-ORDER, LEAST, DISCOUNT, SHARD = 3, 3, 0.75, 48 << 20
+#: ``DISCOUNT`` is that of a shard whose counts fit none.
+ORDER, DISCOUNT, SHARD = 3, 0.75, 16 << 20
 END = np.uint64(0x9E3779B97F4A7C15)
 #: Quantised logs: code 255 is 0, each step below it STEP.
 STEP = 9.0 / 255
@@ -314,6 +314,15 @@ def level_one(folder: str):
     return run
 
 
+def packed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Both numbers, which are below 2**32, in one."""
+    return (context.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64)
+
+
+def unpacked(both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 def walk(trie: Trie, h: np.ndarray, many: np.ndarray, levels: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
     """(word number of each token; for each level the number of the n-gram that ends there, and of the one that ends before it; first tokens)."""
     distinct, inverse = np.unique(h, return_inverse=True)
@@ -330,13 +339,12 @@ def walk(trie: Trie, h: np.ndarray, many: np.ndarray, levels: int) -> tuple[np.n
     numbers = [word]
     contexts = [before(word, int(end))]
     for level in range(2, levels + 1):
-        pair = (contexts[-1] << 32) | word if word.max(initial=0) < 1 << 32 else None
         context = contexts[-1]
-        if pair is not None and len(pair):
+        if len(word) and max(word.max(), context.max()) < 1 << 32:
             good = np.flatnonzero((context >= 0) & (word >= 0))
-            some, back = np.unique(pair[good], return_inverse=True)
+            some, back = np.unique(packed(context[good], word[good]), return_inverse=True)
             number = np.full(len(word), -1, np.int64)
-            number[good] = trie.extend(level, some >> 32, some & 0xFFFFFFFF)[back]
+            number[good] = trie.extend(level, *unpacked(some))[back]
         else:
             number = trie.extend(level, context, word)
         numbers.append(number)
@@ -354,17 +362,29 @@ def count_level(trie: Trie, level: int):
             good = c >= 0
             if not good.any():
                 continue
-            # context and word in one integer: both are numbers of entries, below 2**31 here
-            assert max(int(c.max()), int(word.max())) < 1 << 31, "a level has too many entries for one packed key"
-            packed, n = np.unique((c[good] << 32) | word[good], return_counts=True)
-            keys = np.stack([packed >> 32, packed & 0xFFFFFFFF], axis=1)
-            where = np.searchsorted(trie.starts[level - 2], keys[:, 0], side="right") - 1
-            near = (keys[:, 0] - trie.starts[level - 2][where]).astype("<u4")
-            yield sent_rows(where, [near, keys[:, 1].astype("<u4"), n.astype(np.uint8 if n.max() < 256 else "<u4")])
+            c, w = c[good], word[good]
+            if max(int(c.max()), int(w.max())) < 1 << 32:
+                both, n = np.unique(packed(c, w), return_counts=True)
+                c, w = unpacked(both)
+            else:
+                order = np.lexsort((w, c))
+                c, w = c[order], w[order]
+                first = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])))
+                n = np.diff(np.append(first, len(c)))
+                c, w = c[first], w[first]
+            where = np.searchsorted(trie.starts[level - 2], c, side="right") - 1
+            near = (c - trie.starts[level - 2][where]).astype("<u4")
+            yield sent_rows(where, [near, w.astype("<u4"), n.astype(np.uint8 if n.max() < 256 else "<u4")])
 
     return run
 
 
+def discount(n: np.ndarray) -> float:
+    """The absolute discount that fits counts, from the numbers of ones and twos."""
+    once, twice = int((n == 1).sum()), int((n == 2).sum())
+    return once / (once + 2 * twice) if once and twice else DISCOUNT
+
+
 def level_more(folder: str, level: int, sizes: list[int]):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         c = np.concatenate([np.frombuffer(x, "<u4") for x in part["a"]]).astype(np.int64)
@@ -376,9 +396,7 @@ def level_more(folder: str, level: int, sizes: list[int]):
         first = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])))
         c, w, n = c[first], w[first], np.add.reduceat(n, first)
         total = np.bincount(c, n, minlength=sizes[shard])
-        keep = n >= LEAST
-        c, w, n = c[keep], w[keep], n[keep]
-        p = (n - DISCOUNT) / total[c]
+        p = (n - discount(n)) / total[c]
         left = 1 - np.bincount(c, p, minlength=sizes[shard])
         pointers = np.append(0, np.cumsum(np.bincount(c, minlength=sizes[shard])))
         opens = np.append(True, c[1:] != c[:-1]) if len(c) else np.zeros(0, bool)

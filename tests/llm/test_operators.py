@@ -245,6 +245,9 @@ def test_ngram_trie(docs, empty):
     assert sorted((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
     assert all(r["train_tokens"] == len(train) and r["score"] < 0 for r in got)
     assert ngram_trie.score(empty, ngram_trie.train(empty)).count() == 0
+    grams = [{tuple(x[i : i + n]) for t, k in tokens if not out[k] for x in [[b"\n", *t]] for i in range(len(x) - n + 1)} for n in (2, 3)]
+    # every bigram and trigram of the training texts is in the trie, however rare; a text opens with the end token
+    assert [int(s[-1]) for s in trie.starts[1:]] == [len(g) for g in grams]
     x = np.sort(np.random.default_rng(7).integers(0, 1 << 40, 500).astype(np.uint64))
     e = ngram_trie.EliasFano(ngram_trie.EliasFano.build("q", x), "q")
     assert (e.access(np.arange(500)) == x).all() and (x[e.find(x)] == x).all()
