@@ -1,7 +1,7 @@
 """What several corpus operators share: the shared folder, lineage cuts, words, components.
 
 Shared folder.  Everything an operator writes between jobs goes below the folder
-named by ``spark.checkpoint.dir``; only where that is unset (tests, one machine)
+named by ``spark.checkpoint.dir``; only where that is unset and the master is local
 is a temporary folder of this machine taken.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import json
+import math
 import tempfile
 import uuid
 
@@ -19,14 +21,20 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-#: Rows of an Arrow batch that goes to Python: with the longest documents a batch stays small.
-ARROW_ROWS = 512
+#: Rows and bytes of an Arrow batch that goes to Python.
+ARROW_ROWS, ARROW_BYTES = 20_000, 8 << 20
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Hand text to Python in batches of few rows, whatever their length."""
-    ship(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+_local: dict[str, str] = {}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in batches of bounded bytes, whatever their length.
+
+    All operators set the same two values, so that it doesn't matter which did last.
+    """
+    ship(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -36,12 +44,15 @@ def release_shuffles(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
+    """The folder that the driver and all executors share; one of this machine only where the master is local."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="skyloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if "at" not in _local:
+        _local["at"] = tempfile.mkdtemp(prefix="skyloom-")
+    return _local["at"]
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -74,18 +85,57 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def range_buckets(docs: DataFrame, key: str, count: int) -> list:
-    """At most ``count`` - 1 ascending bounds that split the keys about evenly."""
-    if count < 2:
-        return []
+def percentiles(key: str, count: int) -> Column:
+    """An aggregate: at most ``count`` - 1 ascending bounds that split the keys about evenly."""
     shares = ", ".join(str(i / count) for i in range(1, count))
-    found = docs.agg(F.expr(f"approx_percentile({key}, array({shares}), {20 * count})")).first()[0] or []
-    return sorted(set(found))
+    return F.array_sort(F.array_distinct(F.expr(f"approx_percentile({key}, array({shares}), {20 * count})")))
+
 
+def constant(values: list, kind: str) -> Column:
+    """A list as one literal."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+class KeyRanges:
+    """Ranges of a long key with about equally many rows, found and looked up in two levels.
+
+    ``bounds[g]`` are the bounds inside the g-th coarse range, ``coarse`` those between
+    coarse ranges; a bound belongs to the range below it, and null to the first range.
+    Both lists have about the root of ``count`` members.
+    """
 
-def range_place(key: Column, bounds: list) -> Column:
-    """Number of the bounds below the key: the range that it is in."""
-    return F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < key)) if bounds else F.lit(0)
+    def __init__(self, docs: DataFrame, key: str, count: int):
+        side = math.ceil(math.sqrt(max(count, 1)))
+        keys = docs.select(F.col(key).cast("long").alias("k")).where("k is not null")
+        self.coarse = keys.agg(percentiles("k", side).alias("b")).first()["b"] or [] if side > 1 else []
+        self.bounds: list[list[int]] = [[] for _ in range(len(self.coarse) + 1)]
+        if side > 1:
+            for row in keys.groupBy(self._coarse(F.col("k")).alias("g")).agg(percentiles("k", side).alias("b")).collect():  # a row a coarse range
+                self.bounds[row["g"]] = [x for x in row["b"] if x not in self.coarse]
+        self.before = [0]
+        for b in self.bounds:
+            self.before.append(self.before[-1] + len(b) + 1)
+
+    @property
+    def count(self) -> int:
+        return self.before[-1]
+
+    def flat(self) -> list[int]:
+        """All bounds in order."""
+        out = list(self.bounds[0])
+        for edge, inner in zip(self.coarse, self.bounds[1:], strict=True):
+            out += [edge, *inner]
+        return out
+
+    def _coarse(self, key: Column) -> Column:
+        return F.size(F.filter(constant(self.coarse, "array<bigint>"), lambda b: b < key)) if self.coarse else F.lit(0)
+
+    def place(self, key: Column) -> Column:
+        """Number of the range that holds a key."""
+        if self.count == 1:
+            return F.lit(0)
+        g = self._coarse(key)
+        return (F.get(constant(self.before, "array<int>"), g) + F.size(F.filter(F.get(constant(self.bounds, "array<array<bigint>>"), g), lambda b: b < key))).cast("int")
 
 
 def crc_mod(doc_id: Column, mod: int) -> Column:

@@ -1,21 +1,26 @@
 """LM scoring with an Elias-Fano n-gram trie in memory-mapped level files.
 
-Level 1 holds all words of the training texts, as sorted 64-bit hashes.  A deeper
-level holds all n-grams of the training texts, sorted by context and last word.  For each context a monotone pointer gives the range of its successors; a
-successor is stored relative to its context (its word number plus the last code of
-the ranges before), so that the codes are monotone as well.  Both sequences, and the
-hashes, are Elias-Fano coded; a lookup is a successor search in the context's range.
-Absolute discounting is interpolated down to add-one unigrams; a shard's discount at
-a level is n1 / (n1 + 2 n2), of the numbers of n-grams seen once and twice.  Discounted
-probabilities and back-off weights are quantised to a byte, unigram counts are exact.
+Level 1 holds all words of the training texts, as sorted 64-bit hashes (XXH64 of the
+word's bytes; equal words are found by their bytes).  A deeper level holds all n-grams
+of the training texts, sorted by context and last word.  For each context a monotone
+pointer gives the range of its successors; a successor is stored relative to its
+context (its word number plus the last code of the ranges before), so that the codes
+are monotone as well.  Both sequences, and the hashes, are Elias-Fano coded; a lookup
+is a successor search in the context's range.  Absolute discounting is interpolated
+down to add-one unigrams; a shard's discount at a level is n1 / (n1 + 2 n2), of the
+numbers of n-grams seen once and twice.  Discounted probabilities and back-off weights
+are quantised to a byte, unigram probabilities to two; exact word counts stand beside
+them for the base score.
 
 A level is counted over all training texts: blocks of distinct n-grams with their
-counts meet by context range.  Levels are split in shards by first word; tasks map the files from the shared
-folder and hold no level in memory (other stores are read into memory).
+counts meet by context range.  Words are dealt to shards by hash; a deeper level is cut
+where the contexts' occurrences sum up to ``MASS``, so that a frequent first word has
+as many shards as its n-grams need.  Tasks map the files from the shared folder and
+hold no level in memory (other stores are read into memory).
 
 Defined cases: null is the empty text, which is the end token alone; without a
-training text every token is unknown; rows of equal id are scored each; an empty
-table gives an empty result; other columns aren't read.
+training text every token is unknown; rows of equal id are scored each; rows of null
+id are learned from; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -26,20 +31,22 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bucket, fresh_dir, release_shuffles, small_batches, utf8
-from .suffix_dedup import WEIGHTS, mixed
+from .spans import distinct_spans
 from .token_files import write_whole
-from .token_ids import base_powers, groups_by_size
-
-#: ``DISCOUNT`` is that of a shard whose counts fit none.
-ORDER, DISCOUNT, SHARD = 3, 0.75, 16 << 20
-END = np.uint64(0x9E3779B97F4A7C15)
-#: Quantised logs: code 255 is 0, each step below it STEP.
-STEP = 9.0 / 255
+from .token_ids import groups_by_size
+
+#: ``DISCOUNT`` is that of a shard whose counts fit none; ``SHARD`` bytes of text give one shard of words, ``MASS`` occurrences one of n-grams.
+ORDER, DISCOUNT, SHARD, MASS = 3, 0.75, 16 << 20, 3 << 20
+#: The end token; no word has a line feed in it.
+END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
+#: Quantised logs: code 255 is 0, each step below it STEP.  A word's code is the log of its count and one in steps of WORD_STEP.
+STEP, WORD_STEP = 9.0 / 255, 20.0 / 65535
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -174,10 +181,14 @@ def by_shard(where: np.ndarray):
 
 
 class Trie:
-    """The levels built so far; ``starts[k]``: number of the first entry of each shard at level k + 1."""
+    """The levels built so far.
+
+    ``starts[k]``: number of the first entry of each shard at level k + 1; ``cuts[k]``:
+    number of the first context (an entry of level k) of each of these shards.
+    """
 
-    def __init__(self, folder: str, shards: int, starts: list[list[int]], tokens: int):
-        self.folder, self.shards, self.starts, self.tokens = folder, shards, [np.array(s, np.int64) for s in starts], tokens
+    def __init__(self, folder: str, shards: int, starts: list[np.ndarray], cuts: list[np.ndarray], tokens: int):
+        self.folder, self.shards, self.starts, self.cuts, self.tokens = folder, shards, starts, cuts, tokens
         self.open: dict = {}
 
     def part(self, level: int, shard: int) -> dict:
@@ -202,7 +213,7 @@ class Trie:
         some = np.flatnonzero((context >= 0) & (word >= 0))
         if not len(some):
             return out
-        over = self.starts[level - 2]
+        over = self.cuts[level - 1]
         for s, k in by_shard(np.searchsorted(over, context[some], side="right") - 1):
             at = some[k]
             if self.starts[level - 1][s + 1] == self.starts[level - 1][s]:
@@ -229,7 +240,7 @@ class Trie:
     def weights(self, level: int, context: np.ndarray) -> np.ndarray:
         """Back-off weight of contexts of ``level`` towards level + 1."""
         out = np.zeros(len(context), np.uint8)
-        over = self.starts[level - 1]
+        over = self.cuts[level]
         for s, at in by_shard(np.searchsorted(over, context, side="right") - 1):
             out[at] = self.part(level + 1, s)["weights"][context[at] - over[s]] if self.starts[level][s + 1] > self.starts[level][s] else 255
         return value(out)
@@ -243,27 +254,25 @@ def value(code: np.ndarray) -> np.ndarray:
     return 10.0 ** ((code.astype(np.float64) - 255) * STEP)
 
 
-def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each token of all texts in order, number of tokens of each text): words, then the end."""
+def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each distinct token, number of the token at each place, number of tokens of each text): words, then the end."""
     raw = b"\n".join(utf8(t).lower() for t in texts) + b"\n"
     x = np.frombuffer(raw, np.uint8)
     sizes = np.fromiter((len(utf8(t)) + 1 for t in texts), np.int64, len(texts))
     white = WHITE[x]
     change = np.flatnonzero(np.diff(np.concatenate([[True], white, [True]]).astype(np.int8)))
     start, end = change[0::2], change[1::2]
-    up, down = base_powers(len(x) + 1)
-    total = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(WEIGHTS[x] * up[: len(x)], out=total[1:])
-    h = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    first, group = distinct_spans(raw, start, end - start)
+    names = [xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
     doc = np.searchsorted(np.cumsum(sizes), start, side="right")
     many = np.bincount(doc, minlength=len(texts)) + 1
-    out = np.full(int(many.sum()), END, np.uint64)
-    out[np.arange(len(h)) + doc] = h
-    return out, many
+    at = np.full(int(many.sum()), len(names))
+    at[np.arange(len(start)) + doc] = group
+    return np.append(np.array(names, np.uint64), END), at, many
 
 
 def held_out(keys: list) -> np.ndarray:
-    return np.fromiter((zlib.crc32(str(k).encode()) % 7 == 2 for k in keys), bool, len(keys))
+    return np.fromiter((k is not None and zlib.crc32(str(k).encode()) % 7 == 2 for k in keys), bool, len(keys))
 
 
 SENT = "shard int, n int, a binary, b binary, c binary"
@@ -276,7 +285,7 @@ def sent_rows(where: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _training(batches, most: int = 6_000_000):
-    """Token hashes and token counts of the training texts, some millions of characters at a time."""
+    """Tokens of the training texts, some millions of characters at a time."""
     held, size = [], 0
     for batch, texts in groups_by_size(batches):
         out = held_out(batch.column(0).to_pylist())
@@ -284,22 +293,40 @@ def _training(batches, most: int = 6_000_000):
         size += sum(len(t or "") for t in texts)
         if size >= most:
             if held:
-                yield token_hashes(held)
+                yield tokens_of(held)
             held, size = [], 0
     if held:
-        yield token_hashes(held)
+        yield tokens_of(held)
 
 
 def count_words(shards: int):
     def run(batches):
-        for h, _ in _training(batches):
-            distinct, n = np.unique(h, return_counts=True)
-            yield sent_rows(shard_of(distinct, shards), [distinct, n.astype("<u4"), np.zeros(len(n), np.uint8)])
+        for names, at, _ in _training(batches):
+            yield sent_rows(shard_of(names, shards), [names, np.bincount(at, minlength=len(names)).astype("<u4"), np.zeros(len(names), np.uint8)])
 
     return run
 
 
-def level_one(folder: str):
+def pieces_of(mass: np.ndarray, least: int) -> tuple[list[int], list[int]]:
+    """(first entry, mass) of stretches of entries that have about ``least`` each, or one heavy entry."""
+    before = np.cumsum(mass) - mass
+    first = np.flatnonzero(np.append(True, np.diff(before // least) > 0)) if len(mass) else np.zeros(0, np.int64)
+    return first.tolist(), np.add.reduceat(mass, first).tolist() if len(mass) else []
+
+
+def context_cuts(done: list[dict], starts: np.ndarray, most: int) -> np.ndarray:
+    """First contexts of the next level's shards, of ``most`` occurrences or one context each, and the number of contexts."""
+    cuts, held = [0], 0
+    for r in done:  # a few rows a shard
+        for first, mass in zip(r["first"], r["mass"], strict=True):
+            if held and held + mass > most:
+                cuts.append(int(starts[r["shard"]]) + first)
+                held = 0
+            held += mass
+    return np.array([*cuts, int(starts[-1])], np.int64)
+
+
+def level_one(folder: str, mass: int = MASS):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         h = np.concatenate([np.frombuffer(x, "<u8") for x in part["a"]])
         n = np.concatenate([np.frombuffer(x, "<u4") for x in part["b"]]).astype(np.int64)
@@ -308,8 +335,10 @@ def level_one(folder: str):
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         n = np.add.reduceat(n, first)
         shard = int(part["shard"].iloc[0])
-        write_whole(folder, f"level1-{shard:05d}.trie", container(EliasFano.build("codes", h[first]) | {"counts": n.astype("<u8")}))
-        return pd.DataFrame({"shard": np.array([shard], np.int32), "entries": [len(first)], "total": [int(n.sum())]})
+        arrays = EliasFano.build("codes", h[first]) | {"counts": n.astype("<u8"), "probs": np.rint(np.log10(n + 1.0) / WORD_STEP).astype("<u2")}
+        write_whole(folder, f"level1-{shard:05d}.trie", container(arrays))
+        some, masses = pieces_of(n, mass // 8)
+        return pd.DataFrame({"shard": np.array([shard], np.int32), "entries": [len(first)], "total": [int(n.sum())], "first": [some], "mass": [masses]})
 
     return run
 
@@ -323,12 +352,11 @@ def unpacked(both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def walk(trie: Trie, h: np.ndarray, many: np.ndarray, levels: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+def walk(trie: Trie, names: np.ndarray, at: np.ndarray, many: np.ndarray, levels: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
     """(word number of each token; for each level the number of the n-gram that ends there, and of the one that ends before it; first tokens)."""
-    distinct, inverse = np.unique(h, return_inverse=True)
-    word = trie.words(distinct)[inverse]
+    known = trie.words(names)
+    word, end = known[at], known[-1]
     start = np.cumsum(many) - many
-    end = trie.words(np.array([END]))[0]
 
     def before(numbers: np.ndarray, opening: int) -> np.ndarray:
         out = np.empty_like(numbers)
@@ -356,8 +384,8 @@ def count_level(trie: Trie, level: int):
     """Distinct (context, word) of a level with counts, where the context is in the trie."""
 
     def run(batches):
-        for h, many in _training(batches):
-            word, _, contexts, _ = walk(trie, h, many, level - 1)
+        for names, at, many in _training(batches):
+            word, _, contexts, _ = walk(trie, names, at, many, level - 1)
             c = contexts[level - 2]
             good = c >= 0
             if not good.any():
@@ -372,9 +400,9 @@ def count_level(trie: Trie, level: int):
                 first = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])))
                 n = np.diff(np.append(first, len(c)))
                 c, w = c[first], w[first]
-            where = np.searchsorted(trie.starts[level - 2], c, side="right") - 1
-            near = (c - trie.starts[level - 2][where]).astype("<u4")
-            yield sent_rows(where, [near, w.astype("<u4"), n.astype(np.uint8 if n.max() < 256 else "<u4")])
+            where = np.searchsorted(trie.cuts[level - 1], c, side="right") - 1
+            near = (c - trie.cuts[level - 1][where]).astype("<u4")
+            yield sent_rows(where, [near, w.astype("<u4" if int(w.max()) < 1 << 32 else "<u8"), n.astype(np.uint8 if n.max() < 256 else "<u4")])
 
     return run
 
@@ -385,10 +413,10 @@ def discount(n: np.ndarray) -> float:
     return once / (once + 2 * twice) if once and twice else DISCOUNT
 
 
-def level_more(folder: str, level: int, sizes: list[int]):
+def level_more(folder: str, level: int, sizes: np.ndarray, mass: int = MASS):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         c = np.concatenate([np.frombuffer(x, "<u4") for x in part["a"]]).astype(np.int64)
-        w = np.concatenate([np.frombuffer(x, "<u4") for x in part["b"]]).astype(np.int64)
+        w = np.concatenate([np.frombuffer(x, "<u4" if len(x) == 4 * m else "<u8").astype(np.int64) for x, m in zip(part["b"], part["n"], strict=True)])
         n = np.concatenate([np.frombuffer(x, np.uint8 if len(x) == m else "<u4").astype(np.int64) for x, m in zip(part["c"], part["n"], strict=True)])
         shard = int(part["shard"].iloc[0])
         order = np.lexsort((w, c))
@@ -407,12 +435,16 @@ def level_more(folder: str, level: int, sizes: list[int]):
         base = base[np.flatnonzero(opens)[np.cumsum(opens) - 1]] if len(c) else base
         arrays = EliasFano.build("codes", base + w) | EliasFano.build("pointers", pointers) | {"probs": quantised(p), "weights": quantised(left)}
         write_whole(folder, f"level{level}-{shard:05d}.trie", container(arrays))
-        return pd.DataFrame({"shard": np.array([shard], np.int32), "entries": [len(c)], "total": [int(n.sum())]})
+        some, masses = pieces_of(n, mass // 8)
+        return pd.DataFrame({"shard": np.array([shard], np.int32), "entries": [len(c)], "total": [int(n.sum())], "first": [some], "mass": [masses]})
 
     return run
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER) -> Trie:
+KIND = "shard int, entries long, total long, first array<long>, mass array<long>"
+
+
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, mass: int = MASS) -> Trie:
     """Counts and writes all levels."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -420,34 +452,39 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     folder = fresh_dir(spark, "trie")
     size = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = int(1 + size // SHARD)
-    kind = "shard int, entries long, total long"
-    done = [r.asDict() for r in by_bucket(docs.mapInArrow(count_words(shards), SENT), shards, level_one(folder), kind).collect()]  # a row a shard
-    entries = {r["shard"]: r["entries"] for r in done}
-    starts = [np.append(0, np.cumsum([entries.get(s, 0) for s in range(shards)])).tolist()]
-    trie = Trie(folder, shards, starts, sum(r["total"] for r in done))
-    release_shuffles(spark)
-    for level in range(2, order + 1):
-        sizes = np.diff(trie.starts[level - 2]).tolist()
-        fresh = Trie(folder, shards, [s.tolist() for s in trie.starts], trie.tokens)
-        done = by_bucket(docs.mapInArrow(count_level(fresh, level), SENT), shards, level_more(folder, level, sizes), kind).collect()
-        entries = {r["shard"]: r["entries"] for r in done}
-        starts.append(np.append(0, np.cumsum([entries.get(s, 0) for s in range(shards)])).tolist())
-        trie = Trie(folder, shards, starts, trie.tokens)
+
+    def level_done(found: DataFrame, shards: int) -> tuple[list[dict], np.ndarray]:
+        rows = sorted((r.asDict() for r in found.collect()), key=lambda r: r["shard"])  # a row a shard
+        entries = np.zeros(shards, np.int64)
+        for r in rows:
+            entries[r["shard"]] = r["entries"]
         release_shuffles(spark)
+        return rows, np.append(0, np.cumsum(entries))
+
+    done, starts = level_done(by_bucket(docs.mapInArrow(count_words(shards), SENT), shards, level_one(folder, mass), KIND), shards)
+    trie = Trie(folder, shards, [starts], [np.zeros(1, np.int64)], sum(r["total"] for r in done))
+    for level in range(2, order + 1):
+        cuts = context_cuts(done, trie.starts[-1], mass)
+        grown = Trie(folder, shards, trie.starts, [*trie.cuts, cuts], trie.tokens)
+        many = len(cuts) - 1
+        done, starts = level_done(by_bucket(docs.mapInArrow(count_level(grown, level), SENT), many, level_more(folder, level, np.diff(cuts), mass), KIND), many)
+        trie = Trie(folder, shards, [*trie.starts, starts], grown.cuts, trie.tokens)
     return trie
 
 
-def score_tokens(trie: Trie, h: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def score_tokens(trie: Trie, names: np.ndarray, place: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(count, log10 add-one probability, log10 model probability) of each token."""
     order = len(trie.starts)
-    word, numbers, contexts, _ = walk(trie, h, many, order)
-    known = word >= 0
-    count = np.zeros(len(word), np.float64)
-    some, back = np.unique(word[known], return_inverse=True)
-    if len(some):
-        count[known] = trie.read(1, "counts", some).astype(np.float64)[back]
-    p = (count + 1) / (trie.tokens + int(trie.starts[0][-1]) + 1)
-    base = np.log10(p)
+    word, numbers, contexts, _ = walk(trie, names, place, many, order)
+    whole = trie.tokens + int(trie.starts[0][-1]) + 1
+    distinct = trie.words(names)
+    known = np.flatnonzero(distinct >= 0)
+    counts, first = np.zeros(len(names)), np.ones(len(names))
+    if len(known):
+        counts[known] = trie.read(1, "counts", distinct[known])
+        first[known] = 10.0 ** (trie.read(1, "probs", distinct[known]) * WORD_STEP)
+    count, p = counts[place], first[place] / whole
+    base = np.log10((counts + 1) / whole)[place]
     for level in range(2, order + 1):
         c = contexts[level - 2]
         at = np.flatnonzero(c >= 0)
@@ -467,8 +504,8 @@ def score(docs: DataFrame, trie: Trie, key: str = "doc_id", text: str = "text")
 
     def run(batches):
         for batch, texts in groups_by_size(batches, 6_000_000):
-            h, many = token_hashes(texts)
-            count, base, model = score_tokens(trie, h, many)
+            names, at, many = tokens_of(texts)
+            count, base, model = score_tokens(trie, names, at, many)
             start = np.cumsum(many) - many
             sums = [np.add.reduceat(x, start) for x in ((count > 0).astype(np.int64), base, model)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held_out(batch.column(0).to_pylist())), pa.array(many.astype(np.int64)), pa.array(sums[0]), pa.array(np.full(len(many), trie.tokens)), pa.array(sums[1]), pa.array(sums[2])], names=["k", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -10,7 +10,8 @@ raises the sum of squared fills, until no bin has such a change or the volume of
 pieces allows no fewer bins.
 
 Defined cases: null is the empty text and has the end id alone; rows of equal key
-are packed each; an empty table gives an empty result; other columns aren't read.
+(null too) are packed each; an empty table gives an empty result; other columns aren't
+read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -201,22 +201,20 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text
     groups = 1 + cut.where(F.col("length") < length).count() // group
     spread = cut.withColumn("g", F.pmod(F.xxhash64("key", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["key", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
-        sizes = part["length"].to_numpy()
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("key", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        sizes, g = part["length"].to_numpy(), part["g"].to_numpy()
         bins = local_search(best_fit(sizes, length), sizes, length)
-        where, offset = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+        where, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
         for b, items in enumerate(bins):
             at = 0
             for i in items:
                 where[i], offset[i] = b, at
                 at += sizes[i]
-        part["sequence_id"] = where * groups + part["g"]
-        part["offset"] = offset
-        return part.drop(columns="g")
+        return part.drop_columns("g").append_column("sequence_id", pa.array(where * groups + g)).append_column("offset", pa.array(offset))
 
     kind = "key long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    short = spread.where(F.col("length") < length).groupBy("g").applyInPandas(run, kind)
+    short = spread.where(F.col("length") < length).groupBy("g").applyInArrow(run, kind)
     # a full piece is a sequence; its number is below zero and counts up within its partition
     full = cut.where(F.col("length") == length).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return short.union(full).withColumnRenamed("key", key)

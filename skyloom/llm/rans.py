@@ -5,10 +5,14 @@ dealt over lanes (id i to lane i mod lanes); each lane is its own coder with a
 64-bit state that sheds or takes 32-bit words, so a step treats all lanes at once.
 Decoding runs the steps in order, encoding backwards.
 
-Block format (little-endian): magic 'SKRB', count u32, lanes u32, checkpoints u32,
-words u32, crc32 of the ids (as u32) u32; lane states u64; for each checkpoint (every
-``every`` steps) the word position u32, the lane states u64 and the crc32 of the
-ids between it and the next; the words u32.  A checkpoint lets a reader start within the block.
+Every ``every`` steps there is a checkpoint: where the words go on and the lanes'
+states.  It opens a part, which can be decoded by itself and has a checksum.  The
+block's start is the first checkpoint.
+
+Block format (little-endian): magic 'SKRB', ids u32, lanes u32, steps a part u32,
+parts u32, words u32, crc32 of the ids (as u32) u32; for each part its first word's
+number u32 and the crc32 of its ids u32; for each part the lanes' states u64; the
+words u32.
 """
 
 from __future__ import annotations
@@ -18,8 +22,8 @@ import zlib
 
 import numpy as np
 
-PRECISION, LOW, EVERY = 20, 1 << 31, 256
-HEAD = struct.Struct("<4sIIIII")
+PRECISION, LOW, LANES, EVERY = 20, 1 << 31, 2048, 64
+HEAD = struct.Struct("<4sIIIIII")
 
 
 def table_of(counts: np.ndarray, precision: int = PRECISION) -> np.ndarray:
@@ -41,6 +45,19 @@ def table_of(counts: np.ndarray, precision: int = PRECISION) -> np.ndarray:
     return out
 
 
+def lanes_for(n: int, most: int = LANES) -> int:
+    """Lanes of a block of n ids: a short one has fewer, as each lane's state takes 8 bytes a part."""
+    return max(1, min(most, n // 64))
+
+
+def block_head(data: bytes) -> tuple[int, int, int, int, int, int]:
+    """(ids, lanes, steps a part, parts, words, crc32) of a block from its first bytes."""
+    magic, *rest = HEAD.unpack_from(data)
+    if magic != b"SKRB":
+        raise ValueError("not a block")
+    return tuple(rest)
+
+
 class Coder:
     """Encodes and decodes blocks by one frequency table."""
 
@@ -51,13 +68,12 @@ class Coder:
         # a state is kept below 2**63; a lane sheds 32 bits where x >= freq << (63 - precision)
         self.most = self.freq << np.uint64(63 - precision)
 
-    def encode(self, ids: np.ndarray, lanes: int = 512, every: int = EVERY) -> bytes:
+    def encode(self, ids: np.ndarray, lanes: int | None = None, every: int = EVERY) -> bytes:
         n = len(ids)
-        lanes = max(1, min(lanes, n))
+        lanes = lanes_for(n) if lanes is None else max(1, min(lanes, n))
         steps = -(-n // lanes)
         state = np.full(lanes, LOW, np.uint64)
-        out, marks = [], []
-        held = 0
+        out, marks, held = [], [], 0
         f32 = np.uint64(32)
         for s in range(steps - 1, -1, -1):
             part = ids[s * lanes : (s + 1) * lanes]
@@ -71,56 +87,75 @@ class Coder:
                 held += len(shed)
                 x[shed] >>= f32
             state[:k] = ((x // f) << self.bits) + x % f + self.start[part]
-            if s and s % every == 0:
+            if s % every == 0:
                 marks.append((s, held, state.astype("<u8").tobytes()))
+        marks.reverse()
         words = np.concatenate(out)[::-1] if out else np.zeros(0, "<u4")
         whole = np.ascontiguousarray(ids, "<u4")
-        body = []
-        marks.reverse()
-        for i, (s, at, states) in enumerate(marks):
-            end = marks[i + 1][0] * lanes if i + 1 < len(marks) else n
-            body.append(struct.pack("<I", held - at) + states + struct.pack("<I", zlib.crc32(whole[s * lanes : end])))
-        return HEAD.pack(b"SKRB", n, lanes, len(marks), len(words), zlib.crc32(whole)) + state.astype("<u8").tobytes() + b"".join(body) + words.tobytes()
-
-    def decode(self, block: bytes, checkpoint: int | None = None, every: int = EVERY) -> np.ndarray:
-        """The ids of a block, or those from a checkpoint (numbered from 0) to its end; checks their crc32."""
-        magic, n, lanes, marks, count, crc = HEAD.unpack_from(block)
-        if magic != b"SKRB":
-            raise ValueError("not a block")
-        at = HEAD.size
-        state = np.frombuffer(block, "<u8", lanes, at).astype(np.uint64)
-        each = 8 + 8 * lanes
-        words = np.frombuffer(block, "<u4", count, at + 8 * lanes + marks * each)
-        pos, first, checks = 0, 0, []
-        if checkpoint is not None:
-            for i in range(checkpoint, marks):
-                (checks_at,) = struct.unpack_from("<I", block, at + 8 * lanes + i * each + 4 + 8 * lanes)
-                checks.append(checks_at)
-            base = at + 8 * lanes + checkpoint * each
-            (pos,) = struct.unpack_from("<I", block, base)
-            state = np.frombuffer(block, "<u8", lanes, base + 4).astype(np.uint64)
-            first = (checkpoint + 1) * every
-        steps = -(-n // lanes) if n else 0
-        out = np.empty(max(0, n - first * lanes), np.uint32)
+        heads = b"".join(struct.pack("<II", held - at, zlib.crc32(whole[s * lanes : (s + every) * lanes])) for s, at, _ in marks)
+        return HEAD.pack(b"SKRB", n, lanes, every, len(marks), len(words), zlib.crc32(whole)) + heads + b"".join(x for _, _, x in marks) + words.tobytes()
+
+    def steps(self, state: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+        """``n`` ids from the lanes' states on."""
+        lanes, pos = len(state), 0
+        out = np.empty(n, np.uint32)
         mask, low, f32 = np.uint64((1 << int(self.bits)) - 1), np.uint64(LOW), np.uint64(32)
-        for s in range(first, steps):
-            k = min(lanes, n - s * lanes)
+        for s in range(0, n, lanes):
+            k = min(lanes, n - s)
             x = state[:k]
             slot = x & mask
             sym = self.symbol[slot]
-            out[(s - first) * lanes : (s - first) * lanes + k] = sym
+            out[s : s + k] = sym
             x = self.freq[sym] * (x >> self.bits) + slot - self.start[sym]
             take = np.flatnonzero(x < low)
             if len(take):
                 x[take] = (x[take] << f32) | words[pos : pos + len(take)]
                 pos += len(take)
             state[:k] = x
-        if checkpoint is None:
-            good = zlib.crc32(out.astype("<u4", copy=False)) == crc
-        else:
-            parts = [out[i * every * lanes : (i + 1) * every * lanes] for i in range(len(checks))]
-            parts[-1] = out[(len(checks) - 1) * every * lanes :]
-            good = all(zlib.crc32(np.ascontiguousarray(p, "<u4")) == c for p, c in zip(parts, checks, strict=True))
-        if not good:
+        return out
+
+    def part(self, read, number: int) -> np.ndarray:
+        """The ids of one part of a block; ``read(at, size)`` gives bytes of the block, of which only that part's are read."""
+        n, lanes, every, parts, words, _ = block_head(read(0, HEAD.size))
+        table = np.frombuffer(read(HEAD.size, 8 * parts), "<u4").reshape(parts, 2)
+        states = HEAD.size + 8 * parts
+        state = np.frombuffer(read(states + 8 * lanes * number, 8 * lanes), "<u8").astype(np.uint64)
+        lo, hi = int(table[number, 0]), int(table[number + 1, 0]) if number + 1 < parts else words
+        own = np.frombuffer(read(states + 8 * lanes * parts + 4 * lo, 4 * (hi - lo)), "<u4")
+        ids = self.steps(state, own, min(every * lanes, n - number * every * lanes))
+        if zlib.crc32(np.ascontiguousarray(ids, "<u4")) != table[number, 1]:
+            raise ValueError("checksum of a part differs")
+        return ids
+
+    def decode(self, block: bytes) -> np.ndarray:
+        """All ids of a block; checks the crc32 of each part and of the whole."""
+        view = memoryview(block)
+        n, _, _, parts, _, crc = block_head(block)
+        ids = [self.part(lambda at, size: view[at : at + size], k) for k in range(parts)]
+        out = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        if len(out) != n or zlib.crc32(np.ascontiguousarray(out, "<u4")) != crc:
             raise ValueError("checksum of a block differs")
         return out
+
+
+def crc32_joined(first: int, second: int, size: int) -> int:
+    """crc32 of two strings put together, from the crc32 of each and the second's size in bytes."""
+
+    def times(matrix: list[int], vector: int) -> int:
+        out = 0
+        for row in matrix:
+            if vector & 1:
+                out ^= row
+            vector >>= 1
+        return out
+
+    # the effect of a zero bit on the register, then of 2, 4, 8... zero bits, by squaring
+    step = [0xEDB88320] + [1 << k for k in range(31)]
+    for _ in range(3):
+        step = [times(step, row) for row in step]
+    while size:
+        if size & 1:
+            first = times(step, first)
+        step = [times(step, row) for row in step]
+        size >>= 1
+    return first ^ second

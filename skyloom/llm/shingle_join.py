@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, fresh_dir, small_batches, stored
-from .ngram_trie import token_hashes
+from .ngram_trie import tokens_of
 from .suffix_dedup import mixed
 from .token_files import write_whole
 from .token_ids import groups_by_size
@@ -42,7 +42,8 @@ ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 
 def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    h, many = token_hashes(texts)
+    names, place, many = tokens_of(texts)
+    h = names[place]
     factor = np.resize(ODD, width) + np.arange(width, dtype=np.uint64) * np.uint64(2)
     run = np.zeros(max(len(h) - width + 1, 0), np.uint64)
     for k in range(width):
@@ -217,7 +218,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     some = reps.where("n > 0")
     named = spark.sparkContext.broadcast(frequent(some, folder))  # NAMED shingles at most
     sent = some.select("place", "n").mapInArrow(prefixes(folder, named, least), "h long, place long, n int")
-    small_batches(spark, 20_000)
+    small_batches(spark)
     found = stored(sent.repartition("h").sortWithinPartitions("h", "n", "place").mapInArrow(bucket_links(folder, least), "a long, b long"), "links")
     linked = stored(components(found, "near"), "linked")
     placed = reps.join(linked.withColumnRenamed("node", "place"), "place", "left").select("sh", "n", "rep", F.coalesce("root", "place").alias("root"))
@@ -226,6 +227,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose key is the smallest of their group, with all their columns."""
-    kept = near_duplicates(docs, key, text).where(F.col("component_id") == F.col(key)).select(key).distinct()
-    return docs.join(kept, key, "left_semi")
+    """The documents whose key is the smallest of their group, with all their columns; rows of null key stay if their group has no other."""
+    kept = near_duplicates(docs, key, text).where(F.col("component_id").eqNullSafe(F.col(key))).select(F.col(key).alias("kept_key")).distinct()
+    return docs.join(kept, docs[key].eqNullSafe(kept["kept_key"]), "left_semi")

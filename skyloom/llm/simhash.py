@@ -8,13 +8,14 @@ because r vectors can't span r+1 dimensions: no pair within the radius is missed
 Only distinct fingerprints are compared.  A bucket is scanned in sorted order by
 one pass over its partition; small buckets are compared pair by pair, larger ones
 by looking up each member's neighbours (all flips of up to r dropped bits), which
-is linear in the bucket.  Buckets over ``HOT`` members leave the task and have
-their neighbours looked up by a distributed equi-join.  A bucket sends on a
-spanning forest of its links, which keeps every component.
+is linear in the bucket.  Buckets over ``HOT`` members are counted first and never
+gathered: their members' neighbours are looked up by a distributed equi-join.  A
+bucket sends on a spanning forest of its links, which keeps every component.
 
 Defined cases: null and wordless texts have fingerprint 0 and link like any
-other; rows of equal id share nothing but what their fingerprints say; an empty
-table gives an empty result; other columns aren't read.
+other; rows of equal id share nothing but what their fingerprints say; a null id is
+never a component's id unless no member has another (``deduplicate`` then keeps these
+rows); an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -116,26 +117,22 @@ def forest(members: np.ndarray, mask: int, radius: int) -> tuple[np.ndarray, np.
     return members[moved], members[label[moved]]
 
 
-LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hot", pa.int32())])
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: A table of so many hot buckets at most is sent to all tasks.
+FEW = 100_000
 
 
-def bucket_links(radius: int = RADIUS, hot: int = HOT):
-    """Over (t, k, fp) sorted by (t, k): links within each bucket; members of hot buckets come back marked by their table."""
+def bucket_links(radius: int = RADIUS):
+    """Over (t, k, fp) sorted by (t, k), no bucket hot: links within each bucket."""
     table = masks(radius)
 
-    def flush(t, members, out):
-        if len(members) > hot:
-            out.append((members, members, np.full(len(members), t)))
-        elif len(members) > 1:
-            a, b = forest(np.unique(members), table[t], radius)
-            out.append((a, b, np.full(len(a), -1)))
-
-    def emit(out):
-        a, b, h = (np.concatenate([x[k] for x in out]) for k in range(3))
-        return record_batch(LINKS, [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(h.astype(np.int32))])
-
     def run(batches):
         held, held_key = [], None
+
+        def flush():
+            if sum(map(len, held)) > 1:
+                yield record_batch(LINKS, [pa.array(x.view(np.int64)) for x in forest(np.unique(np.concatenate(held)), table[held_key[0]], radius)])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -143,23 +140,17 @@ def bucket_links(radius: int = RADIUS, hot: int = HOT):
             fp = fp.view(np.uint64)
             cut = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1
             bounds = [0, *cut.tolist(), len(t)]
-            long_runs = [j for j in range(len(bounds) - 1) if bounds[j + 1] - bounds[j] > 1 or j in (0, len(bounds) - 2)]
             out = []
-            for j in long_runs:
+            for j in [j for j in range(len(bounds) - 1) if bounds[j + 1] - bounds[j] > 1 or j in (0, len(bounds) - 2)]:
                 lo, hi = bounds[j], bounds[j + 1]
                 here = (int(t[lo]), int(k[lo]))
                 if here != held_key:
-                    if held:
-                        flush(held_key[0], np.concatenate(held), out)
+                    out += flush()
                     held, held_key = [], here
                 held.append(fp[lo:hi].copy())
             if out:
-                yield emit(out)
-        out = []
-        if held:
-            flush(held_key[0], np.concatenate(held), out)
-        if out:
-            yield emit(out)
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+        yield from flush()
 
     return run
 
@@ -168,13 +159,20 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT)
     """(fp, root) for every fingerprint that has a link; root is the smallest of its component, as a signed long."""
     spark = distinct.sparkSession
     keyed = distinct.select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks(radius)])).alias("t", "k"), "fp")
-    small_batches(spark, 20_000)
-    found = keyed.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(bucket_links(radius, hot), "a long, b long, hot int")
-    found = stored(found, "links")
-    probes = spark.createDataFrame([(t, signed(f)) for t, m in enumerate(masks(radius)) for f in flips(m, radius)], "hot int, f long")
-    asked = found.where("hot >= 0").select("a", "hot").join(F.broadcast(probes), "hot").select("a", "hot", F.col("a").bitwiseXOR(F.col("f")).alias("b"))
-    far = asked.join(found.where("hot >= 0").select(F.col("a").alias("b"), "hot"), ["hot", "b"]).select("a", "b")
-    return components(found.where("hot < 0").select("a", "b").union(far), "simhash").withColumnRenamed("node", "fp")
+    small_batches(spark)
+    # buckets are counted before their members meet: a hot one is never gathered
+    crowded = stored(keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("t", "k"), "crowded")
+    many = crowded.count()
+    cold, far = keyed, None
+    if many:
+        marks = F.broadcast(crowded) if many <= FEW else crowded
+        cold = keyed.join(marks, ["t", "k"], "left_anti").select("t", "k", "fp")
+        warm = keyed.join(marks, ["t", "k"], "left_semi").select("t", "fp")
+        probes = spark.createDataFrame([(t, signed(f)) for t, m in enumerate(masks(radius)) for f in flips(m, radius)], "t int, f long")
+        asked = warm.join(F.broadcast(probes), "t").select("t", F.col("fp").alias("a"), F.col("fp").bitwiseXOR(F.col("f")).alias("b"))  # a few hundred flips a member
+        far = asked.join(warm.select("t", F.col("fp").alias("b")), ["t", "b"]).select("a", "b")
+    found = cold.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(bucket_links(radius), "a long, b long")
+    return components(found if far is None else found.union(far), "simhash").withColumnRenamed("node", "fp")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, hot: int = HOT) -> DataFrame:
@@ -194,5 +192,5 @@ def hex_fingerprint(fp):
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents whose key is the smallest of their group, with all their columns."""
-    kept = near_duplicates(docs, key, text).where(F.col("component_id") == F.col(key)).select(key).distinct()
-    return docs.join(kept, key, "left_semi")
+    kept = near_duplicates(docs, key, text).where(F.col("component_id").eqNullSafe(F.col(key))).select(F.col(key).alias("kept_key")).distinct()
+    return docs.join(kept, docs[key].eqNullSafe(kept["kept_key"]), "left_semi")

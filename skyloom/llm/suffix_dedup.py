@@ -15,16 +15,19 @@ repeated places matter.
    prefixes (an enhanced suffix array); a scan with a stack builds the intervals of the
    common-prefix tree; an interval of length ``MATCH`` or more is a repeat with all its
    occurrences, and it is maximal if the bytes to their left differ.  The smallest
-   document of an interval keeps it.
+   document of an interval keeps it.  A gram in over ``HOT`` contexts doesn't gather
+   them: each of its strings goes its own way by hash, once a block, with the smallest
+   document of the block.
 4. Each block removes what it was told.
 
 Tasks hold a block, or the anchors of one range of hashes; an anchor that stands
 often is merged within each block first.  Strings are told apart by 64 bits of hash
-and more, as is usual; step 3 compares bytes.
+and more, as is usual; the suffix array compares bytes.
 
 Defined cases: null is the empty text; documents of equal id don't take from each
-other; texts shorter than ``MATCH`` lose nothing; an empty table gives an empty
-result; other columns, also clashing ones, are kept by ``remove_repeats``.
+other; a null id is smaller than all others (and equal to the smallest long); texts
+shorter than ``MATCH`` lose nothing; an empty table gives an empty result; other
+columns, also clashing ones, are kept by ``remove_repeats``.
 """
 
 from __future__ import annotations
@@ -41,17 +44,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bucket, release_shuffles, sliding, small_batches, stored, trim_memory, utf8
-from .token_ids import base_powers
 
 MATCH, GRAM = 50, 20
 WINDOW = MATCH - GRAM + 1
 REACH = WINDOW - 1 + MATCH
 #: Suffixes are sorted by so many bytes.
 DEPTH = 56
-BLOCK, RANGE = 1 << 20, 8 << 20
+BLOCK, RANGE, HOT = 1 << 20, 8 << 20, 2000
 NONE = np.uint64((1 << 64) - 1)
 
 
+BASE = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def base_powers(count: int) -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64."""
+    if len(_powers[0]) < count:
+        size = max(count, 1 << 20)
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            _powers[k] = np.cumprod(np.append(np.uint64(1), np.full(size - 1, base, np.uint64)))
+    return _powers
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
@@ -118,10 +133,11 @@ class Block:
         keep = hi - lo >= MATCH
         at, h, doc, lo, hi = at[keep], h[keep], doc[keep], lo[keep], hi[keep]
         up, down = base_powers(len(raw) + 1)
-        total = np.zeros(len(raw) + 1, np.uint64)
+        self.ranges, self.down, self.total = ranges, down, np.zeros(len(raw) + 1, np.uint64)
+        total = self.total
         np.cumsum(WEIGHTS[np.frombuffer(raw, np.uint8)] * up[: len(raw)], out=total[1:])
         context = mixed((total[hi] - total[lo]) * down[lo] + (at - lo).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + (hi - lo).astype(np.uint64))
-        bucket = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        bucket = bucket_of(h, ranges)
         order = np.lexsort((keys[doc], context, h, bucket))
         self.at, self.h, self.doc, self.lo, self.hi, self.context = at[order], h[order], doc[order], lo[order], hi[order], context[order]
         bucket = bucket[order].astype(np.int64)
@@ -139,6 +155,24 @@ class Block:
     def smallest(self) -> np.ndarray:
         return self.keys[self.doc[self.first]]
 
+    def hot_strings(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the contexts of code 3: (rank, place in it, number of its hash) of each string; (hash, least key) of each distinct one, by bucket."""
+        ranks = np.flatnonzero(code == 3)
+        lo = self.lo[self.first[ranks]]
+        many = self.hi[self.first[ranks]] - lo - MATCH + 1
+        rank = np.repeat(ranks, many)
+        j = np.arange(len(rank)) - np.repeat(np.cumsum(many) - many, many)
+        start = np.repeat(lo, many) + j
+        h = mixed((self.total[start + MATCH] - self.total[start]) * self.down[start])
+        distinct, number = np.unique(h, return_inverse=True)  # ascending, so by bucket too
+        least = np.full(len(distinct), np.iinfo(np.int64).max)
+        np.minimum.at(least, number, self.smallest[rank])
+        return rank, j, number, distinct, least
+
+
+def bucket_of(h: np.ndarray, ranges: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+
 
 WEIGHTS = np.random.default_rng(61_803).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -177,7 +211,7 @@ def make_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.toDF(*names).withColumn("k", F.col(names[docs.columns.index(key)]).cast("long")).mapInArrow(run, "block long, texts binary, keys binary, sizes binary, rest binary")
+    return docs.toDF(*names).withColumn("k", F.coalesce(F.col(names[docs.columns.index(key)]).cast("long"), F.lit(-(1 << 63)).cast("long"))).mapInArrow(run, "block long, texts binary, keys binary, sizes binary, rest binary")
 
 
 def blocks_of(batch, ranges: int):
@@ -227,7 +261,7 @@ def new_runs(*columns: np.ndarray) -> np.ndarray:
 
 
 def judge_anchors(part: pd.DataFrame) -> pd.DataFrame:
-    """Codes of a range's anchors: 1 settled (the context stands in a smaller document), 2 doubtful, 0 alone."""
+    """Codes of a range's anchors: 1 settled (the context stands in a smaller document), 2 doubtful, 3 doubtful and of a hot gram, 0 alone."""
     low = np.concatenate([np.frombuffer(x, "<u4") for x in part["a"]])
     context = np.concatenate([np.frombuffer(x, "<u8") for x in part["b"]])
     keys = np.concatenate([keys_unpacked(x, n) for x, n in zip(part["c"], part["n"], strict=True)])
@@ -239,9 +273,10 @@ def judge_anchors(part: pd.DataFrame) -> pd.DataFrame:
     number = np.cumsum(gram) - 1
     contexts = np.add.reduceat(same.astype(np.int64), gram_at)
     differ = np.maximum.reduceat(k, gram_at) > np.minimum.reduceat(k, gram_at)
-    doubtful = ((contexts > 1) & differ)[number]
+    hot = np.diff(np.append(gram_at, len(l))) > HOT
+    doubtful = np.where((contexts > 1) & differ, np.where(hot, 3, 2), 0)[number]
     code = np.empty(len(order), np.uint8)
-    code[order] = np.where(k > least, 1, np.where(doubtful, 2, 0))
+    code[order] = np.where(k > least, 1, doubtful)
     cuts = np.cumsum(part["n"].to_numpy())[:-1]
     return pd.DataFrame({"block": part["block"], "kind": np.int32(0), "bucket": part["bucket"], "reply": [zlib.compress(x.tobytes(), 1) for x in np.split(code, cuts)]})
 
@@ -255,8 +290,14 @@ def replies_of(batch, i: int) -> dict:
     return {(r["kind"], r["bucket"]): r["reply"] for r in batch.column(batch.schema.get_field_index("replies"))[i].as_py() or []}
 
 
+def runs_of(values: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of each run of equal values."""
+    cut = np.flatnonzero(new_runs(values)).tolist() if len(values) else []
+    return list(zip(cut, [*cut[1:], len(values)], strict=True))
+
+
 def send_contexts(ranges: int):
-    """Bytes of the doubtful contexts, with one byte to their left (or a 0 and a mark where there is none)."""
+    """Bytes of the doubtful contexts, with one byte to their left (or a 0 and a mark where there is none); strings of hot grams by their hash."""
 
     def run(batches):
         for batch in batches:
@@ -274,6 +315,11 @@ def send_contexts(ranges: int):
                     left = np.where(start > x.ends[doc] - x.sizes[doc], raw[np.maximum(start - 1, 0)].astype(np.int64), 256)
                     head = np.stack([x.h[pick].astype("<u4").astype(np.int64), x.keys[doc], x.at[pick] - start, size, left], axis=1).astype("<i8")
                     rows.append((int(b), block, len(pick), head.tobytes(), text.tobytes(), b""))
+                if (code == 3).any():
+                    *_, h, least = x.hot_strings(code)
+                    bucket = bucket_of(h, ranges).astype(np.int64)
+                    for lo, hi in runs_of(bucket):
+                        rows.append((int(bucket[lo]), block, hi - lo, h[lo:hi].tobytes(), keys_packed(least[lo:hi]), b"hot"))
                 if rows:
                     yield packed_rows(rows)
 
@@ -317,6 +363,24 @@ def enhanced_suffix_array(text: np.ndarray, group: np.ndarray) -> tuple[np.ndarr
     return order, np.where(g[1:] == g[:-1], equal, 0)
 
 
+def judge_strings(part: pd.DataFrame) -> pd.DataFrame:
+    """For each string of a hot gram, whether it stands in a smaller document than in the block that sent it."""
+    h = np.concatenate([np.frombuffer(x, "<u8") for x in part["a"]])
+    key = np.concatenate([keys_unpacked(x, n) for x, n in zip(part["b"], part["n"], strict=True)])
+    order = np.argsort(h, kind="stable")
+    new = new_runs(h[order])
+    least = np.minimum.reduceat(key[order], np.flatnonzero(new))
+    taken = np.empty(len(h), np.uint8)
+    taken[order] = least[np.cumsum(new) - 1] < key[order]
+    cuts = np.cumsum(part["n"].to_numpy())[:-1]
+    return pd.DataFrame({"block": part["block"], "kind": np.int32(2), "bucket": part["bucket"], "reply": [zlib.compress(x.tobytes(), 1) for x in np.split(taken, cuts)]})
+
+
+def judge_doubtful(part: pd.DataFrame) -> pd.DataFrame:
+    hot = part["c"] == b"hot"
+    return pd.concat([judge(x) for judge, x in ((judge_contexts, part[~hot]), (judge_strings, part[hot])) if len(x)])
+
+
 def judge_contexts(part: pd.DataFrame) -> pd.DataFrame:
     """For each context a mask: bit j is set if the string from its byte j on stands in a smaller document."""
     head = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 5) for x in part["a"]])
@@ -327,7 +391,7 @@ def judge_contexts(part: pd.DataFrame) -> pd.DataFrame:
     bounds = np.flatnonzero(new_runs(gram[done]))
     ends = np.append(bounds[1:], len(done))
     at = 0
-    while at < len(bounds):  # a few thousand contexts at a time, whole groups where they aren't larger
+    while at < len(bounds):  # whole groups, a few thousand contexts at a time: a group has ``HOT`` at most
         to = max(at + 1, int(np.searchsorted(ends, bounds[at] + 4000)))
         some = done[bounds[at] : ends[to - 1]]
         many = np.maximum(size[some] - MATCH + 1, 0)
@@ -377,6 +441,19 @@ def removed_bytes(x: Block, replies: dict) -> np.ndarray:
                 hit = inside[(by_rank[x.rank[inside] - lo] >> np.uint64(j)) & np.uint64(1) == 1]
                 np.add.at(change, x.lo[hit] + j, 1)
                 np.add.at(change, x.lo[hit] + j + MATCH, -1)
+    if (code == 3).any():
+        rank, j, number, h, least = x.hot_strings(code)
+        bucket = bucket_of(h, x.ranges).astype(np.int64)
+        taken = np.concatenate([np.frombuffer(zlib.decompress(replies[2, int(bucket[lo])]), np.uint8) for lo, _ in runs_of(bucket)]) > 0
+        gone = taken[number] | (x.smallest[rank] > least[number])
+        rank, j = rank[gone], j[gone]
+        # all anchors of a context, which stand side by side
+        opens = np.append(x.first, len(x.rank))
+        many = opens[rank + 1] - opens[rank]
+        anchor = np.repeat(opens[rank], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        start = x.lo[anchor] + np.repeat(j, many)
+        np.add.at(change, start, 1)
+        np.add.at(change, start + MATCH, -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -385,31 +462,34 @@ def settled_blocks(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int
     spark = docs.sparkSession
     blocks = stored(make_blocks(docs, key, text), "blocks", "uncompressed")
     total = blocks.agg(F.sum(F.octet_length("texts"))).first()[0] or 0
-    ranges = int(min(1 << 20, 1 + 8 * total // RANGE))  # texts shrink to about a fifth, and anchors take as much as the texts
-    small_batches(spark, 4)
+    ranges = int(1 + 8 * total // RANGE)  # texts shrink to about a fifth, and anchors take as much as the texts
+    small_batches(spark)
     kind = "block long, kind int, bucket int, reply binary"
     sent = blocks.select("block", "texts", "keys", "sizes").mapInArrow(send_anchors(ranges), SENT)
     codes = stored(by_bucket(sent, ranges, judge_anchors, kind), "codes")
     release_shuffles(spark)
 
     def told(replies):
-        return replies.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "reply")).alias("replies"))  # at most two for each range
+        return replies.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "reply")).alias("replies"))  # at most three for each range
 
     doubtful = blocks.select("block", "texts", "keys", "sizes").join(told(codes).hint("shuffle_hash"), "block", "left").mapInArrow(send_contexts(ranges), SENT)
-    masks = stored(by_bucket(doubtful, ranges, judge_contexts, kind), "masks")
+    masks = stored(by_bucket(doubtful, ranges, judge_doubtful, kind), "masks")
     release_shuffles(spark)
     return blocks.join(told(codes.union(masks)).hint("shuffle_hash"), "block", "left"), ranges
 
 
 def removal_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
-    settled, ranges = settled_blocks(docs.select(key, text), key, text)
+    settled, ranges = settled_blocks(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), "key", "text")
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
+            rest = batch.column(batch.schema.get_field_index("rest")).to_pylist()
             for i, _, x in blocks_of(batch, ranges):
                 gone, raw, rows = removed_bytes(x, replies_of(batch, i)), np.frombuffer(x.raw, np.uint8), []
-                for k, a, b in zip(x.keys.tolist(), (x.ends - x.sizes).tolist(), x.ends.tolist(), strict=True):
+                keys = pa.ipc.open_stream(unpack.decompress(rest[i])).read_all().column(0).to_pylist()
+                for k, a, b in zip(keys, (x.ends - x.sizes).tolist(), x.ends.tolist(), strict=True):
                     g = gone[a:b]
                     n = int(np.count_nonzero(g))
                     spans = int(np.count_nonzero(g[1:] & ~g[:-1])) + int(g[0]) if n else 0

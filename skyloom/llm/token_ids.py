@@ -2,9 +2,10 @@
 
 A byte-level BPE file encodes each pre-token (piece) by itself, so the ids of a
 text are the ids of its pieces in order.  A batch of texts is cut into pieces in
-numpy, pieces are told apart by a 64-bit hash, and only those that the worker
+numpy, equal pieces are found by their bytes, and only those that the worker
 hasn't met go to the library.  The numpy cut knows ASCII and the letters U+00C0 to
-U+017F; texts with other characters go to the library whole.
+U+017F; texts with other characters, and texts with the string of an added token,
+go to the library whole.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import os
 import numpy as np
 
 from .common import utf8
+from .spans import distinct_spans
 
 #: Pieces that a worker remembers before it starts anew.
 REMEMBERED = 1_500_000
@@ -31,25 +33,6 @@ CLASSES[28:32] = UNKNOWN  # splitters differ on these
 CLASSES[0x80:] = UNKNOWN
 CLASSES[0x80:0xC0] = LETTER
 CLASSES[[0xC3, 0xC4, 0xC5]] = LETTER
-_rng = np.random.default_rng(20_240_229)
-WEIGHT = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = 0x9E3779B97F4A7C15
-
-
-def powers(base: int, count: int) -> np.ndarray:
-    out = np.full(count, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
-
-
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def base_powers(count: int) -> list[np.ndarray]:
-    if len(_powers[0]) < count:
-        size = max(count, 1 << 20)
-        _powers[:] = [powers(BASE, size), powers(pow(BASE, -1, 1 << 64), size)]
-    return _powers
 
 
 def piece_starts(raw: np.ndarray, text_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +80,7 @@ class PieceEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.wide = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.plain = regex.compile(r" ?\p{L}+").fullmatch
         self.line = self.library.encode("\n", add_special_tokens=False).ids
@@ -110,8 +93,8 @@ class PieceEncoder:
         return _made[path]
 
     def forget(self) -> None:
-        """Starts with no known pieces: number of a hash, and where its ids stand in the pool."""
-        self.known: dict[int, int] = {}
+        """Starts with no known pieces: number of a piece, and where its ids stand in the pool."""
+        self.known: dict[bytes, int] = {}
         self.at, self.size, self.pool, self.filled = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.wide), 0
 
     def library_ids(self, pieces: list[str]) -> list[np.ndarray]:
@@ -132,8 +115,8 @@ class PieceEncoder:
             out[i] = np.array(e.ids, self.wide)
         return [out[i] for i in range(len(pieces))]
 
-    def learn(self, hashes: list[int], pieces: list[str]) -> None:
-        ids = self.library_ids(pieces)
+    def learn(self, pieces: list[bytes]) -> None:
+        ids = self.library_ids([p.decode() for p in pieces])
         n, many = len(self.known), sum(map(len, ids))
         while n + len(ids) > len(self.at):
             self.at, self.size = np.append(self.at, np.zeros_like(self.at)), np.append(self.size, np.zeros_like(self.size))
@@ -144,7 +127,7 @@ class PieceEncoder:
         self.size[n : n + len(ids)] = size
         self.pool[self.filled : self.filled + many] = np.concatenate(ids)
         self.filled += many
-        self.known.update(zip(hashes, range(n, n + len(ids)), strict=True))
+        self.known.update(zip(pieces, range(n, n + len(ids)), strict=True))
 
     def regular(self, texts: list[bytes]) -> list[bytes]:
         """Ids of texts that hold known characters only, none of them empty."""
@@ -153,21 +136,15 @@ class PieceEncoder:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         firsts = np.cumsum(sizes) - sizes
         start = np.flatnonzero(piece_starts(raw, firsts)[0])
-        up, down = base_powers(len(raw) + 1)
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(WEIGHT[raw] * up[: len(raw)], out=total[1:])
         end = np.append(start[1:], len(raw))
-        h = (total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)
-        h ^= h >> np.uint64(32)
-        distinct, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-        names = distinct.tolist()
-        number = list(map(self.known.get, names))
-        fresh = [i for i, k in enumerate(number) if k is None]
+        first, group = distinct_spans(whole, start, end - start)
+        pieces = [whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        number = list(map(self.known.get, pieces))
+        fresh = [p for p, k in zip(pieces, number, strict=True) if k is None]
         if fresh:
-            spans = zip(start[where[fresh]].tolist(), end[where[fresh]].tolist(), strict=True)
-            self.learn([names[i] for i in fresh], [whole[a:b].decode() for a, b in spans])
-            number = list(map(self.known.get, names))
-        number = np.array(number)[inverse]
+            self.learn(fresh)
+            number = list(map(self.known.get, pieces))
+        number = np.array(number)[group]
         size = self.size[number]
         ends = np.cumsum(size)
         ids = self.pool[np.repeat(self.at[number] - ends + size, size) + np.arange(ends[-1])]
@@ -184,7 +161,7 @@ class PieceEncoder:
         plain, odd = [], []
         for i, x in enumerate(raw):
             if x:
-                (plain if known_only(x) else odd).append(i)
+                (plain if known_only(x) and not any(t in x for t in self.added) else odd).append(i)
         if plain:
             for i, ids in zip(plain, self.regular([raw[i] for i in plain]), strict=True):
                 out[i] = ids

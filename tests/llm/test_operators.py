@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm import byte_bpe, language_id, ngram_trie, packing, quality_classifier, quality_rules, scaled_sketch, simhash, suffix_dedup, token_files
 from skyloom.llm.queries import tokenizer_file
-from skyloom.llm.rans import Coder, table_of
+from skyloom.llm.rans import Coder, block_head, crc32_joined, table_of
 
 BASE = "the quick brown fox jumps over the lazy dog and then runs far away from here "
 ROWS = [
@@ -128,7 +128,6 @@ def library_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -148,12 +147,45 @@ def test_token_files(spark, docs, empty):
 def test_rans_round_trip_and_checksum():
     ids = np.random.default_rng(6).zipf(1.3, 9000).clip(max=499).astype(np.uint32)
     c = Coder(table_of(np.bincount(ids, minlength=500)))
-    for n in (0, 1, 7, 9000):
-        assert (c.decode(c.encode(ids[:n], 8)) == ids[:n]).all()
+    for n in (0, 1, 7, 63, 64, 9000):
+        assert (c.decode(c.encode(ids[:n])) == ids[:n]).all()
     block = c.encode(ids, 8, 100)
-    assert (c.decode(block, 1, 100) == ids[2 * 100 * 8 :]).all()
+    assert block_head(block)[:4] == (9000, 8, 100, 12)
+    for k in range(12):  # each checkpoint opens a part of its own
+        asked = []
+
+        def read(at, size):
+            asked.append(size)
+            return block[at : at + size]
+
+        assert (c.part(read, k) == ids[800 * k : 800 * (k + 1)]).all()
+        assert sum(asked) < len(block) / 4
     with pytest.raises(ValueError):
         c.decode(block[:-4] + b"\0\1\2\3")
+    rng = np.random.default_rng(7)
+    for a, b in ((b"", b"xyz"), (rng.bytes(1000), rng.bytes(12345)), (b"a", b"")):
+        assert crc32_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_token_files_have_checkpoints(spark, tmp_path):
+    """A file of several blocks of several parts: every part decodes by itself, and documents across parts are whole again."""
+    rng = np.random.default_rng(8)
+    rows = [rng.zipf(1.4, n).clip(max=99).astype(np.uint32) for n in (5, 700, 1, 4000, 2500, 300, 9000, 1, 1)]
+    keys = [None, -5, 0, 1, 2, 2, 3, 4, 5]
+    every = np.concatenate(rows)
+    freq = table_of(np.bincount(every, minlength=100))
+    data = token_files.file_bytes(Coder(freq), 10, keys, rows, block_ids=3000, lanes=8, every=64)
+    blocks = token_files.block_table(lambda at, size: data[at : at + size])
+    assert len(blocks) == 6 and blocks["parts"].tolist() == [6, 6, 6, 6, 6, 3]
+    token_files.write_whole(str(tmp_path), "table.freq", freq.astype("<u4").tobytes())
+    token_files.write_whole(str(tmp_path), "x.tok", data)
+    got = sorted(token_files.read_tokens(spark, str(tmp_path), freq).collect(), key=lambda r: r["start"])
+    starts = 10 + np.cumsum([0, *map(len, rows[:-1])])
+    assert [tuple(r) for r in got] == [(k, int(a), len(r), zlib.crc32(r.astype("<u4").tobytes())) for k, a, r in zip(keys, starts, rows, strict=True)]
+    with pytest.raises(ValueError):
+        bad = bytearray(data)
+        bad[-9] ^= 255
+        token_files.read_part(Coder(freq), lambda at, size: bytes(bad[at : at + size]), blocks[-1], 2)
 
 
 def test_byte_bpe(docs, monkeypatch):
