@@ -51,6 +51,11 @@ WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
+#: A one, and the high bit, of each byte; place of the r-th one of a byte b at 8 b + r.
+EACH, HIGH = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+BIT_AT = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[r] for b in range(256) for r in range(8)], np.int64)
+
+
 class EliasFano:
     """A sorted sequence of unsigned longs: low bits packed, high bits in unary."""
 
@@ -96,14 +101,15 @@ class EliasFano:
 
     @staticmethod
     def _select(word: np.ndarray, r: np.ndarray) -> np.ndarray:
-        pos = np.zeros(len(word), np.int64)
-        for s in (32, 16, 8, 4, 2, 1):
-            c = np.bitwise_count(word & np.uint64((1 << s) - 1)).astype(np.int64)
-            go = r >= c
-            r = r - c * go
-            word = np.where(go, word >> np.uint64(s), word)
-            pos += s * go
-        return pos
+        """Place of the r-th one of each word: counts of ones up to each byte, all in one word, name the byte; a table the bit."""
+        x = word - ((word >> np.uint64(1)) & np.uint64(0x5555555555555555))
+        x = (x & np.uint64(0x3333333333333333)) + ((x >> np.uint64(2)) & np.uint64(0x3333333333333333))
+        upto = ((x + (x >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * EACH
+        rank = r.astype(np.uint64)
+        reached = ((upto | HIGH) - (rank + np.uint64(1)) * EACH) & HIGH
+        shift = (np.uint64(8) - np.bitwise_count(reached)) << np.uint64(3)
+        rank -= ((upto << np.uint64(8)) >> shift) & np.uint64(255)
+        return shift.astype(np.int64) + BIT_AT[((word >> shift) & np.uint64(255)) * np.uint64(8) + rank]
 
     def zero_at(self, k: np.ndarray) -> np.ndarray:
         """Position of the k-th zero."""
@@ -158,7 +164,7 @@ def mapped(uri: str) -> dict:
     """The arrays of a file: memory-mapped where it is a file of a mounted file system."""
     system, path = fs.FileSystem.from_uri(uri) if ":" in uri else (fs.LocalFileSystem(), uri)
     if isinstance(system, fs.LocalFileSystem):
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.memmap(path, np.uint8, "r").view(np.ndarray)
     else:
         with system.open_input_file(path) as f:
             raw = np.frombuffer(f.read(), np.uint8)
@@ -172,12 +178,17 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
 
 
 def by_shard(where: np.ndarray):
-    """(shard, positions) of each shard that occurs."""
-    order = np.argsort(where, kind="stable")
-    cut = np.flatnonzero(np.diff(where[order])) + 1
-    for part in np.split(order, cut):
-        if len(part):
-            yield int(where[part[0]]), part
+    """(shard, positions) of each shard that occurs; the positions are a slice where the shards ascend."""
+    if not len(where):
+        return
+    if (where[1:] >= where[:-1]).all():
+        cut = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(where)]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            yield int(where[a]), slice(a, b)
+        return
+    order = np.argsort(where.astype(np.int16) if where.max() < 1 << 15 else where, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
+        yield int(where[part[0]]), part
 
 
 class Trie:
@@ -220,12 +231,16 @@ class Trie:
                 continue
             part = self.part(level, s)
             c = context[at] - over[s]
+            # neighbours often share their context: its range is looked up once
+            new = np.append(True, c[1:] != c[:-1])
+            own = np.cumsum(new) - 1
+            c = c[new]
             lo, hi = part["pointers"].access(c).astype(np.int64), part["pointers"].access(c + 1).astype(np.int64)
-            full = np.flatnonzero(hi > lo)
-            at, lo, hi = at[full], lo[full], hi[full]
             base = np.where(lo > 0, part["codes"].access(np.maximum(lo - 1, 0)) + np.uint64(1), np.uint64(0))
-            i = part["codes"].find(base + word[at].astype(np.uint64))
-            out[at] = np.where((i >= lo) & (i < hi), i + self.starts[level - 1][s], -1)
+            full = np.flatnonzero((hi > lo)[own])
+            at, own = at[full], own[full]
+            i = part["codes"].find(base[own] + word[at].astype(np.uint64))
+            out[at] = np.where((i >= lo[own]) & (i < hi[own]), i + self.starts[level - 1][s], -1)
         return out
 
     def read(self, level: int, name: str, number: np.ndarray) -> np.ndarray:
@@ -238,20 +253,20 @@ class Trie:
         return out if out is not None else np.zeros(0)
 
     def weights(self, level: int, context: np.ndarray) -> np.ndarray:
-        """Back-off weight of contexts of ``level`` towards level + 1."""
+        """Codes of the back-off weights of contexts of ``level`` towards level + 1."""
         out = np.zeros(len(context), np.uint8)
         over = self.cuts[level]
         for s, at in by_shard(np.searchsorted(over, context, side="right") - 1):
             out[at] = self.part(level + 1, s)["weights"][context[at] - over[s]] if self.starts[level][s + 1] > self.starts[level][s] else 255
-        return value(out)
+        return out
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(255 + np.log10(np.maximum(p, 1e-12)) / STEP), 0, 255).astype(np.uint8)
 
 
-def value(code: np.ndarray) -> np.ndarray:
-    return 10.0 ** ((code.astype(np.float64) - 255) * STEP)
+#: What a code stands for.
+VALUES = 10.0 ** ((np.arange(256) - 255) * STEP)
 
 
 def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -279,7 +294,7 @@ SENT = "shard int, n int, a binary, b binary, c binary"
 
 
 def sent_rows(where: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-    rows = [(s, len(at), *[c[at].tobytes() for c in columns]) for s, at in by_shard(where)]
+    rows = [(s, len(columns[0][at]), *[c[at].tobytes() for c in columns]) for s, at in by_shard(where)]
     kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "n", "a", "b", "c"])
 
@@ -458,17 +473,18 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
         entries = np.zeros(shards, np.int64)
         for r in rows:
             entries[r["shard"]] = r["entries"]
-        release_shuffles(spark)
         return rows, np.append(0, np.cumsum(entries))
 
     done, starts = level_done(by_bucket(docs.mapInArrow(count_words(shards), SENT), shards, level_one(folder, mass), KIND), shards)
     trie = Trie(folder, shards, [starts], [np.zeros(1, np.int64)], sum(r["total"] for r in done))
+    release_shuffles(spark)
     for level in range(2, order + 1):
         cuts = context_cuts(done, trie.starts[-1], mass)
         grown = Trie(folder, shards, trie.starts, [*trie.cuts, cuts], trie.tokens)
         many = len(cuts) - 1
         done, starts = level_done(by_bucket(docs.mapInArrow(count_level(grown, level), SENT), many, level_more(folder, level, np.diff(cuts), mass), KIND), many)
         trie = Trie(folder, shards, [*trie.starts, starts], grown.cuts, trie.tokens)
+        release_shuffles(spark)
     return trie
 
 
@@ -486,15 +502,13 @@ def score_tokens(trie: Trie, names: np.ndarray, place: np.ndarray, many: np.ndar
     count, p = counts[place], first[place] / whole
     base = np.log10((counts + 1) / whole)[place]
     for level in range(2, order + 1):
-        c = contexts[level - 2]
+        c, number = contexts[level - 2], numbers[level - 1]
         at = np.flatnonzero(c >= 0)
-        some, back = np.unique(c[at], return_inverse=True)
-        if len(some):
-            p[at] *= trie.weights(level - 1, some)[back]
-        hit = np.flatnonzero(numbers[level - 1] >= 0)
-        some, back = np.unique(numbers[level - 1][hit], return_inverse=True)
-        if len(some):
-            p[hit] += value(trie.read(level, "probs", some))[back]
+        if len(at):
+            p[at] *= VALUES[trie.weights(level - 1, c[at])]
+        hit = np.flatnonzero(number >= 0)
+        if len(hit):
+            p[hit] += VALUES[trie.read(level, "probs", number[hit])]
     return count, base, np.log10(p)
 
 
