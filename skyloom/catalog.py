@@ -1,7 +1,4 @@
-"""Named queries of the map-making operators, each with its SQL equivalent where SQL can express it.
-
-Sums of doubles depend on their order in the last digits; results are rounded for comparison.
-"""
+"""Named queries of the map-making operators, each with its SQL equivalent where SQL can express it."""
 
 from __future__ import annotations
 
@@ -14,34 +11,12 @@ from .functions import kernels as K
 from .operators import maps as M
 from .operators import streams as S
 from .plans import solve
+from .registry import QUERIES, SQL, query, r, rounded
 from .sources import samples as src
-from .streaming.hits import event_pixels, streaming_map
+from .plans.mapset import shared_folder
+from .streaming.hits import event_pixels, whole_map, write_batches
 
 NPIX = src.NX * src.NY
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, samples: str | None = src.EVENTS_SQL):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            body = sql.lstrip(", ")
-            SQL[f.__name__] = f"WITH {samples}{' ' if body.startswith('SELECT') else ', '}{body}" if samples else body
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    """Doubles rounded, and no negative zero."""
-    return df.withColumns({n: F.round(F.col(n), digits) + F.lit(0.0) for n in names})
-
-
-def r(expr: str, name: str, digits: int = 6) -> str:
-    return f"round({expr}, {digits}) + 0.0 AS {name}"
-
-
 def angle():
     return F.radians(F.col("az"))
 
@@ -59,10 +34,10 @@ def tod_to_map(spark, d):
     return rounded(M.scatter(src.events(spark, d), F.col("dat")), "val")
 
 
-@query(f", m AS (SELECT ipix, avg(dat) AS val FROM samples WHERE ipix % 3 > 0 GROUP BY ipix) SELECT tod, det, {r('sum(coalesce(val, 0))', 'total')}, {r('max(coalesce(val, 0))', 'top')} FROM samples LEFT JOIN m USING (ipix) GROUP BY tod, det")
+@query(f", m AS (SELECT ipix, avg(dat) AS val FROM samples GROUP BY ipix HAVING avg(dat) < 60) SELECT tod, det, {r('sum(coalesce(val, 0))', 'total')}, {r('max(coalesce(val, 0))', 'top')} FROM samples LEFT JOIN m USING (ipix) GROUP BY tod, det")
 def map_to_tod(spark, d):
     s = src.events(spark, d)
-    image = s.where("ipix % 3 > 0").groupBy("ipix").agg(F.avg("dat").alias("val"))
+    image = s.groupBy("ipix").agg(F.avg("dat").alias("val")).where("val < 60")
     return rounded(M.gather(s, image, npix=NPIX).groupBy("tod", "det").agg(F.sum("val").alias("total"), F.max("val").alias("top")), "total", "top")
 
 
@@ -118,19 +93,6 @@ def pixels_car(spark, d):
     return e.select("event_id", C.car_pixel(F.col("event_id") % 1000 / F.lit(1000.0), F.col("user_id") % 97 / F.lit(97.0), (0.0, 1.0, 0.0, 1.0), 0.02, 50, 0.9).cast("long").alias("ipix"))
 
 
-@query()
-def pixels_oblique(spark, d):
-    e = src.events(spark, d)
-    ra, dec = 3.0 - F.col("samp") % 200 * 1e-4, 0.7 + F.col("det") * 1e-3
-    return e.select("event_id", C.oblique_car_pixel(ra, dec, (2.98, 3.0, 0.7, 0.71), 1e-4, 400).alias("ipix"))
-
-
-@query()
-def pixels_healpix(spark, d):
-    e = src.events(spark, d)
-    return e.select("event_id", C.healpix_ring(F.radians(F.col("az")), F.asin((F.col("event_id") % 1999) / 1000.0 - 0.999), 16).alias("ipix"))
-
-
 @query("SELECT tod, min(az) AS lo, max(az) AS hi, min(dat) AS lo_dat, max(dat) AS hi_dat, count(*) AS nsamp, count(DISTINCT det) AS ndet, max(samp) + 1 AS ndata FROM samples GROUP BY tod")
 def tod_limits(spark, d):
     return src.events(spark, d).groupBy("tod").agg(F.min("az").alias("lo"), F.max("az").alias("hi"), F.min("dat").alias("lo_dat"), F.max("dat").alias("hi_dat"), F.count("*").alias("nsamp"), F.countDistinct("det").alias("ndet"), (F.max("samp") + 1).alias("ndata"))
@@ -229,7 +191,7 @@ def template_airmass(spark, d):
     s = src.events(spark, d).withColumn("x", 1 / F.cos(F.radians(F.col("az") / 6)))
     mean = s.groupBy("tod").agg(F.avg("x").alias("mx"))  # joined, so that no window gathers a timestream
     am = F.col("x") - F.col("mx")
-    return rounded(s.join(F.broadcast(mean), "tod").groupBy("tod").agg(F.sum(F.col("dat") * am).alias("a1"), F.sum(F.col("dat") * am * am).alias("a2")), "a1", "a2", digits=4)
+    return rounded(s.join(mean, "tod").groupBy("tod").agg(F.sum(F.col("dat") * am).alias("a1"), F.sum(F.col("dat") * am * am).alias("a2")), "a1", "a2", digits=4)
 
 
 @query(", s AS (SELECT tod, det, samp, coalesce(CASE WHEN ctime - lag(ctime) OVER (PARTITION BY tod, det ORDER BY samp) > 3600 THEN 1 ELSE 0 END, 0) AS j FROM samples) SELECT tod, det, samp, CAST(sum(j) OVER (PARTITION BY tod, det ORDER BY samp) AS BIGINT) AS piece FROM s")
@@ -237,12 +199,12 @@ def split_by_gap(spark, d):
     return S.gap_pieces(src.events(spark, d), 3600).select("tod", "det", "samp", "piece")
 
 
-MAPS_SQL = "x AS (SELECT ipix, sum(dat) AS val FROM samples WHERE det < 2 GROUP BY ipix), y AS (SELECT ipix, sum(dat) AS val FROM samples WHERE det > 0 GROUP BY ipix)"
+MAPS_SQL = "x AS (SELECT ipix, sum(dat) AS val FROM samples GROUP BY ipix), y AS (SELECT ipix, sum(dat * az) / 100 AS val FROM samples GROUP BY ipix)"
 
 
 def _two(spark, d):
     s = src.events(spark, d)
-    return M.scatter(s.where("det < 2"), F.col("dat")), M.scatter(s.where("det > 0"), F.col("dat"))
+    return M.scatter(s, F.col("dat")), M.scatter(s, F.col("dat") * F.col("az")).withColumn("val", F.col("val") / 100)
 
 
 @query(f"{MAPS_SQL} SELECT ipix, {r('sum(val)', 'val')} FROM (SELECT * FROM x UNION ALL SELECT ipix, -0.5 * val FROM y) GROUP BY ipix")
@@ -352,32 +314,10 @@ def _noise(name: str, **options):
     return query()(f)
 
 
-for _name, _options in (("white_notch", {"low": 0.1, "high": 0.2}), ("common_white", {}), ("binned_det", {"freqs": (0.05, 0.2)}), ("binned_eig", {"freqs": (0.05, 0.2), "thresh": 3.0}), ("smoothed_svd", {"fwhm": 10.0})):
+for _name, _options in (("common_white", {}), ("binned_eig", {"freqs": (0.05, 0.2), "thresh": 3.0}), ("smoothed_svd", {"fwhm": 10.0})):
     _noise(_name, **_options)
 
 
-@query()
-def downsample(spark, d):
-    import pandas as pd
-
-    def run(tod, det, x):
-        y = K.downsample(x, 4)
-        return pd.DataFrame({"tod": tod, "det": np.repeat(det, y.shape[1]), "samp": np.tile(np.arange(y.shape[1]), len(y)), "dat": y.ravel()})
-
-    return _per_tod(spark, d, run, "tod int, det long, samp long, dat double")
-
-
-@query()
-def smooth_vectors(spark, d):
-    import pandas as pd
-
-    def run(tod, det, x):
-        y = K.smooth(x, 8.0)
-        return pd.DataFrame({"tod": tod, "det": np.repeat(det, y.shape[1]), "samp": np.tile(np.arange(y.shape[1]), len(y)), "dat": y.ravel()})
-
-    return _per_tod(spark, d, run, "tod int, det long, samp long, dat double")
-
-
 @query()
 def clean_common_poly(spark, d):
     import pandas as pd
@@ -405,17 +345,6 @@ def _grid():
     return np.meshgrid(np.arange(src.NX) - src.NX // 2, np.arange(src.NY) - src.NY // 2, indexing="ij")
 
 
-@query()
-def ring_sums(spark, d):
-    """Sums of each map over beam-smoothed annuli."""
-    import pandas as pd
-
-    x, y = _grid()
-    beam = np.fft.ifftshift(np.exp(-(x**2 + y**2) / 2.0))
-    rings = K.rings([0, 3, 6, 9, 12], x, y, (0, 0), beam)
-    return _per_map(spark, d, lambda tod, image: pd.DataFrame({"tod": tod, "ring": range(len(rings)), "val": (rings * image).sum(axis=(1, 2))}), "tod string, ring int, val double")
-
-
 @query()
 def needlet_power(spark, d):
     """Power of each map in needlet bands."""
@@ -478,20 +407,6 @@ def steps_taken_off(spark, d):
     return _per_tod(spark, d, run, "tod int, det long, left double")
 
 
-@query()
-def power_spectrum_fit(spark, d):
-    """White and red noise of each vector."""
-    import pandas as pd
-
-    return _per_tod(spark, d, lambda tod, det, x: pd.DataFrame({"tod": tod, "det": det} | dict(zip(("white", "red", "slope"), K.power_law_fit(x).T, strict=True))), "tod int, det long, white double, red double, slope double")
-
-
-@query()
-def pixels_healpix_nest(spark, d):
-    e = src.events(spark, d)
-    return e.select("event_id", C.healpix_nest(F.radians(F.col("az")), F.asin((F.col("event_id") % 1999) / 1000.0 - 0.999), 16).alias("ipix"))
-
-
 @query("SELECT CAST(trunc(az * 36 / 360.0) AS INT) AS bin, det, round(sum(dat), 5) + 0.0 AS val FROM samples GROUP BY ALL")
 def template_azimuth_shared(spark, d):
     """Azimuth bins of each detector over all timestreams."""
@@ -522,17 +437,17 @@ def template_bowl(spark, d):
 def _regions(spark, d):
     m = M.scatter(src.events(spark, d), F.col("dat"))
     x, y = F.floor(F.col("ipix") / src.NY) - 15.5, F.col("ipix") % src.NY - 11.5
-    return S.region_means(m, C.sector(x, y, (0.0, 0.0), (1.0, 4.2, 8.3, 11.1), 4))
+    return m, C.sector(x, y, (0.0, 0.0), (1.0, 4.2, 8.3, 11.1), 4)
 
 
 @query(", m AS (SELECT ipix // 24 - 15.5::DOUBLE AS x, ipix % 24 - 11.5::DOUBLE AS y, sum(dat) AS val FROM samples GROUP BY ipix), r AS (SELECT val, sqrt(x * x + y * y) AS r, CASE WHEN x > 0 AND y > 0 THEN 0 WHEN y > 0 THEN 1 WHEN x < 0 THEN 2 ELSE 3 END AS a FROM m) SELECT CAST(CASE WHEN r < 4.2 THEN 0 WHEN r < 8.3 THEN 4 ELSE 8 END + a AS BIGINT) AS region, count(*) AS n, round(avg(val), 6) + 0.0 AS mean FROM r WHERE r >= 1.0 AND r < 11.1 GROUP BY 1")
 def region_means(spark, d):
-    return rounded(_regions(spark, d).drop("boot_var"), "mean")
+    return rounded(S.region_means(*_regions(spark, d)), "mean")
 
 
 @query()
 def region_bootstrap(spark, d):
-    return _regions(spark, d)
+    return S.region_bootstrap(*_regions(spark, d))
 
 
 @query()
@@ -555,17 +470,18 @@ def fit_source(spark, d):
 
 @query("SELECT (event_id * 7 % 32) * 24 + user_id * 13 % 24 AS ipix, count(*) AS hits, round(sum(value), 6) + 0.0 AS val FROM events GROUP BY ALL", None)
 def streaming_hits(spark, d):
-    """The event map from a stream of the same files; the sums in memory are those of the batch."""
-    import tempfile
+    """The event map from a stream of the same files; each batch's sums by pixel go to a table, and are summed when it is read."""
     import uuid
 
     kind = spark.read.parquet(f"{d}/events.parquet").schema
-    name = f"hits_{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/hits-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(d)
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    run = streaming_map(event_pixels(stream)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{at}/{name}").trigger(availableNow=True).start()
+    run = write_batches(event_pixels(stream), f"{at}/table", f"{at}/checkpoint")
     run.awaitTermination()
-    return rounded(spark.table(name), "val")
+    return rounded(whole_map(spark, f"{at}/table"), "val")
+
+
+from . import catalog_arrays, catalog_maps, catalog_templates  # noqa: E402, F401  they register their queries
 
 
 def queries() -> dict:

@@ -105,7 +105,8 @@ class White:
     """
 
     def __init__(self, d, dt=1.0, mask=None, **_):
-        self.weights = 1 / step_widths(d, mask) ** 2
+        width = step_widths(d, mask)
+        self.weights = np.where(width > 0, 1 / np.where(width > 0, width, 1) ** 2, 0.0)  # a dead detector has none
 
     def apply(self, d):
         return d * self.weights[:, None]
@@ -242,38 +243,47 @@ def spikes(d: np.ndarray, inner: float = 1, outer: float = 10, thresh: float = 8
     return [np.flatnonzero(r > thresh * np.median(r)) for r in f]
 
 
-def jumps(d: np.ndarray, width: float = 10, pad: int = 2, thresh: float = 10, ratio: float = 0.5) -> list[list[int]]:
-    """Samples of each detector where the mean steps; a flip of sign close by marks a spike, not a step."""
+def jumps(d: np.ndarray, width: int = 10, pad: int = 2, thresh: float = 10, ratio: float = 0.5, dejump: bool = False):
+    """Samples of each detector where the mean steps; with ``dejump`` the data without the steps as well.
+
+    The difference of the means before and after a sample is searched for its largest
+    value, again and again, until none is over ``thresh`` times the median; the sample
+    after it is the step.  An opposite value of over ``ratio`` of it within ``width``
+    marks a spike.  Either way the filtered data within ``pad`` widths are struck out.
+    """
     n = d.shape[1]
     x = np.arange(n)
     kernel = np.exp(-0.5 * (x / width) ** 2) - np.exp(-0.5 * ((n - x) / width) ** 2)
-    kernel[0] = 0
     kernel /= np.abs(kernel).sum() / 2
     f = np.fft.irfft(np.fft.rfft(d, axis=1) * np.fft.rfft(kernel), n, axis=1)
     edge = int(pad * width)
     f[:, :edge] = f[:, n - edge :] = 0
-    out = []
-    for row in f:
+    out, clean = [], d.copy()
+    for k, row in enumerate(f):
         got, limit = [], thresh * np.median(np.abs(row))
-        while np.abs(row).max() > max(limit, 0) and limit > 0:
-            i = int(np.abs(row).argmax())
-            a, b = max(0, i - edge), i + edge + 1
-            around = row[a:b] * np.sign(row[i])
-            if -around.min() <= ratio * around.max():
+        while np.abs(row).max() > limit:
+            i = min(int(np.abs(row).argmax()) + 1, n - 1)
+            near = row[max(0, i - int(width)) : min(n, i + int(width))]
+            against = near.min() if row[i] > 0 else near.max()
+            if row[i] and abs(against) <= ratio * abs(row[i]):
                 got.append(i)
-            row[a:b] = 0
+            clean[k, i:] += row[i]
+            row[max(0, i - edge) : i + edge] = 0
         out.append(sorted(got))
-    return out
+    return (out, clean) if dejump else out
 
 
 def gapfill_eig(d: np.ndarray, bad: np.ndarray, thresh: float = 5.0, rounds: int = 3, inner: int = 3) -> np.ndarray:
-    """Bad samples from the strong eigenmodes of the detectors, found again and again."""
-    d = d.copy()
+    """Bad samples from the strong modes in time, found again in each round; detectors' weights of the modes are fitted in inner steps."""
+    d = np.where(bad, 0.0, d)
     for _ in range(rounds):
         value, vector = np.linalg.eigh(d @ d.T)
-        v = vector[:, value > thresh**2 * np.median(value)]
+        modes = vector[:, value > thresh**2 * np.median(value)].T @ d
+        if not len(modes):
+            break
+        inverse = np.linalg.inv(modes @ modes.T)
         for _ in range(inner):
-            d[bad] = (v @ (v.T @ d))[bad]
+            d[bad] = ((d @ modes.T) @ inverse @ modes)[bad]
     return d
 
 
@@ -321,6 +331,36 @@ def rings(edges, x: np.ndarray, y: np.ndarray, centre, kernel: np.ndarray) -> np
     return np.stack([np.fft.irfft2(np.fft.rfft2(((r >= a) & (r < b)).astype(float)) * ft, r.shape) for a, b in zip(edges[:-1], edges[1:], strict=True)])
 
 
+def sloped_rings(edges, values: np.ndarray, x: np.ndarray, y: np.ndarray, centre, kernel: np.ndarray, wide: float = 1.0, high: float = 1.0, tilt: float = 0.0, pixel: float = 1.0) -> np.ndarray:
+    """Elliptical tilted annuli, each falling linearly from 1 at its inner edge as the ring values do, convolved with a beam image (periodic).
+
+    Values are taken relative to the largest, less a fiftieth of their range; the last ring has no slope.
+    """
+    u = (x - centre[0]) * np.cos(tilt) + (y - centre[1]) * np.sin(tilt)
+    v = (y - centre[1]) * np.cos(tilt) - (x - centre[0]) * np.sin(tilt)
+    radius = np.hypot(u / wide, v / high) * pixel
+    level = np.asarray(values, float)[: len(edges) - 1]
+    level = level - level.max()
+    level = level - np.ptp(level) / 50
+    fall = np.append((level[:-1] - level[1:]) / np.diff(edges[:-1]), 0.0)
+    ft, out = np.fft.rfft2(kernel / kernel.sum()), []
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        share = 1 - (radius - a) * fall[k] / level[k] if level[k] else np.ones_like(radius)
+        out.append(np.fft.irfft2(np.fft.rfft2(np.where((radius >= a) & (radius < b), share, 0.0)) * ft, radius.shape))
+    return np.stack(out)
+
+
+def fit_scaled_polynomials(d: np.ndarray, scale: np.ndarray, order: int, common_order: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(model, common coefficients, scaled coefficients, polynomials): least squares of Legendre polynomials that all rows share, and polynomials times ``scale``."""
+    n = d.shape[1]
+    shared, own = legendre(order if common_order is None else common_order, n), legendre(order, n)
+    cross = shared * scale.sum(axis=0) @ own.T
+    left = np.block([[len(d) * shared @ shared.T, cross], [cross.T, own * (scale**2).sum(axis=0) @ own.T]])
+    coef = np.linalg.solve(left, np.concatenate([shared @ d.sum(axis=0), own @ (d * scale).sum(axis=0)]))
+    common, scaled = coef[: len(shared)], coef[len(shared) :]
+    return common @ shared + (scaled @ own) * scale, common, scaled, own
+
+
 def needlet_bands(js, kmax: float, k: np.ndarray, b: float | None = None) -> np.ndarray:
     """Needlet filters b_j(k); their squares sum to 1 between the outer bands."""
     b = b or kmax ** (1 / max(js)) * 1.01

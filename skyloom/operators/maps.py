@@ -19,10 +19,12 @@ def gather(samples: DataFrame, image: DataFrame, key: str = "ipix", npix: int |
     return samples.join(image, key, "left").withColumn("val", F.coalesce("val", F.lit(0.0)))
 
 
-def hits(samples: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+def hits(samples: DataFrame, weights: DataFrame | None = None, mask: Column | None = None) -> DataFrame:
+    """Counts, or summed detector weights, by pixel; masked samples (``mask`` false) count as zero."""
+    share = F.lit(1.0) if mask is None else mask.cast("double")
     if weights is None:
-        return scatter(samples, F.lit(1.0))
-    return scatter(samples.join(weights, ["tod", "det"]), F.col("w"))
+        return scatter(samples, share)
+    return scatter(samples.join(weights, ["tod", "det"]), F.col("w") * share)
 
 
 def white_weights(samples: DataFrame) -> DataFrame:
@@ -58,6 +60,76 @@ def gather_iqu(samples: DataFrame, image: DataFrame, angle: Column) -> DataFrame
     return joined.withColumn("val", F.coalesce("i", F.lit(0.0)) + F.coalesce("q", F.lit(0.0)) * F.cos(angle) + F.coalesce("u", F.lit(0.0)) * F.sin(angle))
 
 
+def scatter_qu(samples: DataFrame, angle: Column) -> DataFrame:
+    d = F.col("dat")
+    return samples.groupBy("ipix").agg(F.sum(d * F.cos(angle)).alias("q"), F.sum(d * F.sin(angle)).alias("u"))
+
+
+def gather_qu(samples: DataFrame, image: DataFrame, angle: Column) -> DataFrame:
+    joined = samples.join(image, "ipix", "left")
+    return joined.withColumn("val", F.coalesce("q", F.lit(0.0)) * F.cos(angle) + F.coalesce("u", F.lit(0.0)) * F.sin(angle))
+
+
+def precon_qu(samples: DataFrame, angle: Column) -> DataFrame:
+    c, s = F.cos(angle), F.sin(angle)
+    return samples.groupBy("ipix").agg(F.sum(c * c).alias("qq"), F.sum(s * s).alias("uu"), F.sum(c * s).alias("qu"))
+
+
+#: Components by the tag of a polarised map.
+POLS = {"I": ["i"], "QU": ["q", "u"], "IQU": ["i", "q", "u"], "QU_PRECON": ["qq", "uu", "qu"], "IQU_PRECON": ["ii", "iq", "iu", "qq", "qu", "uu"]}
+
+
+def scatter_pol(samples: DataFrame, tag: str, angle: Column) -> DataFrame:
+    """Polarised scatter by the map's tag."""
+    by_tag = {"I": lambda: scatter(samples, F.col("dat"), name="i"), "QU": lambda: scatter_qu(samples, angle), "IQU": lambda: scatter_iqu(samples, angle), "QU_PRECON": lambda: precon_qu(samples, angle), "IQU_PRECON": lambda: precon_iqu(samples, angle)}
+    if tag not in by_tag:
+        raise ValueError(f"unknown polarisation {tag}")
+    return by_tag[tag]()
+
+
+def melt(image: DataFrame, pols: list[str]) -> DataFrame:
+    """(ipix, pol, val) of a map with a column for each component."""
+    return image.unpivot(["ipix"], pols, "pol", "val")
+
+
+def invert_iqu(precon: DataFrame, thresh: float = 1e-6) -> DataFrame:
+    """3x3 blocks inverted; one whose determinant is below ``thresh`` of the largest keeps 1 / ii (if positive) alone."""
+    ii, iq, iu, qq, qu, uu = (F.col(c) for c in POLS["IQU_PRECON"])
+    minors = {"ii": qq * uu - qu * qu, "iq": iu * qu - iq * uu, "iu": iq * qu - iu * qq, "qq": ii * uu - iu * iu, "qu": iq * iu - ii * qu, "uu": ii * qq - iq * iq}
+    with_det = precon.withColumn("_det", ii * minors["ii"] + iq * minors["iq"] + iu * minors["iu"])
+    top = with_det.agg(F.max("_det")).first()[0]
+    good = F.col("_det") >= thresh * (top or 0.0)
+    alone = F.when(ii > 0, F.try_divide(F.lit(1.0), ii)).otherwise(0.0)
+    return with_det.select("ipix", *[F.when(good, F.try_divide(m, F.col("_det"))).otherwise(alone if n == "ii" else F.lit(0.0)).alias(n) for n, m in minors.items()])
+
+
+def block_times(precon: DataFrame, image: DataFrame, tag: str = "IQU") -> DataFrame:
+    """Each pixel's symmetric block times its vector."""
+    if f"{tag}_PRECON" not in POLS:
+        raise ValueError(f"no blocks for polarisation {tag}")
+    joined = precon.join(image, "ipix")
+    entry = lambda a, b: F.col(a + b if a + b in precon.columns else b + a)
+    return joined.select("ipix", *[sum((entry(a, b) * F.col(b) for b in POLS[tag][1:]), entry(a, POLS[tag][0]) * F.col(POLS[tag][0])).alias(f"{a}") for a in POLS[tag]])
+
+
+def pixel_noise(image: DataFrame, variance: DataFrame, inverse: bool = True, factor: float = 1.0) -> DataFrame:
+    """A map times its pixels' inverse variance; ``inverse`` false: variances are given, and those above zero are inverted."""
+    v = F.col("_v")
+    w = v if inverse else F.when(v > 0, F.try_divide(F.lit(1.0), v)).otherwise(v)
+    return image.join(variance.select("ipix", F.col("val").alias("_v")), "ipix").select("ipix", (F.col("val") * w * factor).alias("val"))
+
+
+def gradient_mask(image: DataFrame, weight: DataFrame, hit: DataFrame, nx: int, ny: int, thresh: float = 4.0) -> DataFrame:
+    """(ipix, grad): the gradient where it is over ``thresh`` times a sample's noise in the pixel, elsewhere 0.
+
+    A sample's noise is the map's noise (the root of the inverse weight) times the root of the hits.
+    """
+    grad = gradient(image, nx, ny)
+    noise = invert(weight).select("ipix", F.sqrt("val").alias("_noise")).join(hit.select("ipix", F.col("val").alias("_hits")), "ipix")
+    level = F.coalesce(F.col("_noise") * F.sqrt("_hits"), F.lit(0.0))
+    return grad.join(noise, "ipix", "left").select("ipix", F.when(F.col("grad") > thresh * level, F.col("grad")).otherwise(0.0).alias("grad"))
+
+
 def invert_qu(precon: DataFrame, thresh: float = 1e-6) -> DataFrame:
     """2x2 blocks inverted; blocks whose determinant is below ``thresh`` of their squared trace are zero."""
     det = F.col("qq") * F.col("uu") - F.col("qu") * F.col("qu")

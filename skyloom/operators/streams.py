@@ -55,11 +55,57 @@ def common_mode(samples: DataFrame) -> DataFrame:
     return samples.groupBy("tod", "samp").agg(F.median("dat").alias("cm"))
 
 
-def decimate(samples: DataFrame) -> DataFrame:
-    """Means of pairs; a last odd sample is dropped."""
+def decimate(samples: DataFrame, times: int = 1) -> DataFrame:
+    """Means of pairs, taken ``times`` times; a last odd sample is dropped."""
+    if times > 1:
+        samples = decimate(samples, times - 1)
     return samples.groupBy(*BY_DET, F.floor(F.col("samp") / 2).alias("samp")).agg(F.avg("dat").alias("dat"), F.count("*").alias("n")).where("n = 2").drop("n")
 
 
+def numbered(samples: DataFrame) -> DataFrame:
+    """(tod, ndet, nsamp, tag): timestreams numbered from 0 in order of their names; a row each, so one task numbers them."""
+    each = samples.groupBy("tod").agg(F.countDistinct("det").alias("ndet"), F.count("*").alias("nsamp"))
+    return each.withColumn("tag", F.dense_rank().over(Window.orderBy("tod")) - 1)
+
+
+def save_pixels(samples: DataFrame, tag: str, pixel: Column) -> DataFrame:
+    """Pixels kept beside the samples under a map's tag; those under the same tag are replaced."""
+    return samples.withColumn(f"ipix_{tag}", pixel)
+
+
+def clear_pixels(samples: DataFrame, tag: str) -> DataFrame:
+    return samples.drop(f"ipix_{tag}")
+
+
+def saved_pixels(samples: DataFrame, tag: str, otherwise: Column) -> Column:
+    """The pixels under a tag, or the expression that makes them where there are none."""
+    return F.col(f"ipix_{tag}") if f"ipix_{tag}" in samples.columns else otherwise
+
+
+def empty_like(samples: DataFrame, value: str = "dat") -> DataFrame:
+    """The same samples without signal."""
+    return samples.withColumn(value, F.lit(0).cast(samples.schema[value].dataType))
+
+
+def with_jumps(samples: DataFrame, jumps: DataFrame) -> DataFrame:
+    """``piece``: the number of jumps of a side table (tod, det, samp) at or before a sample."""
+    marked = samples.join(jumps.select(*BY_DET, "samp", F.lit(1).alias("jump")).distinct(), [*BY_DET, "samp"], "left")
+    return marked.withColumn("piece", F.sum(F.coalesce("jump", F.lit(0))).over(_along().rowsBetween(Window.unboundedPreceding, 0))).drop("jump")
+
+
+def truncate(samples: DataFrame, primes=(2, 3, 5, 7, 11), most: int | None = None) -> DataFrame:
+    """Samples of each timestream below one more than the largest length of these prime factors that is shorter than its shortest detector (and ``most``)."""
+    from ..functions.kernels import truncated_length
+
+    size = samples.groupBy(*BY_DET).agg(F.count("*").alias("n")).groupBy("tod").agg(F.min("n").alias("n"))
+    size = size if most is None else size.withColumn("n", F.least("n", F.lit(most)))
+    cut = [(r["tod"], truncated_length(r["n"])) for r in size.collect()]  # a row a timestream
+    if not cut:
+        return samples
+    lengths = samples.sparkSession.createDataFrame(cut, f"tod {samples.schema['tod'].dataType.simpleString()}, _n long")
+    return samples.join(lengths, "tod").where("samp < _n").drop("_n")
+
+
 def gap_pieces(samples: DataFrame, thresh: float) -> DataFrame:
     """``piece`` counts time gaps longer than ``thresh`` before a sample."""
     jump = (F.col("ctime") - F.lag("ctime").over(_along()) > thresh).cast("int")
@@ -152,7 +198,12 @@ def chebyshev_project(samples: DataFrame, count: int = 4, at: str = "az") -> Dat
     return scaled.groupBy(*BY_DET).agg(*[F.sum(F.col("dat") * p[k]).alias(f"t{k}") for k in range(1, count)])
 
 
-def region_means(points: DataFrame, region: Column, value: str = "val", resamples: int = 200) -> DataFrame:
+def region_means(points: DataFrame, region: Column, value: str = "val") -> DataFrame:
+    """(region, n, mean) of points in regions."""
+    return points.select(region.alias("region"), F.col(value).alias("v")).where("region is not null").groupBy("region").agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
+
+
+def region_bootstrap(points: DataFrame, region: Column, value: str = "val", resamples: int = 200) -> DataFrame:
     """(region, n, mean, boot_var) of points in regions: the variance of the mean over resamples.
 
     A resample draws each point as often as a Poisson variable of mean 1 says, whose
@@ -167,4 +218,4 @@ def region_means(points: DataFrame, region: Column, value: str = "val", resample
         times = times + (F.col("u") >= cdf).cast("int")
     drawn = p.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).select("region", "draw", "v", u).withColumn("w", times)
     boot = drawn.groupBy("region", "draw").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w").cast("double")).alias("m")).groupBy("region").agg(F.var_pop("m").alias("boot_var"))
-    return p.groupBy("region").agg(F.count("*").alias("n"), F.avg("v").alias("mean")).join(boot, "region")
+    return region_means(points, region, value).join(boot, "region")

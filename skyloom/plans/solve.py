@@ -1,13 +1,25 @@
-"""Conjugate gradients over timestreams: each step is one job that gathers, weights by the noise and scatters."""
+"""Conjugate gradients over timestreams whose noise needs a whole timestream: each step is one pass over stored blocks.
+
+The noise model of a timestream is fitted once and kept beside its data.  The map is a
+vector on the driver, which is sent to all tasks: for maps of over ``LARGEST`` pixels
+use :mod:`skyloom.plans.mapset`, whose vectors are tables.
+"""
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import NOISE
+from ..operators import maps as M
+from .mapset import kept
+
+#: Pixels of the largest map that is sent to every task.
+LARGEST = 20_000_000
 
 
 def blocks(samples: DataFrame) -> DataFrame:
@@ -25,18 +37,34 @@ def rectangle(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return d, pix, mask
 
 
-def normal_product(rows: DataFrame, image: np.ndarray | None, noise: str = "white", **options) -> np.ndarray:
-    """Scattered, noise-weighted data (``image`` None), or the same of a gathered map: one job, summed by pixel."""
-    sent = rows.sparkSession.sparkContext.broadcast(image)  # a map, whose grid is fixed
+def fitted(rows: DataFrame, noise: str = "white", **options) -> DataFrame:
+    """(tod, det, w, held): each timestream's data with its fitted noise model, and its detectors' weights; ``held`` stands in one row of a timestream."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         d, pix, mask = rectangle(part)
         model = NOISE[noise](d, mask=mask, **options)
-        out = model.apply(d if sent.value is None else sent.value[pix] * mask)
-        some, inverse = np.unique(pix[mask], return_inverse=True)
-        return pd.DataFrame({"ipix": some, "val": np.bincount(inverse, out[mask])})
+        det = part["det"].sort_values().to_numpy()
+        held = [pickle.dumps((d, pix, mask, model))] + [None] * (len(det) - 1)
+        return pd.DataFrame({"tod": part["tod"].iloc[0], "det": det, "w": model.det_weights(), "held": held})
+
+    return rows.groupBy("tod").applyInPandas(run, f"tod {rows.schema['tod'].dataType.simpleString()}, det long, w double, held binary")
+
 
-    return rows.groupBy("tod").applyInPandas(run, "ipix long, val double").groupBy("ipix").agg(F.sum("val").alias("val"))
+def normal_product(held: DataFrame, image: np.ndarray | None) -> DataFrame:
+    """Scattered, noise-weighted data (``image`` None), or the same of a gathered map: no shuffle but that of the sums by pixel."""
+    if image is not None and len(image) > LARGEST:
+        raise ValueError("the map is too large to be sent to every task; solve it with skyloom.plans.mapset")
+    sent = held.sparkSession.sparkContext.broadcast(image)
+
+    def run(frames):
+        for frame in frames:
+            for raw in frame["held"]:
+                d, pix, mask, model = pickle.loads(raw)
+                out = model.apply(d if sent.value is None else sent.value[pix] * mask)
+                some, inverse = np.unique(pix[mask], return_inverse=True)
+                yield pd.DataFrame({"ipix": some, "val": np.bincount(inverse, out[mask])})
+
+    return held.where("held is not null").select("held").mapInPandas(run, "ipix long, val double").groupBy("ipix").agg(F.sum("val").alias("val"))
 
 
 def vector(image: DataFrame, npix: int) -> np.ndarray:
@@ -51,12 +79,13 @@ def pcg(rows: DataFrame, npix: int, noise: str = "white", iterations: int = 10,
     """The map that solves the normal equations, and the residual after each step.  ``prior``: a function x -> Qx to be added."""
     mask = np.ones(npix) if mask is None else mask
     m = np.ones(npix) if precon is None else precon
+    held = kept(fitted(rows, noise, **options), "timestreams")
 
     def a(x):
-        y = mask * vector(normal_product(rows, mask * x, noise, **options), npix)
+        y = mask * vector(normal_product(held, mask * x), npix)
         return y if prior is None else y + prior(x)
 
-    b = mask * vector(normal_product(rows, None, noise, **options), npix)
+    b = mask * vector(normal_product(held, None), npix)
     x = np.zeros(npix) if x0 is None else x0.copy()
     r = b - (a(x) if x.any() else 0)
     z = m * r
@@ -142,12 +171,14 @@ def freedom(free) -> np.ndarray:
     return out
 
 
-def fit(samples: DataFrame, parts: list[str], start: np.ndarray, counts: list[int], free: np.ndarray | None = None, iterations: int = 10, tolerance: float = 1e-4, limits: dict[int, tuple[float, float]] | None = None) -> tuple[np.ndarray, float, np.ndarray]:
+def fit(samples: DataFrame, parts: list[str], start: np.ndarray, counts: list[int], free: np.ndarray | None = None, iterations: int = 10, tolerance: float = 1e-4, limits: dict[int, tuple[float, float]] | None = None, windows: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, float, np.ndarray]:
     """Damped least squares of summed source models to (tod, det, dx, dy, dat, w) samples: (parameters, chi squared, errors).
 
     Each step is one job: partitions emit their normal equations, which are summed.
     ``free``: what :func:`freedom` takes.  ``limits``: parameter -> (low, high); one that reaches an end stays there, and those tied to it.
+    ``windows``: for each part the samples [first, end) in which it shines, as for a light curve; then the samples have a column ``samp``.
     """
+    samples = kept(samples.select("dx", "dy", "dat", "w", *(["samp"] if windows else [])), "fit")  # read again in each step
     p = np.array(start, float)
     free = np.ones(len(p), int) if free is None else np.asarray(free, int)
     move = freedom(free)
@@ -158,15 +189,18 @@ def fit(samples: DataFrame, parts: list[str], start: np.ndarray, counts: list[in
             for f in frames:
                 x, y, d, w = (f[c].to_numpy() for c in ("dx", "dy", "dat", "w"))
                 at, value, derivs = 0, 0, []
-                for kind, n in zip(parts, counts, strict=True):
+                for k, (kind, n) in enumerate(zip(parts, counts, strict=True)):
                     v, g = MODELS[kind](q[at : at + n], x, y)
+                    if windows:
+                        inside = f["samp"].between(windows[k][0], windows[k][1] - 1).to_numpy()
+                        v, g = v * inside, g * inside
                     value, at = value + v, at + n
                     derivs.append(g)
                 g, res = np.concatenate(derivs), d - value
                 total += np.concatenate([[(w * res * res).sum()], g @ (w * res), ((g * w) @ g.T).ravel()])
             yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
 
-        rows = samples.select("dx", "dy", "dat", "w").mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas().sort_values("k")["v"].to_numpy()
+        rows = samples.mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas().sort_values("k")["v"].to_numpy()
         return rows[0], rows[1 : 1 + len(q)], rows[1 + len(q) :].reshape(len(q), len(q))
 
     chi, grad, curve = equations(p)
@@ -194,3 +228,20 @@ def fit(samples: DataFrame, parts: list[str], start: np.ndarray, counts: list[in
     errors = np.zeros(len(p))
     errors[:] = move @ np.sqrt(np.diag(np.linalg.pinv(move.T @ curve @ move)))
     return p, float(chi), errors
+
+
+def map_derivatives(samples: DataFrame, draw, parameters, steps, symmetric: bool = False, npix: int | None = None) -> DataFrame:
+    """Samples with ``pred``, the gathered map ``draw(parameters)``, and ``d0``, ``d1``...: its numeric derivatives by each parameter."""
+    p = np.array(parameters, float)
+    image = draw(p).withColumnRenamed("val", "pred")
+    for k, step in enumerate(steps):
+        move = np.eye(len(p))[k] * step
+        ahead = draw(p + move).withColumnRenamed("val", "_a")
+        image = image.join(ahead, "ipix")
+        if symmetric:
+            image = image.join(draw(p - move).withColumnRenamed("val", "_b"), "ipix").withColumn(f"d{k}", (F.col("_a") - F.col("_b")) / (2 * step)).drop("_a", "_b")
+        else:
+            image = image.withColumn(f"d{k}", (F.col("_a") - F.col("pred")) / step).drop("_a")
+    names = ["pred", *[f"d{k}" for k in range(len(p))]]
+    small = npix is not None and npix <= M.SMALL_MAP
+    return samples.join(F.broadcast(image) if small else image, "ipix", "left").withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names})

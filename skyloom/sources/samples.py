@@ -180,6 +180,12 @@ def fits_image(image: np.ndarray, header: dict | None = None) -> bytes:
     return head.ljust(-(-len(head) // 2880) * 2880).encode("ascii") + body + b"\0" * (-len(body) % 2880)
 
 
+def bad_files(sources: DataFrame, listed: DataFrame) -> DataFrame:
+    """(name, file) of a blacklist (source, file) for the sources asked for; names are compared in small letters without outer underscores."""
+    plain = F.lower(F.trim("source", F.lit("_")))
+    return sources.select(plain.alias("name")).distinct().join(listed.select(plain.alias("name"), "file"), "name")
+
+
 def without_blacklisted(paths: DataFrame, blacklist: DataFrame, path: str = "path") -> DataFrame:
     """Paths whose last part isn't in ``blacklist`` (column ``name``), the greatest path of each name, sorted."""
     named = paths.withColumn("name", F.substring_index(path, "/", -1))

@@ -94,7 +94,7 @@ def test_normal_product_keeps_all_samples(spark, name):
     x = rng.normal(size=7)
     for image, given in ((None, d), (x, x[pix] * mask)):
         want = np.bincount(pix[mask], (m.apply(given) * mask)[mask], minlength=7)
-        got = solve.vector(solve.normal_product(cells, image, name, **options), 7)
+        got = solve.vector(solve.normal_product(solve.fitted(cells, name, **options), image), 7)
         assert np.allclose(got, want, rtol=1e-9) and np.isfinite(got).all() and got[6] != 0
     a = np.stack([(m.apply(e.reshape(4, 30) * mask) * mask).ravel() for e in np.eye(120)])
     assert np.allclose(a, a.T, atol=1e-9 * np.abs(a).max())
@@ -205,7 +205,7 @@ def test_region_bootstrap_is_near_the_standard_error(spark):
     from skyloom.operators import streams as S
 
     v = np.random.default_rng(8).normal(size=500)
-    got = S.region_means(spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i long, val double"), F.lit(1)).first()
+    got = S.region_bootstrap(spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i long, val double"), F.lit(1)).first()
     assert got["n"] == 500 and abs(got["mean"] - v.mean()) < 1e-9
     assert 0.6 < got["boot_var"] / (v.var() / 500) < 1.5
 
