@@ -1,19 +1,22 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles: a prefix join that misses no pair.
+"""Near-duplicates by the exact Jaccard similarity of word shingles: SimHash links first, then a prefix join that misses no pair.
 
-Two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1
-of each, in whatever order all sets are sorted.  A 64-bit SimHash can't give that
-certainty: a pair of similarity 0.8 is about ten bits apart, often more, and a
-covering family for ten bits has 2047 tables.  Shingles that are frequent in a
-sample go last, so that few documents meet at a shingle; the sample decides what is
-compared, never what is found.
+SimHash fingerprints of the shingle sets meet in the tables of a covering family; each
+pair that is compared is checked by its sets.  That joins most copies, large groups
+above all, but a pair of similarity 0.8 is about ten of 64 bits apart, often more, and
+a covering family for ten bits has 2047 tables.  So a second step completes it: two
+sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of each,
+in whatever order all sets are sorted.  Shingles that are frequent in a sample go last,
+so that few documents meet at a shingle; the sample decides what is compared, never
+what is found.  Documents that SimHash has joined aren't compared again.
 
 Documents of equal sets are one.  The sets lie in files of the shared folder, and a
-document is named by its place there; a bucket of documents that share a shingle
-reads them, compares those not yet linked, and sends on a spanning forest.
+document is named by its place there; a bucket of documents that share a shingle (or
+the kept bits of a table) reads them, compares those not yet linked, and sends on a
+spanning forest.
 
 Defined cases: null and wordless texts have the empty set and link to each other
-alone; a text of fewer than ``WIDTH`` words is one shingle; an empty table gives an
-empty result.  Shingles are told apart by 64-bit hashes.
+alone; a text of fewer than ``WIDTH`` words is one shingle; rows of null id link like
+others; an empty table gives an empty result.  Shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,14 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fresh_dir, small_batches, stored
+from .common import components, discard, fresh_dir, release_shuffles, remove_dir, small_batches, stored
 from .ngram_trie import tokens_of
+from .simhash import masks, signed
 from .suffix_dedup import mixed
 from .token_files import write_whole
 from .token_ids import groups_by_size
 
-#: Words of a shingle; least similarity as a fraction.
-WIDTH, LEAST = 5, (4, 5)
+#: Words of a shingle; least similarity as a fraction; bits of the SimHash step.
+WIDTH, LEAST, RADIUS = 5, (4, 5), 3
 #: Documents that the sample of shingle frequencies has about, and the most shingles that it names.
 SAMPLE, NAMED = 4_000, 200_000
 #: A place: number of the task's attempt, and of the set's first word in its file.
@@ -58,8 +62,24 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray
     return out
 
 
+def set_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """The 64-bit SimHash of each set: a bit is 1 if set in over half of its hashes."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    some = np.flatnonzero(sizes)
+    out = np.zeros(len(sets), np.uint64)
+    if len(some):
+        whole = np.concatenate([sets[i] for i in some])
+        first = np.cumsum(sizes[some]) - sizes[some]
+        ones = np.empty((len(some), 64), np.int32)
+        for byte in range(8):  # a byte of all hashes at a time
+            bits = np.unpackbits(((whole >> np.uint64(8 * byte)) & np.uint64(255)).astype(np.uint8)[:, None], axis=1, bitorder="little")
+            ones[:, 8 * byte : 8 * byte + 8] = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        out[some] = np.packbits(2 * ones > sizes[some][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
 def write_sets(folder: str, key: str):
-    """Over (key, text): (key, sh, n, place) of each document; its set is written to this task's file."""
+    """Over (key, text): (key, sh, n, place, fp) of each document; its set is written to this task's file."""
 
     def run(batches):
         task, at, part = TaskContext.get().taskAttemptId(), 0, 0
@@ -74,7 +94,7 @@ def write_sets(folder: str, key: str):
             marks = [int(mixed(s + np.uint64(0x51)).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
             write_whole(folder, f"{task}-{part}.sets", np.concatenate([x if len(x) else np.zeros(1, np.uint64) for x in sets]).tobytes())
             part += 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(places)], names=[key, "sh", "n", "place"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(places), pa.array(set_fingerprints(sets).view(np.int64))], names=[key, "sh", "n", "place", "fp"])
 
     return run
 
@@ -105,23 +125,23 @@ def prefix_length(n: int, least: tuple[int, int] = LEAST) -> int:
 
 
 def prefixes(folder: str, named, least: tuple[int, int]):
-    """Over (place, n): (h, place, n) of the first shingles of each set, the rare ones first."""
+    """Over (place, n, label): (h, place, n, label) of the first shingles of each set, the rare ones first."""
 
     def run(batches):
         sets, (known, often) = Sets(folder), named.value
         for batch in batches:
-            out = [[], [], []]
-            for place, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out = [[], [], [], []]
+            for place, n, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = sets.get(place, n)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     s = s[np.argsort(np.where(known[at] == s, often[at], 0), kind="stable")]
                 s = s[: prefix_length(n, least)]
-                for x, y in zip(out, (s, np.full(len(s), place), np.full(len(s), n, np.int32)), strict=True):
+                for x, y in zip(out, (s, np.full(len(s), place), np.full(len(s), n, np.int32), np.full(len(s), label)), strict=True):
                     x.append(y)
             if out[0]:
-                h, p, n = (np.concatenate(x) for x in out)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(p), pa.array(n)], names=["h", "place", "n"])
+                h, *rest = (np.concatenate(x) for x in out)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *map(pa.array, rest)], names=["h", "place", "n", "label"])
 
     return run
 
@@ -135,7 +155,7 @@ def similar(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = LEAST) -> boo
 
 
 def bucket_links(folder: str, least: tuple[int, int]):
-    """Over (h, place, n) sorted by (h, n, place): links (a, b) that span what the buckets of a partition connect."""
+    """Over (h, place, n, label) sorted by (h, n, place): links (a, b) of labels that span what the buckets of a partition connect."""
     num, den = least
 
     def run(batches):
@@ -147,42 +167,45 @@ def bucket_links(folder: str, least: tuple[int, int]):
                 x = root[x]
             return x
 
-        def judge(places, sizes, out):
-            label = np.array([top(p) for p in places.tolist()])
-            low = np.searchsorted(sizes * den, sizes * num)  # shorter sets can't be similar enough
-            for j in range(1, len(places)):
-                lo = int(low[j])
-                asked = lo + np.flatnonzero(label[lo:j] != label[j])[::-1]
-                while len(asked):
-                    i, asked = int(asked[0]), asked[1:]
-                    if not similar(sets.get(int(places[i]), int(sizes[i])), sets.get(int(places[j]), int(sizes[j])), least):
-                        continue
-                    a, b = sorted((int(label[i]), int(label[j])))
-                    root[b] = a
-                    label[label == b] = a
-                    out.append((int(places[i]), int(places[j])))
-                    asked = asked[label[asked] != a]
+        def judge(held, out):
+            if sum(len(x[0]) for x in held) < 2:
+                return
+            places, sizes, own = (np.concatenate([x[k] for x in held]) for k in range(3))
+            now = [top(x) for x in own.tolist()]
+            if now.count(now[0]) == len(now):
+                return
+            low = np.searchsorted(sizes * den, sizes * num).tolist()  # shorter sets can't be similar enough
+            joined: dict[int, list[int]] = {}  # members so far by label
+            get = lambda i: sets.get(int(places[i]), int(sizes[i]))
+            for j in range(len(places)):
+                me = top(int(own[j]))
+                for other in [x for x in joined if x != me]:
+                    i = next((i for i in reversed(joined[other]) if i >= low[j] and similar(get(i), get(j), least)), None)
+                    if i is not None:
+                        a, b = sorted((me, other))
+                        root[b] = a
+                        out.append((int(own[i]), int(own[j])))
+                        joined[a], me = joined.pop(other) + joined.pop(me, []), a
+                joined.setdefault(me, []).append(j)
 
         held, held_h = [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, p, n = (batch.column(i).to_numpy() for i in range(3))
+            h, p, n, label = (batch.column(i).to_numpy() for i in range(4))
             cut = np.append(0, np.flatnonzero(h[1:] != h[:-1]) + 1)
             size = np.diff(np.append(cut, len(h)))
             out = []
             for j in np.flatnonzero((size > 1) | np.isin(np.arange(len(cut)), (0, len(cut) - 1))).tolist():
                 lo, hi = cut[j], cut[j] + size[j]
                 if h[lo] != held_h:
-                    if sum(len(x[0]) for x in held) > 1:
-                        judge(*(np.concatenate([x[k] for x in held]) for k in (0, 1)), out)
+                    judge(held, out)
                     held, held_h = [], h[lo]
-                held.append((p[lo:hi].copy(), n[lo:hi].astype(np.int64)))
+                held.append((p[lo:hi].copy(), n[lo:hi].astype(np.int64), label[lo:hi].copy()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
         out = []
-        if sum(len(x[0]) for x in held) > 1:
-            judge(*(np.concatenate([x[k] for x in held]) for k in (0, 1)), out)
+        judge(held, out)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
@@ -206,24 +229,34 @@ def frequent(reps: DataFrame, folder: str, sample: int = SAMPLE) -> tuple[np.nda
     return h[order], got["c"].to_numpy(np.int32)[order]
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: tuple[int, int] = LEAST) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: tuple[int, int] = LEAST, radius: int = RADIUS) -> DataFrame:
     """(key, component_id): the smallest key that links of similarity ``least`` reach."""
     spark = docs.sparkSession
     small_batches(spark)
     folder = fresh_dir(spark, "sets")
-    given = docs.select(key, text)
-    kind = f"{key} {docs.schema[key].dataType.simpleString()}, sh long, n int, place long"
-    marked = stored(given.mapInArrow(write_sets(folder, key), kind), "marked")
-    reps = stored(marked.groupBy("sh", "n").agg(F.min(key).alias("rep"), F.min("place").alias("place")), "reps")
+    marked = stored(docs.select(F.col(key).alias("s_key"), F.col(text).alias("s_text")).mapInArrow(write_sets(folder, "s_key"), f"s_key {docs.schema[key].dataType.simpleString()}, sh long, n int, place long, fp long"), "marked")
+    reps = stored(marked.groupBy("sh", "n").agg(F.min("s_key").alias("rep"), F.min(F.struct("place", "fp")).alias("p")).select("sh", "n", "rep", "p.place", "p.fp"), "reps")
     some = reps.where("n > 0")
+
+    def joined(sent: DataFrame, name: str) -> DataFrame:
+        """(label, root) of labels that buckets of equal h connect."""
+        met = sent.repartition("h").sortWithinPartitions("h", "n", "place").mapInArrow(bucket_links(folder, least), "a long, b long")
+        found = stored(components(met, name).toDF("label", "root"), name)
+        release_shuffles(spark)
+        return found
+
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for t, m in enumerate(masks(radius))])
+    by_bits = joined(some.select(F.explode(tables).alias("b"), "place", "n").select(F.xxhash64("b.t", "b.k").alias("h"), "place", "n", F.col("place").alias("label")), "by-bits")
+    labelled = stored(reps.join(by_bits.withColumnRenamed("label", "place"), "place", "left").select("sh", "n", "rep", "place", F.coalesce("root", "place").alias("label")), "labelled")
     named = spark.sparkContext.broadcast(frequent(some, folder))  # NAMED shingles at most
-    sent = some.select("place", "n").mapInArrow(prefixes(folder, named, least), "h long, place long, n int")
-    small_batches(spark)
-    found = stored(sent.repartition("h").sortWithinPartitions("h", "n", "place").mapInArrow(bucket_links(folder, least), "a long, b long"), "links")
-    linked = stored(components(found, "near"), "linked")
-    placed = reps.join(linked.withColumnRenamed("node", "place"), "place", "left").select("sh", "n", "rep", F.coalesce("root", "place").alias("root"))
+    by_shingles = joined(labelled.where("n > 0").select("place", "n", "label").mapInArrow(prefixes(folder, named, least), "h long, place long, n int, label long"), "by-shingles")
+    placed = labelled.join(by_shingles, "label", "left").select("sh", "n", "rep", F.coalesce("root", "label").alias("root"))
     least_key = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return marked.select(key, "sh", "n").join(placed.join(least_key, "root").select("sh", "n", "component_id"), ["sh", "n"]).select(key, "component_id")
+    classes = stored(placed.join(least_key, "root").select("sh", "n", "component_id"), "classes")
+    for done in (reps, by_bits, labelled, by_shingles):
+        discard(done)
+    remove_dir(spark, folder)
+    return marked.select("s_key", "sh", "n").join(classes, ["sh", "n"]).select(F.col("s_key").alias(key), "component_id")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
