@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade, in Spark expressions only.
 
-Each rule is a condition under which a document is rejected.  Costs (work on
-what a rule scans) and rejection rates are measured on a sample; rules then stand
-in one CASE in the order of rejections per unit of work, so that a document pays only for the
-rules up to the first that rejects it.  The order never changes a verdict.
+Each rule is a condition under which a document is rejected.  On a sample, the time
+that each rule takes is measured, and which rules reject each document.  The rule of
+most rejections per second comes first; then, of the documents that are left, the one
+of most rejections per second, and so on.  The rules stand in one CASE in that order,
+so that a document pays only for the rules up to the first that rejects it.  The order
+never changes a verdict.
 
 Defined cases: a null or empty text has no words and is rejected by
 ``min_words``; repeated rows are judged alike; columns of other names, also
@@ -12,9 +14,13 @@ clashing ones, are kept as they are; an empty table stays empty.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, stored
+
 SPACE = r"[ \t-\r]+"
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -65,6 +71,12 @@ def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def count_expressions(text: Column, ws: Column) -> dict[str, Column]:
+    """The base counts as expressions, which only the rules that read them compute."""
+    whole = F.coalesce(text, F.lit(""))
+    return {"n_words": F.size(ws), "word_chars": F.aggregate(ws, F.lit(0), lambda a, w: a + F.length(w)), "n_symbols": F.regexp_count(whole, F.lit(SYMBOLS)), "n_dup_lines": n_dup_lines(text), "n_repeat_words": n_repeat_words(ws)}
+
+
 def rules(text: Column, ws: Column, counts: dict[str, Column]) -> dict[str, Column]:
     """Production rules: name -> condition of rejection.  ``counts``: the base counts, as columns or expressions."""
     n = F.greatest(F.size(ws), F.lit(1))
@@ -81,22 +93,47 @@ def rules(text: Column, ws: Column, counts: dict[str, Column]) -> dict[str, Colu
     }
 
 
-#: Work of a rule: what it scans, and about how many nanoseconds an element takes.
-WORK = {
-    "min_words": {"words": 1}, "word_length": {"words": 40}, "symbols": {"chars": 6}, "shouting": {"chars": 6}, "capitals": {"chars": 14}, "letters": {"words": 120}, "dup_lines": {"chars": 8, "lines": 300}, "repeat_words": {"words": 900},
-}
+def greedy_order(patterns: dict[frozenset[str], int], cost: dict[str, float]) -> list[str]:
+    """Rules by rejections per cost among the documents that the rules before have left, ties by name.
+
+    ``patterns``: how many documents of the sample each set of rules rejects.
+    """
+    left, order = dict(patterns), []
+    while len(order) < len(cost):
+        gain = {n: sum(k for p, k in left.items() if n in p) / cost[n] for n in cost if n not in order}
+        best = min(gain, key=lambda n: (-gain[n], cost[n] if not gain[n] else 0.0, n))
+        order.append(best)
+        left = {p: k for p, k in left.items() if best not in p}
+    return order
 
 
-def cascade_order(sample: DataFrame, conditions: dict[str, Column], text: Column, ws: Column) -> list[str]:
-    """Rule names by rejections per unit of work, ties by name.
+def measured(sample: DataFrame, conditions: dict[str, Column], ready: Column) -> tuple[dict[frozenset[str], int], dict[str, float]]:
+    """(documents by the set of rules that reject them, seconds of each rule beyond those of its input) on a sample.
 
-    One job over the sample counts what each rule would reject and the words,
-    characters and lines that it would scan; work is those counts times ``WORK``.
+    ``ready``: what all rules read; it is computed, so that its time can be taken off.
     """
-    scans = {"words": F.size(ws), "chars": F.length(text), "lines": F.regexp_count(text, F.lit("\n")) + 1}
-    got = sample.agg(*[F.sum(F.coalesce(c, F.lit(False)).cast("int")).alias(f"rule_{n}") for n, c in conditions.items()], *[F.sum(x).alias(n) for n, x in scans.items()]).first()
-    cost = {n: sum((got[k] or 0) * each for k, each in WORK[n].items()) + 1 for n in conditions}
-    return sorted(conditions, key=lambda n: (-(got[f"rule_{n}"] or 0) / cost[n], n))
+    names = sorted(conditions)
+    flags = sample.select(*[F.coalesce(conditions[n], F.lit(False)).alias(n) for n in names])
+    patterns = {frozenset(n for n in names if r[n]): r["count"] for r in flags.groupBy(*names).count().collect()}  # at most two to the number of rules
+
+    def seconds(x: Column) -> float:
+        began = time.perf_counter()
+        sample.agg(F.max(x)).collect()
+        return time.perf_counter() - began
+
+    seconds(ready)  # compiled
+    nothing = seconds(ready)
+    return patterns, {n: max(seconds(F.struct(ready, conditions[n])) - nothing, 1e-3) for n in names}
+
+
+def cascade_order(docs: DataFrame, key: str, text: str, conditions: dict[str, Column], ws: str, share: int) -> list[str]:
+    """The order by one document in ``share`` (by hash), which is written once and read by every job; all documents where that is none."""
+    drawn = docs.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0).select(F.col(text).alias("q_sample"))
+    sample = stored(drawn, "rules-sample")
+    counted = sample.withColumn(text, F.col("q_sample")).withColumn(ws, F.when(F.monotonically_increasing_id() >= 0, words(F.col("q_sample"))))
+    patterns, cost = measured(counted, conditions, F.size(F.col(ws)))
+    discard(sample)
+    return greedy_order(patterns, cost)
 
 
 def cascade(conditions: dict[str, Column], order: list[str]) -> Column:
@@ -111,12 +148,13 @@ def quality_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", sam
     """(key, counts, base_failed, kept) of every document.  One document in ``sample_share``, by hash, sets the order."""
     docs = docs.select(F.col(key).alias("q_key"), F.col(text).alias("q_text"))
     scored = base_columns(docs, "q_text")
-    whole = F.coalesce(F.col("q_text"), F.lit(""))
-    conditions = rules(whole, F.col("q_words"), {c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")})
-    sample = base_columns(docs.where(F.pmod(F.xxhash64("q_key"), F.lit(sample_share)) == 0), "q_text")
-    first = cascade(conditions, cascade_order(sample, conditions, whole, F.col("q_words")))
+    whole, ws = F.coalesce(F.col("q_text"), F.lit("")), F.col("q_words")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    order = cascade_order(docs, "q_key", "q_text", rules(whole, ws, count_expressions(F.col("q_text"), ws)), "q_words", sample_share)
+    conditions = rules(whole, ws, {c: F.col(c) for c in counts})
+    first = cascade(conditions, order)
     failed = conditions["min_words"] | conditions["repeat_words"]
-    return scored.select(F.col("q_key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & first.isNull()).alias("kept"))
+    return scored.select(F.col("q_key").alias(key), *counts, failed.alias("base_failed"), (~failed & first.isNull()).alias("kept"))
 
 
 def quality_filter(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_share: int = 128) -> DataFrame:
@@ -125,14 +163,8 @@ def quality_filter(docs: DataFrame, text: str = "text", key: str = "doc_id", sam
     while held in {c.lower() for c in docs.columns}:  # a column of the table may have this name
         held += "_"
     whole, ws = F.coalesce(F.col(text), F.lit("")), F.col(held)
-    counts = {
-        "n_words": F.size(ws), "word_chars": F.aggregate(ws, F.lit(0), lambda a, w: a + F.length(w)), "n_symbols": F.regexp_count(whole, F.lit(SYMBOLS)),
-        "n_dup_lines": n_dup_lines(F.col(text)), "n_repeat_words": n_repeat_words(ws),
-    }
+    conditions = rules(whole, ws, count_expressions(F.col(text), ws))
+    order = cascade_order(docs, key, text, conditions, held, sample_share)
     # a filter would be pushed below the word list and repeat it inside every lambda; the row number, which is never negative, holds it back
-    once = F.when(F.monotonically_increasing_id() >= 0, words(F.col(text)))
-    with_words = docs.withColumn(held, once)
-    conditions = rules(whole, ws, counts)
-    sample = docs.where(F.pmod(F.xxhash64(key), F.lit(sample_share)) == 0).select(text).withColumn(held, once)
-    order = cascade_order(sample, conditions, whole, ws)
+    with_words = docs.withColumn(held, F.when(F.monotonically_increasing_id() >= 0, words(F.col(text))))
     return with_words.where(cascade(conditions, order).isNull()).drop(held)

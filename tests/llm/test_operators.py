@@ -47,6 +47,13 @@ def test_quality_rules(docs, empty):
     assert quality_rules.quality_counts(empty).count() == 0
 
 
+def test_cascade_order():
+    """The rule of most rejections a second first, then of what is left; of two that catch nothing more, the cheaper."""
+    rejects = {frozenset("ab"): 10, frozenset("a"): 2, frozenset("c"): 5, frozenset(): 100}
+    assert quality_rules.greedy_order(rejects, {"a": 1.0, "b": 0.5, "c": 1.0, "d": 2.0, "e": 1.0}) == ["b", "c", "a", "e", "d"]
+    assert quality_rules.greedy_order({}, {"x": 1.0, "y": 0.5}) == ["y", "x"]
+
+
 def brute_fingerprint(t):
     w = regex.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     s = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
