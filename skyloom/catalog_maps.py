@@ -213,3 +213,23 @@ def wavelet_map_written(spark, d):
     bands[-1][(norm == 0) & (k > 0)] = 1.0
     files.write_wavelet_map(M.scatter(src.events(spark, d), F.col("dat")), bands, at, src.NX, src.NY)
     return rounded(files.read_map(spark, at)[0].select(F.floor(F.col("ipix") / src.NY).cast("int").alias("ix"), (F.col("ipix") % src.NY).cast("int").alias("iy"), "val"), "val", digits=4)
+
+
+REGIONS = """# Region file format
+image
+epanda(16,12,0,360,2,2,1.5,10,7.5,4,0) # color=green
+circle(8, 6, 3.5)
+"""
+
+
+@query(f", m AS (SELECT ipix // 24 + 0.25::DOUBLE - 16 AS x, ipix % 24 + 0.25::DOUBLE - 12 AS y, sum(dat) AS v FROM samples GROUP BY ipix), k AS (SELECT unnest(generate_series(0, 3)) AS ring), e AS (SELECT ring * 2 + CASE WHEN y >= 0 THEN 0 ELSE 1 END AS region, v, abs(v) AS a FROM m, k WHERE x * x / pow(2 + 2 * ring, 2) + y * y / pow(1.5::DOUBLE + 1.5::DOUBLE * ring, 2) >= 1 AND x * x / pow(4 + 2 * ring, 2) + y * y / pow(3 + 1.5::DOUBLE * ring, 2) < 1 UNION ALL SELECT 8, v, abs(v) FROM m WHERE pow(x + 8, 2) + pow(y + 6, 2) < 12.25) SELECT CAST(region AS BIGINT) AS region, count(*) AS n, {r('avg(v)', 'mean', 5)}, CASE WHEN region = 8 THEN 1.75 ELSE 3.0 + 2 * (region // 2) END AS radius FROM e WHERE a > 1e-10 GROUP BY region")
+def region_file_means(spark, d):
+    """Means of a map over the regions of a file: an elliptical annulus in rings and halves, and a circle; zero pixels don't count."""
+    from .sources import regions as R
+
+    some = R.parse_regions(REGIONS)
+    m = M.scatter(src.events(spark, d), F.col("dat")).where(F.abs("val") > 1e-10)
+    x, y = F.floor(F.col("ipix") / src.NY) + 0.25, F.col("ipix") % src.NY + 0.25
+    got = m.select("val", F.explode(R.region_of(x, y, some)).alias("region")).groupBy("region").agg(F.count("*").alias("n"), F.avg("val").alias("mean"))
+    radius = F.element_at(F.array(*[F.lit(s.radius) for s in some]), F.col("region") + 1)
+    return rounded(got.select(F.col("region").cast("long").alias("region"), "n", "mean", radius.alias("radius")), "mean", digits=5)

@@ -313,3 +313,60 @@ def test_zernike_fit_against_its_own_basis(spark):
         coef = got[got["tod"] == tod].sort_values("k")["coef"].to_numpy()
         order = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9]
         assert np.allclose(np.abs(a[:, order] @ coef - want).max(), 0, atol=1e-6)
+
+
+def idl_file(scan: dict) -> bytes:
+    """An IDL save file with one structure ``scan`` of arrays, written from the format's description."""
+    import struct
+
+    i = lambda *v: struct.pack(f">{len(v)}i", *v)
+    string = lambda s: i(len(s)) + s.encode().ljust(-(-len(s) // 4) * 4, b"\0")
+    dims = lambda a: i(8, a.itemsize, a.nbytes, a.size, a.ndim, 0, 0, 8) + i(*a.shape[::-1], *[1] * (8 - a.ndim))
+    code = {"f8": 5, "f4": 4, "i4": 3, "i2": 2}
+    arrays = {k: np.asarray(v) for k, v in scan.items()}
+    kinds = {k: code[a.dtype.str[1:]] for k, a in arrays.items()}
+    whole = i(8, 0, 0, 1, 1, 0, 0, 8) + i(*[1] * 8)
+    head = string("SCAN") + i(8, 36) + whole + i(9) + string("") + i(0, len(arrays), 0)
+    head += b"".join(i(0, kinds[k], 4) for k in arrays) + b"".join(map(string, arrays)) + b"".join(dims(a) for a in arrays.values()) + i(7)
+    for k, a in arrays.items():
+        if kinds[k] == 2:
+            head += a.astype(">i4").tobytes()
+        else:
+            head += a.astype(a.dtype.newbyteorder(">")).tobytes()
+    out, records = b"SR\x00\x04", ((10, b"\0" * 8), (2, head))
+    for kind, body in records:
+        out += struct.pack(">iII4x", kind, len(out) + 16 + len(body), 0) + body
+    return out + struct.pack(">iII4x", 6, 0, 0)
+
+
+def test_idl_scans(spark, tmp_path):
+    from skyloom.sources import idl
+
+    signal = np.arange(15.0).reshape(3, 5)
+    signal[1] = np.nan
+    signal[2, 1:3] = np.nan
+    scan = {"SIGNAL_PLW": signal, "IND_SUBSCANS": np.array([1, 1, 2, 2, 3], "i2"), "XRA_BOLOS_PLW": np.full((3, 5), -10.0, "f4"), "YDEC_BOLOS_PLW": np.full((3, 5), 45.0), "TIME_S": np.arange(5.0)}
+    assert (idl.parse(idl_file(scan))["scan"][0]["IND_SUBSCANS"] == [1, 1, 2, 2, 3]).all()
+    (tmp_path / "a.sav").write_bytes(idl_file(scan))
+    got = idl.read_scans(spark, str(tmp_path / "a.sav")).toPandas().sort_values(["det", "samp"])
+    assert got["det"].tolist() == [0] * 5 + [2] * 5 and np.allclose(got["dat"], [0, 1, 2, 3, 4, 10, 11, 12, 13, 14])
+    assert got["cut"].sum() == 2 and np.allclose(got["dx"], np.radians(350)) and np.allclose(got["dy"], np.pi / 4)
+    assert got[got["det"] == 0]["turn"].tolist() == [False, True, False, True, False]
+    with pytest.raises(ValueError):
+        idl.parse(b"SR\x00\x06")
+
+
+def test_region_shapes(spark):
+    from skyloom.sources import regions as R
+
+    some = R.parse_regions("image; panda(0,0,0,90,3,1,5,2)\nannulus(1,2,3,4,5)\nellipse(0,0,4,2,90)\nbox(1,2,3,4)\n# circle(9,9,1)")
+    assert len(some) == 6 + 2 + 1
+    rng = np.random.default_rng(12)
+    xy = rng.uniform(-6, 6, (400, 2))
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in xy], "x double, y double")
+    for r in df.select("x", "y", R.region_of(F.col("x"), F.col("y"), some).alias("k")).collect():
+        radius, angle = np.hypot(r["x"], r["y"]), np.degrees(np.arctan2(r["y"], r["x"])) % 360
+        want = [ring * 3 + s for ring in range(2) for s in range(3) if 1 + 2 * ring <= radius < 3 + 2 * ring and 30 * s <= angle < 30 * s + 30]
+        want += [6 + k for k in range(2) if 3 + k <= np.hypot(r["x"] - 1, r["y"] - 2) < 4 + k]
+        want += [8] if r["x"] ** 2 / 4 + r["y"] ** 2 / 16 < 1 else []
+        assert r["k"] == want
