@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -50,7 +51,7 @@ WINDOW = MATCH - GRAM + 1
 REACH = WINDOW - 1 + MATCH
 #: Suffixes are sorted by so many bytes.
 DEPTH = 56
-BLOCK, RANGE, HOT = 1 << 20, 8 << 20, 2000
+BLOCK, RANGE, HOT = 1 << 20, 8 << 20, 300
 NONE = np.uint64((1 << 64) - 1)
 
 
@@ -260,7 +261,7 @@ def new_runs(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def judge_anchors(part: pd.DataFrame) -> pd.DataFrame:
+def judge_anchors(part: pd.DataFrame, most: int = HOT) -> pd.DataFrame:
     """Codes of a range's anchors: 1 settled (the context stands in a smaller document), 2 doubtful, 3 doubtful and of a hot gram, 0 alone."""
     low = np.concatenate([np.frombuffer(x, "<u4") for x in part["a"]])
     context = np.concatenate([np.frombuffer(x, "<u8") for x in part["b"]])
@@ -273,7 +274,7 @@ def judge_anchors(part: pd.DataFrame) -> pd.DataFrame:
     number = np.cumsum(gram) - 1
     contexts = np.add.reduceat(same.astype(np.int64), gram_at)
     differ = np.maximum.reduceat(k, gram_at) > np.minimum.reduceat(k, gram_at)
-    hot = np.diff(np.append(gram_at, len(l))) > HOT
+    hot = np.diff(np.append(gram_at, len(l))) > most
     doubtful = np.where((contexts > 1) & differ, np.where(hot, 3, 2), 0)[number]
     code = np.empty(len(order), np.uint8)
     code[order] = np.where(k > least, 1, doubtful)
@@ -457,7 +458,7 @@ def removed_bytes(x: Block, replies: dict) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def settled_blocks(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
+def settled_blocks(docs: DataFrame, key: str, text: str, hot: int = HOT) -> tuple[DataFrame, int]:
     """Blocks with all replies, and the number of hash ranges."""
     spark = docs.sparkSession
     blocks = stored(make_blocks(docs, key, text), "blocks", "uncompressed")
@@ -466,7 +467,7 @@ def settled_blocks(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int
     small_batches(spark)
     kind = "block long, kind int, bucket int, reply binary"
     sent = blocks.select("block", "texts", "keys", "sizes").mapInArrow(send_anchors(ranges), SENT)
-    codes = stored(by_bucket(sent, ranges, judge_anchors, kind), "codes")
+    codes = stored(by_bucket(sent, ranges, partial(judge_anchors, most=hot), kind), "codes")
     release_shuffles(spark)
 
     def told(replies):
@@ -478,9 +479,9 @@ def settled_blocks(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int
     return blocks.join(told(codes.union(masks)).hint("shuffle_hash"), "block", "left"), ranges
 
 
-def removal_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def removal_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
-    settled, ranges = settled_blocks(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), "key", "text")
+    settled, ranges = settled_blocks(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), "key", "text", hot)
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
