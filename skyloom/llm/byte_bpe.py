@@ -5,12 +5,12 @@ pieces don't depend on what came before.  Two neighbouring chunks overlap; where
 both have a boundary in the overlap (and the left chunk has a further whole piece
 behind it, so that its end had no say) the left chunk's pieces end and the right
 chunk's go on.  Where the overlap has no such position, the left pieces are made
-anew over both chunks together.  Decoding concatenates the tokens' raw bytes.
+anew over the chunks together.  Decoding concatenates the tokens' raw bytes.
 
 Documents longer than ``LONG`` code points are dealt as chunk rows over all tasks
 and stitched by document; shorter ones are chunked within their task.
 
-Defined cases: null is the empty text and has no ids; rows of equal key are
+Defined cases: null is the empty text and has no ids; rows of equal key (null too) are
 encoded each; an empty table gives an empty result; other columns aren't read.
 """
 
@@ -81,20 +81,34 @@ def starts_of(at: int, pieces: list[str]) -> np.ndarray:
 
 
 def stitch(chunks: list[tuple[int, str, list[str]]], findall) -> list[str]:
-    """One list of pieces from (start, text, pieces) of overlapping chunks, in order."""
+    """One list of pieces from (start, text, pieces) of overlapping chunks, in order.
+
+    Where a chunk has no common boundary with what stands so far, the open text is
+    split anew only when it has doubled, so that a long run takes time in proportion.
+    """
     at, text, pieces = chunks[0]
     out: list[str] = []
+    held, size = [text], len(text)  # the open text in parts, and how much of it ``pieces`` split
+    done = size
     for next_at, next_text, next_pieces in chunks[1:]:
-        left, right = starts_of(at, pieces), starts_of(next_at, next_pieces)
-        common = np.intersect1d(left[:-1][left[1:] < at + len(text)], right[:-1])
+        common = np.zeros(0, np.int64)
+        if done == size:
+            left, right = starts_of(at, pieces), starts_of(next_at, next_pieces)
+            common = np.intersect1d(left[:-1][left[1:] < at + size], right[:-1])
         if len(common):
             cut = int(common[0])
             out += pieces[: int(np.searchsorted(left, cut))]
-            keep = int(np.searchsorted(right, cut))
-            at, text, pieces = cut, next_text[cut - next_at :], next_pieces[keep:]
-        else:
-            text = text[: next_at - at] + next_text if next_at + len(next_text) > at + len(text) else text
-            pieces = findall(text)
+            at, held, pieces = cut, [next_text[cut - next_at :]], next_pieces[int(np.searchsorted(right, cut)) :]
+            size = done = len(held[0])
+            continue
+        more = next_text[at + size - next_at :]
+        held.append(more)
+        size += len(more)
+        if size >= 2 * done:
+            held = ["".join(held)]
+            pieces, done = findall(held[0]), size
+    if done < size:
+        pieces = findall("".join(held))
     return out + pieces
 
 

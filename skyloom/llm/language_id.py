@@ -9,8 +9,9 @@ Learning reads about ``SAMPLE`` labelled documents in all (a hash of the id
 decides, evenly over the languages); prediction reads the text alone.
 
 Defined cases: null, empty and letterless texts are ``und`` with score 0; without
-a labelled document all are ``und``; rows of equal id are judged alike; columns of
-other names aren't read.
+a labelled document all are ``und``; rows of equal id, or of null id, are judged by
+their texts alone; an empty table gives an empty result; columns of other names aren't
+read.
 """
 
 from __future__ import annotations

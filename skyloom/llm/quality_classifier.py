@@ -11,7 +11,8 @@ probability.
 Training reads at most ``SAMPLE`` labelled documents (those of smallest hash of
 the id) on the driver.  Defined cases: null is the empty text, whose vector is
 zero; without a labelled row of either class the score is the share of label 1
-(1.0 without any label); rows of equal id are judged alike; other columns aren't read.
+(1.0 without any label); rows of equal id are judged alike; a null id is never learned
+from; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -81,6 +82,14 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def gradients(p: list[np.ndarray], z: np.ndarray, y: np.ndarray, decay: float) -> list[np.ndarray]:
+    """Of the mean cross-entropy, and half of ``decay`` times the squared weights, by both layers' weights and offsets."""
+    h = np.tanh(z @ p[0] + p[1])
+    d = (sigmoid(h @ p[2] + p[3]) - y) / len(y)
+    dh = np.outer(d, p[2]) * (1 - h * h)
+    return [z.T @ dh + decay * p[0], dh.sum(axis=0), h.T @ d + decay * p[2], np.array([d.sum()])]
+
+
 def train(x: np.ndarray, y: np.ndarray, steps: int = 900, rate: float = 0.01, decay: float = 1e-4, seed: int = 3) -> dict[str, np.ndarray]:
     """The network by Adam over all rows at once; the last fifth of the rows sets the temperature."""
     rng = np.random.default_rng(seed)
@@ -91,10 +100,7 @@ def train(x: np.ndarray, y: np.ndarray, steps: int = 900, rate: float = 0.01, de
     m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     zt, yt = z[:cut], y[:cut]
     for t in range(1, steps + 1):
-        h = np.tanh(zt @ p[0] + p[1])
-        d = (sigmoid(h @ p[2] + p[3]) - yt) / len(yt)
-        dh = np.outer(d, p[2]) * (1 - h * h)
-        for k, g in enumerate((zt.T @ dh + decay * p[0], dh.sum(axis=0), h.T @ d + decay * p[2], np.array([d.sum()]))):
+        for k, g in enumerate(gradients(p, zt, yt, decay)):
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.999 * v[k] + 0.001 * g * g
             p[k] = p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)

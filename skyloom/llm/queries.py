@@ -39,7 +39,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     fold = crc_mod(F.col("doc_id"), 5)
     found = language_id.predict(docs, language_id.learn(docs, fold != 0))
-    return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "langs")
+    return found.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "langs")
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = crc_mod(F.col("doc_id"), 5)
     model = quality_classifier.learn(docs, documents(spark, sf_dir, "labels"), fold != 0)
     found = quality_classifier.predict(docs, model)
-    return found.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return found.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
