@@ -82,7 +82,13 @@ def discard(df: DataFrame) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """The rows dealt over all cores where a scan has fewer parts, as one of a file with one row group."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores else docs
 
 
 def percentiles(key: str, count: int) -> Column:
