@@ -124,10 +124,10 @@ DCT = "q AS (SELECT unnest(generate_series(0, 63)) AS k), y AS (SELECT tod, det,
 BACK = "sum(CASE WHEN k IN (0, 63) THEN 1 ELSE 2 END * v * cos(pi() * samp * k / 63)) / 126"
 
 
-@query(f", {DCT} SELECT det, CAST(i AS BIGINT) AS k0, {r('sum(CASE WHEN k IN (0, 15) THEN 1 ELSE 2 END * v * cos(pi() * i * k / 15)) / 126', 'val', 5)} FROM y, (SELECT unnest(generate_series(0, 15)) AS i) WHERE k < 16 GROUP BY det, i", src.VECTORS_SQL)
+@query(f", {DCT} SELECT det, CAST(i AS BIGINT) AS k0, {r('sum(CASE WHEN k IN (0, 15) THEN 1 ELSE 2 END * v * cos(pi() * i * k / 15)) / 126', 'val', 5)}, 0.04::DOUBLE AS dt FROM y, (SELECT unnest(generate_series(0, 15)) AS i) WHERE k < 16 GROUP BY det, i", src.VECTORS_SQL)
 def downsample(spark, d):
-    """Vectors of a quarter of the length, from the lowest frequencies."""
-    return by_rows(spark, d, lambda tod, det, x: grid(det, {"val": K.downsample(x, 4)}), "det long, k0 long, val double")
+    """Vectors of a quarter of the length, from the lowest frequencies; the time between samples (0.01 before) grows as much."""
+    return by_rows(spark, d, lambda tod, det, x: grid(det, {"val": K.downsample(x, 4)}), "det long, k0 long, val double").withColumn("dt", F.lit(0.01) * 4)
 
 
 @query(f", {DCT}, kn AS (SELECT k AS j, exp(-0.5 * pow(k * sqrt(8 * ln(2)) / 8, 2)) AS g FROM q), s AS (SELECT sum(CASE WHEN j IN (0, 63) THEN 1 ELSE 2 END * g) AS t FROM kn), kd AS (SELECT k, sum(CASE WHEN j IN (0, 63) THEN 1 ELSE 2 END * g / t * cos(pi() * j * k / 63)) AS w FROM kn, s, q GROUP BY k), f AS (SELECT det, k, v * w AS v FROM y JOIN kd USING (k)) SELECT det, CAST(samp AS BIGINT) AS k0, {r(BACK, 'val', 5)} FROM f, (SELECT unnest(generate_series(0, 63)) AS samp) GROUP BY det, samp", src.VECTORS_SQL)
@@ -280,3 +280,32 @@ def model_chisq(spark, d):
     m = s.groupBy("ipix").agg(F.avg("dat").alias("val"))
     got = M.gather(s, m, npix=src.NX * src.NY)
     return rounded(got.groupBy("tod").agg((F.sum((F.col("dat") - F.col("val")) * (F.col("dat") - F.col("val"))) / 100).alias("chisq")), "chisq", digits=4)
+
+
+def _sources(spark, d):
+    """Two sources on pointing made of the events, without noise, and their samples' weight."""
+    s = src.events(spark, d)
+    s = s.select("tod", "det", ((F.col("az") - 180) / 100).alias("dx"), (F.col("event_id") % 41 / 20.0 - 1).alias("dy"), (F.col("dat") / 100).alias("dat"))
+    return s.withColumn("w", F.lit(2.0))
+
+
+_SOURCE = "sm AS (SELECT tod, (az - 180) / 100 AS x, (event_id % 41) / 20.0::DOUBLE - 1 AS y, dat / 100 AS d FROM samples)"
+_GAUSS = "3.0::DOUBLE * exp(-0.5::DOUBLE * (pow((x - 0.2::DOUBLE) * cos(0.1::DOUBLE), 2) + pow(y - 0.1::DOUBLE, 2)) / pow(0.3::DOUBLE, 2))"
+
+
+@query(f", {_SOURCE} SELECT {r(f'sum(2 * pow(d - {_GAUSS} - 2.0::DOUBLE * pow(1 + (pow((x + 0.1::DOUBLE) * cos(-0.2::DOUBLE), 2) + pow(y + 0.2::DOUBLE, 2)) / 0.25::DOUBLE, 0.5::DOUBLE - 1.5::DOUBLE * 0.7::DOUBLE), 2))', 'chisq', 3)} FROM sm")
+def source_chisq(spark, d):
+    """Chi squared of the data less an isobeta model and a Gaussian source."""
+    chi, _, _ = solve.normal_equations(_sources(spark, d), ["isobeta", "gauss"], [5, 4], [-0.1, -0.2, 0.5, 0.7, 2.0, 0.2, 0.1, 0.3, 3.0])
+    return spark.createDataFrame([(round(chi, 3),)], "chisq double")
+
+
+_DERIVS = f"g AS (SELECT d, x, y, {_GAUSS} AS f FROM sm), dv AS (SELECT d - f AS res, f * (x - 0.2::DOUBLE) * pow(cos(0.1::DOUBLE), 2) / 0.09::DOUBLE AS p0, f * (y - 0.1::DOUBLE + pow(x - 0.2::DOUBLE, 2) * cos(0.1::DOUBLE) * sin(0.1::DOUBLE)) / 0.09::DOUBLE AS p1, f * (pow((x - 0.2::DOUBLE) * cos(0.1::DOUBLE), 2) + pow(y - 0.1::DOUBLE, 2)) / 0.027::DOUBLE AS p2, f / 3 AS p3 FROM g)"
+
+
+@query(f", {_SOURCE}, {_DERIVS} SELECT " + ", ".join(r(f"sum(2 * res * p{i})", f"g{i}", 3) for i in range(4)) + ", " + ", ".join(r(f"sum(2 * p{i} * p{j})", f"c{i}{j}", 3) for i in range(4) for j in range(i, 4)) + " FROM dv")
+def source_normal_equations(spark, d):
+    """Gradient and curvature of a Gaussian source's four parameters."""
+    _, g, c = solve.normal_equations(_sources(spark, d), ["gauss"], [4], [0.2, 0.1, 0.3, 3.0])
+    row = {f"g{i}": g[i] for i in range(4)} | {f"c{i}{j}": c[i, j] for i in range(4) for j in range(i, 4)}
+    return spark.createDataFrame([tuple(round(float(v), 3) + 0.0 for v in row.values())], ", ".join(f"{n} double" for n in row))

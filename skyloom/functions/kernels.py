@@ -199,13 +199,14 @@ class BinnedEig:
 
 
 class SmoothedSvd:
-    """Rotation to singular modes, each with a smoothed power spectrum; the mean is given no weight."""
+    """Rotation to singular modes, each with a smoothed power spectrum, or a fitted white and red one; the mean is given no weight."""
 
-    def __init__(self, d, dt=1.0, fwhm=50.0, prewhiten=False, u=None, mask=None, **_):
+    def __init__(self, d, dt=1.0, fwhm=50.0, prewhiten=False, u=None, mask=None, power_law=False, **_):
         self.pre = 1 / step_widths(d, mask) if prewhiten else np.ones(len(d))
         d = levelled(d * self.pre[:, None], mask)
         self.u = np.linalg.svd(d, full_matrices=False)[0] if u is None else u
-        power = np.maximum(smooth(dct1(self.u.T @ d) ** 2, fwhm), 1e-300)
+        modes = self.u.T @ d
+        power = np.maximum(power_law_spectrum(modes, dt) if power_law else smooth(dct1(modes) ** 2, fwhm), 1e-300)
         self.weight = 1 / power
         self.weight[:, 0] = 0
 
@@ -234,13 +235,16 @@ def common_and_poly(d: np.ndarray, order: int = 2, common_order: int = 1, full:
     return (d - fit[: len(p)].T @ p, fit[len(p) :].T @ c) if full else d - fit[: len(p)].T @ p
 
 
-def spikes(d: np.ndarray, inner: float = 1, outer: float = 10, thresh: float = 8) -> list[np.ndarray]:
-    """Samples of each detector where a difference of two Gaussians is over ``thresh`` times its median."""
+def spikes(d: np.ndarray, inner: float = 1, outer: float = 10, thresh: float = 8, full: bool = False):
+    """Samples of each detector where a difference of two Gaussians is over ``thresh`` times its median; with ``full`` the filtered data as well, zero there."""
     n = d.shape[1]
     x = np.minimum(np.arange(n), n - np.arange(n))
     kernel = sum(s * np.exp(-0.5 * (x / w) ** 2) / np.exp(-0.5 * (x / w) ** 2).sum() for s, w in ((1, inner), (-1, outer)))
-    f = np.abs(np.fft.irfft(np.fft.rfft(d, axis=1) * np.fft.rfft(kernel), n, axis=1))
-    return [np.flatnonzero(r > thresh * np.median(r)) for r in f]
+    f = np.fft.irfft(np.fft.rfft(d, axis=1) * np.fft.rfft(kernel), n, axis=1)
+    found = [np.flatnonzero(x > thresh * np.median(x)) for x in np.abs(f)]
+    for row, at in zip(f, found, strict=True):
+        row[at] = 0
+    return (found, f) if full else found
 
 
 def jumps(d: np.ndarray, width: int = 10, pad: int = 2, thresh: float = 10, ratio: float = 0.5, dejump: bool = False):
@@ -452,6 +456,28 @@ def power_law_fit(d: np.ndarray, dt: float = 1.0, slope: float = -1.5, rounds: i
     return np.array(out)
 
 
+def power_law_spectrum(d: np.ndarray, dt: float = 1.0) -> np.ndarray:
+    """The fitted white and red power of each row at the frequencies of its DCT-I; that of the mean is that of the first frequency."""
+    white, red, slope = power_law_fit(d, dt).T[:, :, None]
+    n = d.shape[1] - 1
+    f = np.arange(1, n + 1) / (2 * n * dt)
+    power = white + red * (f / np.sqrt(f[0] * f[-1])) ** slope
+    return np.concatenate([power[:, :1], power], axis=1)
+
+
+def k_radius(n: int) -> tuple[np.ndarray, float]:
+    """(distance of each point of an n x n Fourier grid, zero in its middle, from that; the largest)"""
+    i = np.arange(n) - n // 2
+    radius = np.hypot(i[:, None], i[None, :])
+    return radius, float(radius.max())
+
+
+def two_basis_fit(d: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (row, vector) of the rows on two sets of vectors, fitted together."""
+    fit = np.linalg.lstsq(np.vstack([first, second]).T, d.T, rcond=None)[0].T
+    return fit[:, : len(first)], fit[:, len(first) :]
+
+
 def stripe_prior(correlation: np.ndarray, thresh: float = 0.5) -> np.ndarray:
     """DCT-I weights of the inverse of a stationary covariance of stripes (rows: detectors); small powers are raised to ``thresh`` times the median."""
     power = dct1(correlation)

@@ -87,6 +87,12 @@ def scatter_pol(samples: DataFrame, tag: str, angle: Column) -> DataFrame:
     return by_tag[tag]()
 
 
+def blank(spark, npix: int, tag: str = "I") -> DataFrame:
+    """(ipix, pol, val): a map of zeros with the components of its tag."""
+    pols = F.array(*[F.lit(p) for p in POLS[tag]])
+    return spark.range(npix).select(F.col("id").alias("ipix"), F.explode(pols).alias("pol"), F.lit(0.0).alias("val"))
+
+
 def melt(image: DataFrame, pols: list[str]) -> DataFrame:
     """(ipix, pol, val) of a map with a column for each component."""
     return image.unpivot(["ipix"], pols, "pol", "val")

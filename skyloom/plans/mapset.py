@@ -11,9 +11,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..operators import templates as T
 
 _local: dict[str, str] = {}
@@ -88,10 +91,34 @@ def right_side(design: DataFrame, data: DataFrame, noise, value: str = "dat") ->
     return T.project(design, noise(data.select(*T.SAMPLE, F.col(value).alias("val"))), "val")
 
 
-def applied(design: DataFrame, x: DataFrame, noise, prior: DataFrame | None = None) -> DataFrame:
-    """A x: parameters spread over samples, weighted by the noise, projected back; a diagonal prior (comp, idx, val) is added."""
+def applied(design: DataFrame, x: DataFrame, noise, prior=None) -> DataFrame:
+    """A x: parameters spread over samples, weighted by the noise, projected back; a prior is added.
+
+    ``prior``: a diagonal (comp, idx, val), a function from parameters to Q x, or a list of such, as of several components.
+    """
     out = T.project(design, noise(T.spread(design, x)), "val")
-    return out if prior is None else combine(out, product(prior, x))
+    for q in prior if isinstance(prior, list) else [] if prior is None else [prior]:
+        out = combine(out, q(x) if callable(q) else product(q, x))
+    return out
+
+
+def stripe_prior(spectrum: np.ndarray, comp: str = "stripes"):
+    """Q x of stripes whose covariance depends on their distance: ``spectrum`` are the DCT-I weights of :func:`skyloom.functions.kernels.stripe_prior`.
+
+    A task holds one detector's stripes of a timestream; they must be as many as the weights.
+    """
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        place = part["idx"].str.split("/").map(lambda p: (int(p[2]), int(p[3])))
+        part = part.iloc[np.argsort(place.map(lambda p: p[0] * (1 << 40) + p[1]).to_numpy(), kind="stable")]
+        val = K.apply_stripe_prior(spectrum, part["val"].to_numpy()[None])[0]
+        return pd.DataFrame({"comp": part["comp"], "idx": part["idx"], "val": val})
+
+    def apply(x: DataFrame) -> DataFrame:
+        own = x.where(F.col("comp") == comp).select(*T.PARAM, "val", F.substring_index("idx", "/", 2).alias("detector"))
+        return own.groupBy("detector").applyInPandas(run, "comp string, idx string, val double")
+
+    return apply
 
 
 def diagonal(design: DataFrame, weights: DataFrame, prior: DataFrame | None = None) -> DataFrame:
@@ -106,28 +133,37 @@ def inverse(x: DataFrame) -> DataFrame:
     return x.select(*T.PARAM, F.when(F.col("val") != 0, F.try_divide(F.lit(1.0), F.col("val"))).otherwise(0.0).alias("val"))
 
 
-def solve(design: DataFrame, b: DataFrame, noise, iterations: int = 25, precon: DataFrame | None = None, prior: DataFrame | None = None, x0: DataFrame | None = None, mask: DataFrame | None = None, tolerance: float = 0.0) -> tuple[DataFrame, list[float]]:
+def solve(design: DataFrame, b: DataFrame, noise, iterations: int = 25, precon: DataFrame | None = None, prior=None, x0: DataFrame | None = None, mask: DataFrame | None = None, tolerance: float = 0.0) -> tuple[DataFrame, list[float]]:
     """The parameters that solve (P' N^-1 P + Q) x = b, and the squared residual after each step.
 
-    ``precon``: an approximate inverse of the diagonal.  ``mask``: (comp, idx, val) factors of
+    ``precon``: an approximate inverse of the diagonal.  ``prior``: see :func:`applied`.  ``mask``: (comp, idx, val) factors of
     the unknowns.  ``tolerance``: the share of the first residual at which to stop.
     """
     limited = (lambda v: v) if mask is None else (lambda v: product(v, mask))
     a = lambda v: limited(applied(design, limited(v), noise, prior))
-    better = (lambda v: v) if precon is None else (lambda v: product(v, precon))
-    b = kept(limited(b), "b")
-    x = cleared(b) if x0 is None else x0
-    r = b if x0 is None else kept(combine(b, a(x0), 1.0, -1.0), "r")
-    z = kept(better(r), "z")
-    p, zr, left = z, inner(z, r), [inner(r, r)]
+    b = limited(b)
+    r = b if x0 is None else combine(b, a(x0), 1.0, -1.0)
+    state = r.select(*T.PARAM, F.col("val").alias("r"))
+    for name, table, other in (("m", precon, 1.0 if precon is None else 0.0), ("x", x0, 0.0)):
+        found = state if table is None else state.join(table.select(*T.PARAM, F.col("val").alias(name)), list(T.PARAM), "left")
+        state = found.withColumn(name, F.lit(other) if table is None else F.coalesce(name, F.lit(other)))
+    # one table holds all vectors, so that a step writes it once; the next direction is an expression on it
+    state = kept(state.withColumn("p", F.col("m") * F.col("r")), "state")
+
+    def sums(t: DataFrame) -> tuple[float, float]:
+        row = t.agg(F.sum(F.col("m") * F.col("r") * F.col("r")), F.sum(F.col("r") * F.col("r"))).first()
+        return float(row[0] or 0.0), float(row[1] or 0.0)
+
+    zr, rr = sums(state)
+    left = [rr]
     for _ in range(iterations):
         if zr == 0 or left[-1] <= tolerance * left[0]:
             break
-        ap = kept(a(p), "ap")
-        step = zr / inner(p, ap)
-        x, r = kept(combine(x, p, 1.0, step), "x"), kept(combine(r, ap, 1.0, -step), "r")
-        z = kept(better(r), "z")
-        zr, before = inner(z, r), zr
-        p = kept(combine(z, p, 1.0, zr / before), "p")
-        left.append(inner(r, r))
-    return x, left
+        ap = kept(a(state.select(*T.PARAM, F.col("p").alias("val"))).select(*T.PARAM, F.col("val").alias("ap")), "ap")
+        both = state.join(ap, list(T.PARAM), "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
+        step = zr / float(both.agg(F.sum(F.col("p") * F.col("ap"))).first()[0])
+        after = kept(both.select(*T.PARAM, (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("ap")).alias("r"), "m", "p"), "state")
+        (zr, rr), before = sums(after), zr
+        state = after.withColumn("p", F.col("m") * F.col("r") + (zr / before) * F.col("p"))
+        left.append(rr)
+    return state.select(*T.PARAM, F.col("x").alias("val")), left

@@ -171,6 +171,44 @@ def freedom(free) -> np.ndarray:
     return out
 
 
+def normal_equations(samples: DataFrame, parts: list[str], counts: list[int], q, windows: list[tuple[int, int]] | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """(chi squared, gradient, curvature) of summed source models at parameters ``q``: one job, partitions emit their sums."""
+
+    def run(frames):
+        total = np.zeros(1 + len(q) + len(q) ** 2)
+        for f in frames:
+            x, y, d, w = (f[c].to_numpy() for c in ("dx", "dy", "dat", "w"))
+            at, value, derivs = 0, 0, []
+            for k, (kind, n) in enumerate(zip(parts, counts, strict=True)):
+                v, g = MODELS[kind](q[at : at + n], x, y)
+                if windows:
+                    inside = f["samp"].between(windows[k][0], windows[k][1] - 1).to_numpy()
+                    v, g = v * inside, g * inside
+                value, at = value + v, at + n
+                derivs.append(g)
+            g, res = np.concatenate(derivs), d - value
+            total += np.concatenate([[(w * res * res).sum()], g @ (w * res), ((g * w) @ g.T).ravel()])
+        yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
+
+    rows = samples.mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas().sort_values("k")["v"].to_numpy()
+    return float(rows[0]), rows[1 : 1 + len(q)], rows[1 + len(q) :].reshape(len(q), len(q))
+
+
+def safe_inverse(matrix: np.ndarray, thresh: float = 1e-14) -> np.ndarray:
+    """Inverse by singular values; those below ``thresh`` of the largest are left out."""
+    u, s, vt = np.linalg.svd(matrix, full_matrices=False)
+    keep = np.abs(s) >= thresh * s.max()
+    return vt.T @ (np.where(keep, 1 / np.where(keep, s, 1), 0)[:, None] * u.T)
+
+
+def scaled_inverse(matrix: np.ndarray, safe: bool = False) -> np.ndarray:
+    """Inverse of a matrix that is first scaled to a diagonal of ones."""
+    d = np.abs(np.diag(matrix))
+    scale = np.where(d > 0, 1 / np.sqrt(np.where(d > 0, d, 1)), 1e-10)
+    both = np.outer(scale, scale)
+    return both * (safe_inverse(both * matrix) if safe else np.linalg.pinv(both * matrix))
+
+
 def fit(samples: DataFrame, parts: list[str], start: np.ndarray, counts: list[int], free: np.ndarray | None = None, iterations: int = 10, tolerance: float = 1e-4, limits: dict[int, tuple[float, float]] | None = None, windows: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, float, np.ndarray]:
     """Damped least squares of summed source models to (tod, det, dx, dy, dat, w) samples: (parameters, chi squared, errors).
 
@@ -184,24 +222,7 @@ def fit(samples: DataFrame, parts: list[str], start: np.ndarray, counts: list[in
     move = freedom(free)
 
     def equations(q):
-        def run(frames):
-            total = np.zeros(1 + len(q) + len(q) ** 2)
-            for f in frames:
-                x, y, d, w = (f[c].to_numpy() for c in ("dx", "dy", "dat", "w"))
-                at, value, derivs = 0, 0, []
-                for k, (kind, n) in enumerate(zip(parts, counts, strict=True)):
-                    v, g = MODELS[kind](q[at : at + n], x, y)
-                    if windows:
-                        inside = f["samp"].between(windows[k][0], windows[k][1] - 1).to_numpy()
-                        v, g = v * inside, g * inside
-                    value, at = value + v, at + n
-                    derivs.append(g)
-                g, res = np.concatenate(derivs), d - value
-                total += np.concatenate([[(w * res * res).sum()], g @ (w * res), ((g * w) @ g.T).ravel()])
-            yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
-
-        rows = samples.mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas().sort_values("k")["v"].to_numpy()
-        return rows[0], rows[1 : 1 + len(q)], rows[1 + len(q) :].reshape(len(q), len(q))
+        return normal_equations(samples, parts, counts, q, windows)
 
     chi, grad, curve = equations(p)
     lam = 0.0
