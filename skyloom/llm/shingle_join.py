@@ -260,6 +260,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose key is the smallest of their group, with all their columns; rows of null key stay if their group has no other."""
-    kept = near_duplicates(docs, key, text).where(F.col("component_id").eqNullSafe(F.col(key))).select(F.col(key).alias("kept_key")).distinct()
+    """The documents whose key is the smallest of their group, with all their columns; rows of null key all stay, as nothing names one of them."""
+    kept = near_duplicates(docs, key, text).where((F.col("component_id") == F.col(key)) | F.col(key).isNull()).select(F.col(key).alias("kept_key")).distinct()
     return docs.join(kept, docs[key].eqNullSafe(kept["kept_key"]), "left_semi")

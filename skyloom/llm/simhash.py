@@ -14,8 +14,8 @@ bucket sends on a spanning forest of its links, which keeps every component.
 
 Defined cases: null and wordless texts have fingerprint 0 and link like any
 other; rows of equal id share nothing but what their fingerprints say; a null id is
-never a component's id unless no member has another (``deduplicate`` then keeps these
-rows); an empty table gives an empty result; other columns aren't read.
+never a component's id unless no member has another, and ``deduplicate`` keeps all rows
+of null id, as nothing names one of them; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -192,5 +192,5 @@ def hex_fingerprint(fp):
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents whose key is the smallest of their group, with all their columns."""
-    kept = near_duplicates(docs, key, text).where(F.col("component_id").eqNullSafe(F.col(key))).select(F.col(key).alias("kept_key")).distinct()
+    kept = near_duplicates(docs, key, text).where((F.col("component_id") == F.col(key)) | F.col(key).isNull()).select(F.col(key).alias("kept_key")).distinct()
     return docs.join(kept, docs[key].eqNullSafe(kept["kept_key"]), "left_semi")
