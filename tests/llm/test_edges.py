@@ -164,6 +164,47 @@ def test_a_passage_in_many_contexts(spark, hot):
     assert sorted(map(tuple, got), key=key) == sorted((r[:5] for r in removal(rows)), key=key)
 
 
+def test_maximal_repeats_by_brute_force(spark):
+    """All strings that two places share and that can't be extended, with all their places."""
+    from skyloom.llm import repeats
+
+    rng = np.random.default_rng(5)
+    passages = ["".join(rng.choice(list("abcdefgh "), n)) for n in (60, 90, 400)]
+    rows = []
+    for k in range(14):
+        parts = []
+        for _ in range(int(rng.integers(1, 4))):
+            p = passages[int(rng.integers(3))]
+            a = int(rng.integers(0, 8))
+            parts += ["".join(rng.choice(list("xyz"), int(rng.integers(0, 9)))), p[a : len(p) - int(rng.integers(0, 8))]]
+        rows.append((k, "".join(parts)))
+    rows += [(20, rows[0][1]), (None, passages[0]), (21, None), (22, "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    raw = [(k, (t or "").encode()) for k, t in rows]
+    at = [(i, p) for i, (_, b) in enumerate(raw) for p in range(len(b) - 49)]
+    heads = {}
+    for i, p in at:
+        heads.setdefault(raw[i][1][p : p + 50], []).append((i, p))
+    found = set()
+    for some in heads.values():
+        for x, (i, p) in enumerate(some):
+            for j, q in some[:x]:
+                a, b = raw[i][1], raw[j][1]
+                if p and q and a[p - 1] == b[q - 1]:
+                    continue
+                n = 50
+                while p + n < len(a) and q + n < len(b) and a[p + n] == b[q + n]:
+                    n += 1
+                found.add(a[p : p + n])
+    want = sorted((len(s), s, raw[i][0] if raw[i][0] is not None else -1, p) for s in found for i, p in heads[s[:50]] if raw[i][1][p : p + len(s)] == s)
+    text = {k: b for k, b in raw}
+    got = repeats.maximal_repeats(docs).collect()
+    mine = sorted((r["length"], text[r["doc_id"]][r["start"] : r["start"] + r["length"]], -1 if r["doc_id"] is None else r["doc_id"], r["start"]) for r in got)
+    assert len(found) > 10 and mine == want
+    assert len({r["repeat"] for r in got}) == len(found)
+    assert repeats.maximal_repeats(docs.where("doc_id > 100")).count() == 0
+
+
 NULLS = [(None, BASE * 2), (None, "short"), (3, BASE * 2), (1, None), (1 << 60, BASE + "more of it"), ((1 << 60) + 1, "x y z " * 30)]
 
 
