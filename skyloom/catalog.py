@@ -11,7 +11,7 @@ from .functions import kernels as K
 from .operators import maps as M
 from .operators import streams as S
 from .plans import solve
-from .registry import QUERIES, SQL, query, r, rounded
+from .registry import OFFSETS_SQL, QUERIES, SQL, query, r, rounded
 from .sources import samples as src
 from .plans.mapset import shared_folder
 from .streaming.hits import event_pixels, whole_map, write_batches
@@ -428,10 +428,10 @@ def template_notch(spark, d):
     return rounded(S.notch_project(src.events(spark, d), 0.00001, 0.00002), "c", "s", digits=3)
 
 
-@query()
+@query(f", {OFFSETS_SQL} SELECT tod, det, round(sum(dat), 4) + 0.0 AS p0, round(sum(dat * a), 4) + 0.0 AS p1, round(sum(dat * (3 * a * a - 1) / 2), 4) + 0.0 AS p2, round(sum(dat * (5 * a * a * a - 3 * a) / 2), 4) + 0.0 AS p3 FROM ap GROUP BY tod, det")
 def template_bowl(spark, d):
     """Legendre polynomials in each detector's elevation offset; azimuth stands for elevation."""
-    return S.polynomial_project(S.elevation_offsets(src.events(spark, d), "az"), "apix")
+    return rounded(S.polynomial_project(S.elevation_offsets(src.events(spark, d), "az"), "apix"), "p0", "p1", "p2", "p3", digits=4)
 
 
 def _regions(spark, d):

@@ -10,7 +10,7 @@ from .operators import maps as M
 from .operators import streams as S
 from .operators import templates as T
 from .plans import mapset
-from .registry import named, query, r, rounded
+from .registry import OFFSETS_SQL, named, query, r, rounded
 from .sources import samples as src
 
 #: What follows a table g (tod, det, samp, dat, idx, w): parameters from the data, and the signal that they give.
@@ -103,6 +103,11 @@ def tagged(s):
     return T.routed(s, tags, "det")
 
 
+@template("bowl", f"{OFFSETS_SQL}, g AS (SELECT tod, det, samp, dat, tod || '/' || det || '/' || k AS idx, CASE k WHEN 0 THEN 1 WHEN 1 THEN a WHEN 2 THEN (3 * a * a - 1) / 2 ELSE (5 * a * a * a - 3 * a) / 2 END AS w FROM ap, (SELECT unnest([0, 1, 2, 3]) AS k))")
+def bowl(s):
+    return T.bowl(s, 3, "az")
+
+
 @query(f", n AS (SELECT tod, det, greatest(1, count(*) // 50) AS n, count(*) AS c FROM samples GROUP BY tod, det), q AS (SELECT samples.*, c // n AS e, c % n AS x FROM samples JOIN n USING (tod, det)), t AS (SELECT *, CASE WHEN samp < x * (e + 1) THEN samp // (e + 1) ELSE x + (samp - x * (e + 1)) // e END AS seg FROM q), l AS (SELECT tod, det, seg, dat, CASE WHEN max(samp) OVER w > min(samp) OVER w THEN 2.0::DOUBLE * (samp - min(samp) OVER w) / greatest(max(samp) OVER w - min(samp) OVER w, 1) - 1 ELSE 0 END AS x FROM t WINDOW w AS (PARTITION BY tod, det, seg)) SELECT tod, det, seg, {r('sum(dat)', 'level', 5)}, {r('sum(dat * x)', 'slope', 2)} FROM l GROUP BY tod, det, seg")
 def template_stripe_slopes(spark, d):
     s = src.events(spark, d)
