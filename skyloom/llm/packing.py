@@ -2,9 +2,11 @@
 
 Documents longer than a sequence are cut so that only the first piece may be
 shorter; full pieces are sequences of their own.  The other pieces are dealt by
-hash into groups of about ``GROUP`` pieces; each group is packed by itself, so
-that at most one badly filled sequence a group is lost.  In a group the longest
-piece goes first, each to the fullest bin that holds it.  Then underfull bins move
+hash into groups of about ``GROUP`` pieces; each group is packed by itself, and the
+pieces of badly filled sequences of all groups are packed again, in as many groups as
+they need, until one group holds them (or most are left again, as with lengths that
+can't fill a sequence).  In a group the longest piece goes first, each to the fullest
+bin that holds it.  Then underfull bins move
 one or two pieces, or exchange one for one, two for one or one for two, whenever that
 raises the sum of squared fills, until no bin has such a change or the volume of the
 pieces allows no fewer bins.
@@ -19,6 +21,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,8 @@ from .common import small_batches, stored
 from .token_ids import PieceEncoder, groups_by_size
 
 LENGTH, GROUP = 2048, 30_000
+#: A sequence with less than this share filled is packed again; and most times that this is done.
+FILLED, LEVELS = 0.97, 6
 
 
 def pieces(n: int, length: int = LENGTH) -> list[int]:
@@ -195,26 +200,47 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("t")).mapInArrow(run, "key long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """(key, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
-    cut = stored(cut_documents(docs, tokenizer, end_id, key, text, length), "pieces")
-    groups = 1 + cut.where(F.col("length") < length).count() // group
-    spread = cut.withColumn("g", F.pmod(F.xxhash64("key", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
+def packer(groups: int, level: int, length: int):
+    """Over the pieces of a group g: their sequence and place there, and whether the sequence is filled so badly that it is packed again."""
 
     def run(part: pa.Table) -> pa.Table:
         part = part.sort_by([("key", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         sizes, g = part["length"].to_numpy(), part["g"].to_numpy()
         bins = local_search(best_fit(sizes, length), sizes, length)
-        where, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        where, offset, again = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool)
         for b, items in enumerate(bins):
             at = 0
             for i in items:
                 where[i], offset[i] = b, at
                 at += sizes[i]
-        return part.drop_columns("g").append_column("sequence_id", pa.array(where * groups + g)).append_column("offset", pa.array(offset))
+            again[items] = at < FILLED * length
+        columns = {"sequence_id": pa.array((where * groups + g) * LEVELS + level), "offset": pa.array(offset), "again": pa.array(again)}
+        for name, values in columns.items():
+            part = part.append_column(name, values)
+        return part.drop_columns("g")
+
+    return run
+
 
-    kind = "key long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    short = spread.where(F.col("length") < length).groupBy("g").applyInArrow(run, kind)
+def pack(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
+    """(key, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
+    cut = stored(cut_documents(docs, tokenizer, end_id, key, text, length), "pieces")
+    names = [*cut.columns, "sequence_id", "offset"]
     # a full piece is a sequence; its number is below zero and counts up within its partition
-    full = cut.where(F.col("length") == length).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return short.union(full).withColumnRenamed("key", key)
+    parts = [cut.where(F.col("length") == length).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    rest = cut.where(F.col("length") < length)
+    for level in range(LEVELS):
+        many = rest.count()
+        groups = 1 + many // group
+        dealt = rest.select(*cut.columns, F.pmod(F.xxhash64("key", "piece", "ids_crc32"), F.lit(groups)).cast("int").alias("g"))
+        done = dealt.groupBy("g").applyInArrow(packer(groups, level, length), "key long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, again boolean")
+        if groups == 1 or level == LEVELS - 1:
+            parts.append(done.select(*names))
+            break
+        done = stored(done, "packed")
+        if 2 * done.where("again").count() > many:  # lengths that don't fill a sequence, in whatever group
+            parts.append(done.select(*names))
+            break
+        parts.append(done.where("not again").select(*names))
+        rest = done.where("again").select(*cut.columns)
+    return reduce(DataFrame.union, parts).withColumnRenamed("key", key)

@@ -221,6 +221,11 @@ def test_packing(docs, empty):
         assert (g["offset"].to_numpy() == np.cumsum(g["length"]) - g["length"]).all() and g["length"].sum() <= 64
     assert got["sequence_id"].nunique() <= -(-got["length"].sum() // 64) + 2
     assert packing.pack(empty, tokenizer_file("byte_bpe_50k.json"), 0).count() == 0
+    few = packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), 0, length=64, group=4).toPandas()
+    assert sorted(zip(few["doc_id"], few["piece"], few["ids_crc32"], strict=True)) == sorted(zip(got["doc_id"], got["piece"], got["ids_crc32"], strict=True))
+    for _, g in few.sort_values("offset").groupby("sequence_id"):
+        assert (g["offset"].to_numpy() == np.cumsum(g["length"]) - g["length"]).all() and g["length"].sum() <= 64
+    assert few["sequence_id"].nunique() <= got["sequence_id"].nunique() + 1
     bins = packing.local_search([[0, 1], [2], [3]], np.array([5, 4, 6, 1]), 10)
     assert len(bins) == 2 and sorted(i for b in bins for i in b) == [0, 1, 2, 3]
 
