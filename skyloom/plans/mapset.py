@@ -8,6 +8,7 @@ to the shared folder, so that the lineage of a step is one step long.
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
@@ -86,6 +87,26 @@ def common_white(modes: DataFrame):
     return apply
 
 
+def modelled(models: DataFrame):
+    """Any noise model that needs a whole timestream: ``models`` is what :func:`skyloom.plans.solve.fitted` gives.  A task holds one timestream."""
+
+    def run(signal: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(signal) or not len(own):
+            return pd.DataFrame({"tod": [], "det": [], "samp": [], "val": []})
+        _, _, mask, model = pickle.loads(own["held"].dropna().iloc[0])
+        row = signal["det"].map({d: k for k, d in enumerate(sorted(own["det"]))}).to_numpy()
+        at = signal["samp"].to_numpy()
+        whole = np.zeros(mask.shape)
+        whole[row, at] = signal["val"]
+        return pd.DataFrame({"tod": signal["tod"], "det": signal["det"], "samp": at, "val": (model.apply(whole) * mask)[row, at]})
+
+    def apply(signal: DataFrame) -> DataFrame:
+        kind = signal.schema["tod"].dataType.simpleString()
+        return signal.select(*T.SAMPLE, "val").groupBy("tod").cogroup(models.groupBy("tod")).applyInPandas(run, f"tod {kind}, det long, samp long, val double")
+
+    return apply
+
+
 def right_side(design: DataFrame, data: DataFrame, noise, value: str = "dat") -> DataFrame:
     """b: the noise-weighted data of each parameter."""
     return T.project(design, noise(data.select(*T.SAMPLE, F.col(value).alias("val"))), "val")

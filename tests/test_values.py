@@ -435,3 +435,19 @@ def test_stripe_prior_in_a_system(spark):
 def test_blank_polarised_map(spark):
     got = M.blank(spark, 3, "IQU").collect()
     assert len(got) == 9 and {r["pol"] for r in got} == {"i", "q", "u"} and all(r["val"] == 0 for r in got)
+
+
+def test_any_noise_model_in_a_system(spark):
+    """A fitted model applied to a signal given as a table: the same as to the array."""
+    rng = np.random.default_rng(15)
+    sizes = (20, 17, 20)
+    rows = [("a", 3 * k, i, float(rng.normal() + np.sin(i)), int(i % 4)) for k, n in enumerate(sizes) for i in range(n)]
+    s = spark.createDataFrame(rows, "tod string, det long, samp long, dat double, ipix long")
+    models = mapset.kept(solve.fitted(solve.blocks(s), "binned_eig", freqs=(0.1, 0.3)), "models")
+    got = {(r["det"], r["samp"]): r["val"] for r in mapset.modelled(models)(s.withColumn("val", F.col("samp") * 1.0)).collect()}
+    d, mask = np.zeros((3, 20)), np.arange(20) < np.array(sizes)[:, None]
+    for _, det, i, x, _ in rows:
+        d[det // 3, i] = x
+    want = K.BinnedEig(d, freqs=(0.1, 0.3), mask=mask).apply(np.arange(20.0) * mask) * mask
+    assert np.allclose([got[3 * k, i] for k, n in enumerate(sizes) for i in range(n)], [want[k, i] for k, n in enumerate(sizes) for i in range(n)])
+    assert len(got) == len(rows)
