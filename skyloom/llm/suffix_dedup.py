@@ -138,7 +138,7 @@ class Block:
         total = self.total
         np.cumsum(WEIGHTS[np.frombuffer(raw, np.uint8)] * up[: len(raw)], out=total[1:])
         context = mixed((total[hi] - total[lo]) * down[lo] + (at - lo).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + (hi - lo).astype(np.uint64))
-        bucket = bucket_of(h, ranges)
+        bucket = bucket_of(mixed(h), ranges)  # an anchor's own hash is the smallest of a window, so most are small
         order = np.lexsort((keys[doc], context, h, bucket))
         self.at, self.h, self.doc, self.lo, self.hi, self.context = at[order], h[order], doc[order], lo[order], hi[order], context[order]
         bucket = bucket[order].astype(np.int64)
