@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8
+from .common import small_batches, trim_memory, utf8
 from .token_ids import groups_by_size
 
 WORDS, SHAPES, WIDTH, ONES, SAMPLE, HIDDEN, REMEMBERED = 1 << 14, 1 << 10, 32, 6, 6000, 24, 400_000
@@ -149,6 +149,7 @@ def predict(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text
         def mark(batches):
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(batch.column(at).to_pylist(), sent.value), pa.float64())], names=[*[f"c{i}" for i in range(batch.num_columns)], "s"])
+            trim_memory()
 
         from pyspark.sql.types import DoubleType, StructField, StructType
 

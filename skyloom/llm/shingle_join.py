@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, fresh_dir, release_shuffles, remove_dir, small_batches, stored
+from .common import components, discard, fresh_dir, release_shuffles, remove_dir, small_batches, stored, trim_memory
 from .ngram_trie import tokens_of
 from .simhash import masks, signed
 from .suffix_dedup import mixed
@@ -208,6 +208,8 @@ def bucket_links(folder: str, least: tuple[int, int]):
         judge(held, out)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+        sets.kept.clear()
+        trim_memory()
 
     return run
 

@@ -14,7 +14,7 @@ import os
 
 import numpy as np
 
-from .common import utf8
+from .common import trim_memory, utf8
 from .spans import distinct_spans
 
 #: Pieces that a worker remembers before it starts anew.
@@ -180,7 +180,7 @@ def known_only(x: bytes) -> bool:
 
 
 def groups_by_size(batches, most_chars: int = 2_000_000):
-    """(record batch, texts) in pieces of bounded text size; column 1 holds the texts."""
+    """(record batch, texts) in pieces of bounded text size; column 1 holds the texts.  Freed memory goes back at the end, as workers stay."""
     for batch in batches:
         texts = batch.column(1).to_pylist()
         lo = held = 0
@@ -191,3 +191,4 @@ def groups_by_size(batches, most_chars: int = 2_000_000):
                 lo, held = i + 1, 0
         if lo < len(texts):
             yield batch.slice(lo), texts[lo:]
+    trim_memory()
