@@ -51,7 +51,7 @@ WINDOW = MATCH - GRAM + 1
 REACH = WINDOW - 1 + MATCH
 #: Suffixes are sorted by so many bytes.
 DEPTH = 56
-BLOCK, RANGE, HOT = 1 << 20, 8 << 20, 300
+BLOCK, RANGE, HOT = 1 << 20, 8 << 20, 1000
 NONE = np.uint64((1 << 64) - 1)
 
 
@@ -430,18 +430,18 @@ def removed_bytes(x: Block, replies: dict) -> np.ndarray:
     whole |= x.keys[x.doc] > x.smallest[x.rank]
     np.add.at(change, x.lo[whole], 1)
     np.add.at(change, x.hi[whole], -1)
+    by_rank = np.zeros(len(x.first), np.uint64)
     for b, lo, hi in zip(x.buckets, x.cuts[:-1], x.cuts[1:], strict=True):
         if (1, int(b)) in replies:
-            masks = np.frombuffer(replies[1, int(b)], "<u8")
-            ranks = np.flatnonzero(code[lo:hi] == 2) + lo
-            by_rank = np.zeros(hi - lo, np.uint64)
-            by_rank[ranks - lo] = masks
-            # all anchors of the context, as they may stand twice in the smallest document
-            inside = np.flatnonzero((x.rank >= lo) & (x.rank < hi)) if len(ranks) else np.zeros(0, np.int64)
-            for j in range(WINDOW):
-                hit = inside[(by_rank[x.rank[inside] - lo] >> np.uint64(j)) & np.uint64(1) == 1]
-                np.add.at(change, x.lo[hit] + j, 1)
-                np.add.at(change, x.lo[hit] + j + MATCH, -1)
+            by_rank[np.flatnonzero(code[lo:hi] == 2) + lo] = np.frombuffer(replies[1, int(b)], "<u8")
+    # all anchors of a context, as they may stand twice in the smallest document
+    marks = by_rank[x.rank]
+    inside = np.flatnonzero(marks)
+    marks = marks[inside]
+    for j in range(WINDOW):
+        hit = inside[(marks >> np.uint64(j)) & np.uint64(1) == 1]
+        np.add.at(change, x.lo[hit] + j, 1)
+        np.add.at(change, x.lo[hit] + j + MATCH, -1)
     if (code == 3).any():
         rank, j, number, h, least = x.hot_strings(code)
         bucket = bucket_of(h, x.ranges).astype(np.int64)
