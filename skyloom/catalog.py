@@ -10,7 +10,7 @@ from .functions import columns as C
 from .functions import kernels as K
 from .operators import maps as M
 from .operators import streams as S
-from .plans import solve
+from .plans import eigen, solve
 from .registry import OFFSETS_SQL, QUERIES, SQL, query, r, rounded
 from .sources import samples as src
 from .plans.mapset import shared_folder
@@ -287,34 +287,42 @@ def dct1_vectors(spark, d):
     return e.mapInPandas(run, "det long, k long, val double")
 
 
-def _per_tod(spark, d, f, kind: str) -> DataFrame:
-    """A kernel over each label's block of vectors."""
+def _vectors(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").alias("tod"), F.col("vec_id").alias("det"), "embedding")
+
+
+def _per_tod(spark, d, f, kind: str, wide=None, most: int = eigen.WIDE) -> DataFrame:
+    """A kernel over each label's block of vectors; ``wide``: the same of (rows, their counts) for blocks of over ``most`` rows, by sums over rows."""
     import pandas as pd
 
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").alias("tod"), F.col("vec_id").alias("det"), "embedding")
+    e = _vectors(spark, d)
+    if wide and (counts := eigen.blocks(e, most)):
+        large, e = eigen.split(e, counts)
+        large = wide(large, counts)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("det")
         return f(int(part["tod"].iloc[0]), part["det"].to_numpy(), np.stack(part["embedding"].to_numpy()).astype(float))
 
-    return e.groupBy("tod").applyInPandas(run, kind)
+    got = e.groupBy("tod").applyInPandas(run, kind)
+    return got.union(large) if wide and counts else got
 
 
-def _noise(name: str, **options):
-    def f(spark, d):
+def _noise(name: str, wide=None, **options):
+    def f(spark, d, most=eigen.WIDE):
         import pandas as pd
 
         def run(tod, det, x):
             m = K.NOISE[name](x, **options)
             return pd.DataFrame({"tod": tod, "det": det, "w": m.det_weights(), "chisq": (x * m.apply(x)).sum(axis=1)})
 
-        return _per_tod(spark, d, run, "tod int, det long, w double, chisq double")
+        return _per_tod(spark, d, run, "tod int, det long, w double, chisq double", wide and (lambda e, counts: wide(e, counts, **options)), most)
 
     f.__name__ = f"noise_model_{name}"
     return query()(f)
 
 
-for _name, _options in (("common_white", {}), ("binned_eig", {"freqs": (0.05, 0.2), "thresh": 3.0}), ("smoothed_svd", {"fwhm": 10.0})):
+for _name, _options in (("common_white", {}), ("binned_eig", {"wide": eigen.binned_noise, "freqs": (0.05, 0.2), "thresh": 3.0}), ("smoothed_svd", {"fwhm": 10.0})):
     _noise(_name, **_options)
 
 

@@ -451,3 +451,42 @@ def test_any_noise_model_in_a_system(spark):
     want = K.BinnedEig(d, freqs=(0.1, 0.3), mask=mask).apply(np.arange(20.0) * mask) * mask
     assert np.allclose([got[3 * k, i] for k, n in enumerate(sizes) for i in range(n)], [want[k, i] for k, n in enumerate(sizes) for i in range(n)])
     assert len(got) == len(rows)
+
+
+def tall(count, seed=21):
+    """Many detectors of few samples: two strong modes and noise."""
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(count, 2)) @ np.stack([np.sin(np.arange(64) / 5), np.cos(np.arange(64) / 9)]) * 10 + rng.normal(size=(count, 64))
+
+
+def test_more_detectors_than_samples():
+    """Nothing has the size of the detectors squared, and detectors beyond the samples add no median of zero."""
+    d = tall(300)
+    e = K.BinnedEig(d, freqs=(0.05, 0.2), thresh=3.0)
+    u, s, _ = np.linalg.svd(d, full_matrices=False)
+    assert e.modes.shape == (300, 2) and np.allclose(np.abs(u[:, 1::-1].T @ e.modes), np.eye(2), atol=1e-9)
+    y, out = K.dct1(d), np.zeros_like(d)
+    for k, (a, b) in enumerate(zip(e.edges[:-1], e.edges[1:], strict=True)):
+        out[:, a:b] = np.linalg.solve(np.diag(e.det[:, k]) + e.modes @ np.diag(e.mode[:, k]) @ e.modes.T, y[:, a:b])
+    assert np.allclose(e.apply(d), K.halved(K.dct1(out)) / 126)
+
+
+def test_eigenvalues_beyond_the_samples_are_zero():
+    value = np.arange(1.0, 9)
+    assert K.strong(value, 8, 1.0).tolist() == (value > 4.5).tolist()
+    assert K.strong(value, 12, 1.0).tolist() == (value > 2.5).tolist()  # the median of four zeros and these
+    assert K.strong(value, 10**6, 1.0).tolist() == (value > 4.5).tolist()
+
+
+@pytest.mark.parametrize("count", [40, 300])
+def test_binned_noise_by_sums_over_rows(spark, tmp_path, count):
+    d = np.concatenate([tall(count), tall(count, 22)])
+    rows = [(i, row.tolist(), i // count) for i, row in enumerate(d)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(5).write.parquet(f"{tmp_path}/embeddings.parquet")
+    query = catalog.queries()["noise_model_binned_eig"]
+    a, b = (query(spark, str(tmp_path), most).toPandas().sort_values("det") for most in (10**6, 0))
+    assert len(a) == len(b) == 2 * count
+    for c in a.columns:
+        assert np.allclose(a[c], b[c])
+    mixed = query(spark, str(tmp_path), count - 1).count()
+    assert mixed == 2 * count
