@@ -390,16 +390,18 @@ def zernike_fit(spark, d):
 
 
 @query()
-def gapfill_eigenmodes(spark, d):
+def gapfill_eigenmodes(spark, d, most=eigen.WIDE):
     """Vectors with a run of bad samples filled from their label's strong modes."""
     import pandas as pd
 
+    def bad(det, n):
+        return (det[:, None] * 7 + np.arange(n)) % 50 < 3
+
     def run(tod, det, x):
-        bad = (det[:, None] * 7 + np.arange(x.shape[1])) % 50 < 3
-        y = K.gapfill_eig(np.where(bad, 0, x), bad)
+        y = K.gapfill_eig(x, bad(det, x.shape[1]))
         return pd.DataFrame({"tod": tod, "det": np.repeat(det, y.shape[1]), "samp": np.tile(np.arange(y.shape[1]), len(y)), "dat": y.ravel()})
 
-    return _per_tod(spark, d, run, "tod int, det long, samp long, dat double")
+    return _per_tod(spark, d, run, "tod int, det long, samp long, dat double", lambda e, counts: eigen.gapfill(e, counts, bad), most)
 
 
 @query()

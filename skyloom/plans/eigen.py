@@ -115,5 +115,26 @@ def binned_noise(e: DataFrame, rows: dict[int, int], freqs, thresh: float, dt: f
     return e.mapInPandas(by_block(run), "tod int, det long, w double, chisq double")
 
 
+def gapfill(e: DataFrame, rows: dict[int, int], bad, thresh: float = 5.0, rounds: int = 3, inner: int = 3) -> DataFrame:
+    """(tod, det, samp, dat): :func:`kernels.gapfill_eig` of each block; ``bad`` gives the bad samples of (det, sample count)."""
+    send = e.sparkSession.sparkContext.broadcast
+    found: dict = {tod: [] for tod in rows}
+    for _ in range(rounds):
+        sent = send(found)
+
+        def weighed(tod, det, x, sent=sent):
+            return plain(tod, det, K.fill_rows(x, bad(det, x.shape[1]), sent.value[tod], inner))
+
+        found = {tod: [*found[tod], K.modes_in_time(g[0], rows[tod], thresh)[1]] for tod, g in grams(e, weighed).items()}
+    sent = send(found)
+
+    def run(tod, det, x):
+        n = x.shape[1]
+        y = K.fill_rows(x, bad(det, n), sent.value[tod], inner)
+        return pd.DataFrame({"tod": tod, "det": np.repeat(det, n), "samp": np.tile(np.arange(n), len(y)), "dat": y.ravel()})
+
+    return e.mapInPandas(by_block(run), "tod int, det long, samp long, dat double")
+
+
 def plain(tod, det, x):
     return x, np.ones((1, len(x)))

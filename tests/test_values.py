@@ -469,6 +469,9 @@ def test_more_detectors_than_samples():
     for k, (a, b) in enumerate(zip(e.edges[:-1], e.edges[1:], strict=True)):
         out[:, a:b] = np.linalg.solve(np.diag(e.det[:, k]) + e.modes @ np.diag(e.mode[:, k]) @ e.modes.T, y[:, a:b])
     assert np.allclose(e.apply(d), K.halved(K.dct1(out)) / 126)
+    bad = (np.arange(300)[:, None] * 7 + np.arange(64)) % 50 < 3
+    got = K.gapfill_eig(d, bad)
+    assert (got[~bad] == d[~bad]).all() and np.abs(got - d)[bad].mean() < 0.3 * np.abs(d)[bad].mean()
 
 
 def test_eigenvalues_beyond_the_samples_are_zero():
@@ -490,3 +493,14 @@ def test_binned_noise_by_sums_over_rows(spark, tmp_path, count):
         assert np.allclose(a[c], b[c])
     mixed = query(spark, str(tmp_path), count - 1).count()
     assert mixed == 2 * count
+
+
+@pytest.mark.parametrize("count", [40, 300])
+def test_gaps_filled_by_sums_over_rows(spark, tmp_path, count):
+    d = np.concatenate([tall(count), tall(50, 22)])
+    rows = [(i, row.tolist(), int(i >= count)) for i, row in enumerate(d)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(5).write.parquet(f"{tmp_path}/embeddings.parquet")
+    query = catalog.queries()["gapfill_eigenmodes"]
+    a, b, c = (query(spark, str(tmp_path), most).toPandas().sort_values(["det", "samp"]) for most in (10**6, 0, 100))
+    assert len(a) == len(b) == len(c) == 64 * len(d)
+    assert np.allclose(a["dat"], b["dat"], atol=1e-6) and np.allclose(a["dat"], c["dat"], atol=1e-6)
