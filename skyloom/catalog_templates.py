@@ -19,14 +19,16 @@ BACK = "p AS (SELECT idx, sum(w * dat) AS v FROM g GROUP BY idx)"
 DESIGNS: dict = {}
 
 
-def template(name: str, sql: str, digits: int = 2):
-    """Register ``<name>_to_tod``: each sample's signal from the parameters that the data project on."""
+def template(name: str, sql: str, digits: int = 2, signal=None):
+    """Register ``<name>_to_tod``: each sample's signal from the parameters that the data project on; ``signal`` gives it without the design's rows."""
 
     def add(design):
         DESIGNS[name] = design
 
         def run(spark, d):
             s = src.events(spark, d)
+            if signal:
+                return rounded(signal(s), "val", digits=digits)
             g = design(s)
             return rounded(T.spread(g, T.project(g, s)), "val", digits=digits)
 
@@ -81,7 +83,7 @@ def airmass(s):
     return T.airmass(s, 2, F.radians(F.col("az") / 6))
 
 
-@template("notch", "e AS (SELECT tod, min(ctime) AS t0, CAST(greatest(1, ceil(2 * 0.00001::DOUBLE * (max(ctime) - min(ctime)))) AS INT) AS n FROM samples GROUP BY tod), k AS (SELECT tod, t0, n, unnest(generate_series(0, n - 1)) AS k FROM e), q AS (SELECT tod, det, samp, dat, k, (ctime - t0) * (0.00001::DOUBLE + 0.00001::DOUBLE * k / greatest(n - 1, 1)) AS a FROM samples JOIN k USING (tod)), g AS (SELECT tod, det, samp, dat, tod || '/' || det || '/' || k || f AS idx, CASE f WHEN 'c' THEN cos(a) ELSE sin(a) END AS w FROM q, (SELECT unnest(['c', 's']) AS f))")
+@template("notch", "e AS (SELECT tod, min(ctime) AS t0, CAST(greatest(1, ceil(2 * 0.00001::DOUBLE * (max(ctime) - min(ctime)))) AS INT) AS n FROM samples GROUP BY tod), k AS (SELECT tod, t0, n, unnest(generate_series(0, n - 1)) AS k FROM e), q AS (SELECT tod, det, samp, dat, k, (ctime - t0) * (0.00001::DOUBLE + 0.00001::DOUBLE * k / greatest(n - 1, 1)) AS a FROM samples JOIN k USING (tod)), g AS (SELECT tod, det, samp, dat, tod || '/' || det || '/' || k || f AS idx, CASE f WHEN 'c' THEN cos(a) ELSE sin(a) END AS w FROM q, (SELECT unnest(['c', 's']) AS f))", signal=lambda s: T.notch_signal(s, 0.00001, 0.00002))
 def notch(s):
     return T.notch(s, 0.00001, 0.00002)
 

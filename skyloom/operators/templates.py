@@ -102,12 +102,33 @@ def airmass(samples: DataFrame, order: int = 3, elev: Column | None = None, comp
     return many(s.join(mean, "tod").withColumn("am", F.col("x") - F.col("mx")), comp, ("tod",), [F.pow(am, F.lit(k + 1)) for k in range(order)])
 
 
+def notch_ends(samples: DataFrame, low: float, high: float) -> DataFrame:
+    """(tod, t0, nfreq): start and number of frequencies of each timestream."""
+    return samples.groupBy("tod").agg(F.min("ctime").alias("t0"), F.greatest(F.lit(1), F.ceil(2 * (high - low) * (F.max("ctime") - F.min("ctime")))).cast("int").alias("nfreq"))
+
+
+def notch_angle(low: float, high: float, k: Column) -> Column:
+    return (F.col("ctime") - F.col("t0")) * (low + (high - low) * k / F.greatest(F.col("nfreq") - 1, F.lit(1)))
+
+
 def notch(samples: DataFrame, low: float, high: float, comp: str = "notch") -> DataFrame:
-    """Cosine and sine of time at each timestream's evenly spaced frequencies from ``low`` to ``high``."""
-    ends = samples.groupBy("tod").agg(F.min("ctime").alias("t0"), F.greatest(F.lit(1), F.ceil(2 * (high - low) * (F.max("ctime") - F.min("ctime")))).cast("int").alias("nfreq"))
-    s = samples.join(ends, "tod").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nfreq") - 1)))
-    angle = (F.col("ctime") - F.col("t0")) * (low + (high - low) * F.col("k") / F.greatest(F.col("nfreq") - 1, F.lit(1)))
-    return many(s.withColumn("angle", angle), comp, ("tod", "det", "k"), [F.cos("angle"), F.sin("angle")], ["c", "s"])
+    """Cosine and sine of time at each timestream's evenly spaced frequencies from ``low`` to ``high``.
+
+    The rows are many times the samples, which size estimates don't see: they are never broadcast.
+    """
+    s = samples.join(notch_ends(samples, low, high), "tod").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nfreq") - 1)))
+    return many(s.withColumn("angle", notch_angle(low, high, F.col("k"))), comp, ("tod", "det", "k"), [F.cos("angle"), F.sin("angle")], ["c", "s"]).hint("merge")
+
+
+def notch_signal(samples: DataFrame, low: float, high: float) -> DataFrame:
+    """(tod, det, samp, val): what ``notch``'s parameters of the data give each sample, without a row for each sample and parameter.
+
+    The data are summed by detector and frequency; then a detector's sums stand beside each of its samples.
+    """
+    sums = S.notch_project(samples, low, high).groupBy("tod", "det").agg(F.sort_array(F.collect_list(F.struct("k", "c", "s"))).alias("sums"))
+    angle = lambda p: notch_angle(low, high, p["k"])
+    val = F.aggregate("sums", F.lit(0.0), lambda v, p: v + F.cos(angle(p)) * p["c"] + F.sin(angle(p)) * p["s"])
+    return samples.join(notch_ends(samples, low, high), "tod").join(sums, ["tod", "det"]).select(*SAMPLE, val.alias("val"))
 
 
 def cuts(samples: DataFrame, bad: Column, comp: str = "cuts") -> DataFrame:

@@ -1,5 +1,7 @@
 """Values of operators that SQL can't express, against plain versions written otherwise."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -504,3 +506,15 @@ def test_gaps_filled_by_sums_over_rows(spark, tmp_path, count):
     a, b, c = (query(spark, str(tmp_path), most).toPandas().sort_values(["det", "samp"]) for most in (10**6, 0, 100))
     assert len(a) == len(b) == len(c) == 64 * len(d)
     assert np.allclose(a["dat"], b["dat"], atol=1e-6) and np.allclose(a["dat"], c["dat"], atol=1e-6)
+
+
+def test_notch_without_design_rows(spark):
+    """The same signal as by the design's rows; those, many times the samples, are not sent to all tasks."""
+    e = src.events(spark, SF)
+    design = T.notch(e, 1e-5, 2e-5)
+    rows = T.spread(design, T.project(design, e))
+    for df in (rows, catalog.queries()["notch_to_tod"](spark, SF)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"BroadcastExchange.*\n.*Project.*\n.*Generate", plan)
+    a, b = (x.toPandas().sort_values(["tod", "det", "samp"]) for x in (rows, T.notch_signal(e, 1e-5, 2e-5)))
+    assert len(a) == len(b) == e.count() and np.allclose(a["val"], b["val"], atol=1e-6)
