@@ -52,7 +52,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scaled_sketch.sketch_and_edits(documents(spark, sf_dir))
+    return scaled_sketch.sketch_and_edits(documents(spark, sf_dir), share=scaled_sketch.QUERY_SHARE)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skyloom.llm import byte_bpe, language_id, ngram_trie, packing, quality_classifier, quality_rules, scaled_sketch, shingle_join, simhash, spans, suffix_dedup, token_files
+from skyloom.llm import byte_bpe, language_id, ngram_trie, packing, quality_classifier, quality_rules, queries, scaled_sketch, shingle_join, simhash, spans, suffix_dedup, token_files
 from skyloom.llm.common import KeyRanges
 from skyloom.llm.queries import tokenizer_file
 from skyloom.llm.token_ids import PieceEncoder
@@ -269,6 +269,28 @@ def test_sketch_values(spark):
         assert np.isclose(r["near_edited"], likeness(a, b)) and np.isclose(r["near_next"], likeness(a, c))
 
 
+def test_query_sketches_are_scaled(spark, tmp_path):
+    """The query's fingerprints are the hashes below the bound and the smallest; short texts' likenesses are exact, long ones' near."""
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 500 if k % 3 else 3, n))) for k, n in enumerate([0, 3, 20, 60, 250, 1500, 3000, 700, 40, 2000])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    texts, size = dict(rows), 1 << 64
+    bound, estimated = size // scaled_sketch.QUERY_SHARE - (size >> 1), 0
+    assert scaled_sketch.QUERY_SHARE > 1
+    for r in queries.op8_document_fingerprints(spark, str(tmp_path)).collect():
+        t, n = texts[r["doc_id"]], texts[(r["doc_id"] - 1) % len(rows)]
+        sets = [brute_sketch(x) for x in (t, t[: len(t) - len(t) // 2] + n[: len(t) // 2], n)]
+        kept = [{h for h in s if h < bound} for s in sets]
+        hexes = ["".join(f"{h % size:016X}" for h in sorted(k | {min(s)} if s else k)) for s, k in zip(sets, kept, strict=True)]
+        assert [r["fingerprint"], r["edited_fingerprint"]] == hexes[:2]
+        for i, got in ((1, r["near_edited"]), (2, r["near_next"])):
+            exact = lambda a, b: 1.0 if not a and not b else 0.0 if not a or not b else len(a & b) / min(len(a), len(b))
+            rough = min(len(kept[0]), len(kept[i])) >= scaled_sketch.ENOUGH
+            assert np.isclose(got, exact(kept[0], kept[i]) if rough else exact(sets[0], sets[i])) and abs(got - exact(sets[0], sets[i])) < 0.25
+            estimated += rough
+    assert estimated
+
+
 def test_key_ranges(spark):
     keys = [k * k for k in range(500)] + [7] * 300 + [None]
     docs = spark.createDataFrame([(k,) for k in keys], "k long")
