@@ -13,6 +13,7 @@ import json
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ ARROW_ROWS, ARROW_BYTES = 20_000, 8 << 20
 
 
 _local: dict[str, str] = {}
+#: What empties the cache that each operator's tasks keep in a worker.
+_caches: dict[str, Callable[[], None]] = {}
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -205,6 +208,19 @@ def trim_memory() -> None:
         pass
 
 
+def keeps_cache(owner: str, empty: Callable[[], None]) -> None:
+    """Name what empties an operator's cache in this worker."""
+    _caches[owner] = empty
+
+
+def drop_caches(but: str | None = None) -> None:
+    """Empty what tasks of other operators have left in this worker, which Spark uses again for theirs."""
+    for owner, empty in _caches.items():
+        if owner != but:
+            empty()
+    trim_memory()
+
+
 def by_bucket(sent: DataFrame, count: int, judge, kind: str) -> DataFrame:
     """``judge`` (pandas in and out) over all rows of each bucket, which column 0 numbers from 0 to ``count`` - 1.
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import drop_caches, small_batches, stored
 from .token_ids import PieceEncoder, groups_by_size
 
 LENGTH, GROUP = 2048, 30_000
@@ -185,6 +185,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_
     small_batches(docs.sparkSession)
 
     def run(batches):
+        drop_caches(but="pieces")
         encoder = PieceEncoder.of(tokenizer)
         end = np.array([end_id], "<u4")
         for batch, texts in groups_by_size(batches):

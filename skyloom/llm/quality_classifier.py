@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, trim_memory, utf8
+from .common import drop_caches, keeps_cache, small_batches, trim_memory, utf8
 from .token_ids import groups_by_size
 
 WORDS, SHAPES, WIDTH, ONES, SAMPLE, HIDDEN, REMEMBERED = 1 << 14, 1 << 10, 32, 6, 6000, 24, 400_000
@@ -33,6 +33,7 @@ WORDS, SHAPES, WIDTH, ONES, SAMPLE, HIDDEN, REMEMBERED = 1 << 14, 1 << 10, 32, 6
 SHAPE = bytes((97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 57 if 48 <= b <= 57 else b) for b in range(256))
 RUN = re.compile(rb"(.)\1+", re.S)
 _seen: dict[bytes, int] = {}
+keeps_cache("classifier", _seen.clear)
 
 
 def units(text: str | None) -> np.ndarray:
@@ -147,6 +148,7 @@ def predict(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text
         at = docs.columns.index(text)
 
         def mark(batches):
+            drop_caches(but="classifier")
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(batch.column(at).to_pylist(), sent.value), pa.float64())], names=[*[f"c{i}" for i in range(batch.num_columns)], "s"])
             trim_memory()

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, fresh_dir, release_shuffles, remove_dir, small_batches, stored, trim_memory
+from .common import components, discard, drop_caches, fresh_dir, release_shuffles, remove_dir, small_batches, stored, trim_memory
 from .ngram_trie import tokens_of
 from .simhash import masks, signed
 from .suffix_dedup import mixed
@@ -39,6 +39,8 @@ from .token_ids import groups_by_size
 WIDTH, LEAST, RADIUS = 5, (4, 5), 3
 #: Documents that the sample of shingle frequencies has about, and the most shingles that it names.
 SAMPLE, NAMED = 4_000, 200_000
+#: Rows of a prefix batch, about; hashes that a set read counts as besides its own, for what stands around them.
+SENT_ROWS, AROUND = 100_000, 32
 #: A place: number of the task's attempt, and of the set's first word in its file.
 PLACE = 34
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -82,7 +84,8 @@ def write_sets(folder: str, key: str):
     """Over (key, text): (key, sh, n, place, fp) of each document; its set is written to this task's file."""
 
     def run(batches):
-        task, at, part = TaskContext.get().taskAttemptId(), 0, 0
+        drop_caches()
+        task, part = TaskContext.get().taskAttemptId(), 0
         for batch, texts in groups_by_size(batches):
             sets = shingle_sets(texts)
             sizes = np.array([len(s) for s in sets], np.int64)
@@ -112,10 +115,10 @@ class Sets:
             task, rest = place >> PLACE, place & ((1 << PLACE) - 1)
             with self.system.open_input_file(f"{self.path}/{task}-{rest >> 20}.sets") as f:
                 found = np.frombuffer(f.read_at(8 * n, 8 * (rest & ((1 << 20) - 1))), "<u8")
-            if self.held + n > self.most:
+            if self.held + n + AROUND > self.most:
                 self.kept, self.held = {}, 0
             self.kept[place] = found
-            self.held += n
+            self.held += n + AROUND
         return found
 
 
@@ -128,20 +131,31 @@ def prefixes(folder: str, named, least: tuple[int, int]):
     """Over (place, n, label): (h, place, n, label) of the first shingles of each set, the rare ones first."""
 
     def run(batches):
-        sets, (known, often) = Sets(folder), named.value
+        sets, (known, often) = Sets(folder, most=0), named.value  # each is read once
+
+        def flush(held):
+            h, *marks = zip(*held, strict=True)
+            place, n, label = (np.array(x, np.int64) for x in marks)
+            many = np.fromiter(map(len, h), np.int64, len(h))
+            columns = np.concatenate(h).view(np.int64), np.repeat(place, many), np.repeat(n.astype(np.int32), many), np.repeat(label, many)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "place", "n", "label"])
+
+        held, rows = [], 0
         for batch in batches:
-            out = [[], [], [], []]
             for place, n, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = sets.get(place, n)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     s = s[np.argsort(np.where(known[at] == s, often[at], 0), kind="stable")]
-                s = s[: prefix_length(n, least)]
-                for x, y in zip(out, (s, np.full(len(s), place), np.full(len(s), n, np.int32), np.full(len(s), label)), strict=True):
-                    x.append(y)
-            if out[0]:
-                h, *rest = (np.concatenate(x) for x in out)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *map(pa.array, rest)], names=["h", "place", "n", "label"])
+                held.append((s[: prefix_length(n, least)].copy(), place, n, label))  # not a view, which would keep the whole set
+                rows += len(held[-1][0])
+                if rows >= SENT_ROWS:
+                    yield flush(held)
+                    held, rows = [], 0
+        if held:
+            yield flush(held)
+        sets.kept.clear()
+        trim_memory()
 
     return run
 
@@ -219,10 +233,12 @@ def frequent(reps: DataFrame, folder: str, sample: int = SAMPLE) -> tuple[np.nda
     share = max(1, reps.count() // sample)
 
     def run(batches):
-        sets = Sets(folder)
+        sets = Sets(folder, most=0)
         for batch in batches:
             for place, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(sets.get(place, n).view(np.int64))], names=["h"])
+        sets.kept.clear()
+        trim_memory()
 
     drawn = reps.where(F.pmod("sh", F.lit(share)) == 0).select("place", "n").mapInArrow(run, "h long")
     got = drawn.groupBy("h").agg(F.count("*").cast("int").alias("c")).where("c > 1").orderBy(F.desc("c"), "h").limit(NAMED).toPandas()  # NAMED rows at most

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bucket, release_shuffles, sliding, small_batches, stored, trim_memory, utf8
+from .common import by_bucket, drop_caches, release_shuffles, sliding, small_batches, stored, trim_memory, utf8
 
 MATCH, GRAM = 50, 20
 WINDOW = MATCH - GRAM + 1
@@ -185,6 +185,7 @@ def make_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     at_text = docs.columns.index(text)
 
     def run(batches):
+        drop_caches()
         part, made = TaskContext.get().partitionId(), 0
         pack = zstandard.ZstdCompressor(level=3)
         held, size = [], 0

@@ -14,13 +14,14 @@ import os
 
 import numpy as np
 
-from .common import trim_memory, utf8
+from .common import keeps_cache, trim_memory, utf8
 from .spans import distinct_spans
 
 #: Pieces that a worker remembers before it starts anew.
 REMEMBERED = 1_500_000
 
 _made: dict[str, PieceEncoder] = {}
+keeps_cache("pieces", _made.clear)
 
 
 #: Classes of bytes: letters (two-byte letters are letters byte by byte), digits, white space, others, not known here.

@@ -408,6 +408,46 @@ def test_very_long_texts(spark):
     assert {r["doc_id"] for r in shingle_join.deduplicate(docs).collect()} <= set(texts)
 
 
+def test_prefix_batches_are_bounded(tmp_path):
+    """A batch of many large sets gives prefix rows in batches of about ``SENT_ROWS``, the same rows in all, and frees the sets as it goes."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, 2_000, np.uint64)) for _ in range(400)]
+    sizes = np.array([len(x) for x in sets])
+    at = np.cumsum(sizes) - sizes
+    (tmp_path / "7-0.sets").write_bytes(np.concatenate(sets).tobytes())
+    places = (np.int64(7) << shingle_join.PLACE) + at
+    batch = pa.RecordBatch.from_arrays([pa.array(np.tile(places, 20)), pa.array(np.tile(sizes, 20).astype(np.int32)), pa.array(np.tile(places, 20))], names=["place", "n", "label"])
+    often = SimpleNamespace(value=(np.sort(np.concatenate([x[:5] for x in sets])), np.ones(2_000, np.int32)))
+    tracemalloc.start()
+    rows = 0
+    for out in shingle_join.prefixes(str(tmp_path), often, shingle_join.LEAST)([batch]):
+        assert out.num_rows < shingle_join.SENT_ROWS + 2_000
+        rows += out.num_rows
+        assert set(out.column(1).to_pylist()) <= set(places.tolist())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 20 * sum(shingle_join.prefix_length(int(n)) for n in sizes)
+    assert most < 48 << 20  # the whole sets would be 128 MB
+
+
+def test_workers_drop_the_caches_of_other_operators():
+    from skyloom.llm import token_ids
+    from skyloom.llm.common import drop_caches
+
+    quality_classifier.units("some words")
+    encoder = PieceEncoder.of(tokenizer_file(FILE))
+    drop_caches(but="pieces")
+    assert not quality_classifier._seen and PieceEncoder.of(tokenizer_file(FILE)) is encoder
+    quality_classifier.units("some words")
+    drop_caches(but="classifier")
+    assert quality_classifier._seen and not token_ids._made
+
+
 def test_empty_tables(spark):
     import public_tokenizers as P
 
