@@ -63,6 +63,8 @@ class EliasFano:
         self.n, self.low_bits, self.buckets = (int(x) for x in arrays[f"{name}.meta"][:3])
         self.least = arrays[f"{name}.meta"][3:].astype(np.uint64)
         self.low, self.high, self.rank = arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.rank"]
+        #: Eight bytes from every byte on.
+        self.from_byte = np.ndarray(8 * len(self.low) - 7, "<u8", np.ascontiguousarray(self.low).view(np.uint8).data, strides=(1,)) if self.low_bits <= 57 else None
         self.zeros = np.arange(len(self.rank), dtype=np.int64) * 64 - self.rank.astype(np.int64)
 
     @staticmethod
@@ -93,6 +95,9 @@ class EliasFano:
         l = self.low_bits
         if not l:
             return np.zeros(len(i), np.uint64)
+        if self.from_byte is not None:
+            at = i * l
+            return (self.from_byte[at >> 3] >> (at & 7).astype(np.uint64)) & np.uint64((1 << l) - 1)
         at = i.astype(np.uint64) * np.uint64(l)
         word, off = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
         x = self.low[word] >> off
@@ -116,11 +121,32 @@ class EliasFano:
         j = np.searchsorted(self.zeros, k, side="right") - 1
         return j * 64 + self._select(~self.high[j], k - self.zeros[j])
 
+    def bucket_ranges(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First entry of each bucket, and the entry after its last: the zeros before and behind its ones, mostly of one word."""
+        before = np.where(h > 0, self.zero_at(np.maximum(h - 1, 0)), -1)
+        at = before + 1
+        j = at >> 6
+        open_ = ~self.high[j] >> (at & 63).astype(np.uint64)
+        ones = np.bitwise_count(~open_ & (open_ - np.uint64(1))).astype(np.int64)  # up to the next zero
+        far = np.flatnonzero(open_ == 0)
+        if len(far):
+            ones[far] = self.zero_at(h[far]) - at[far]
+        first = at - h
+        return first, first + ones
+
     def access(self, i: np.ndarray) -> np.ndarray:
         j = np.searchsorted(self.rank, i.astype(np.uint64), side="right") - 1
         pos = j * 64 + self._select(self.high[j], i - self.rank[j].astype(np.int64))
         return (((pos - i).astype(np.uint64) << np.uint64(self.low_bits)) | self.lows(i)) + self.least
 
+    def both_ends(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at i and at i + 1; i mostly ascends, and i + 1 is often the next i."""
+        last = np.append(i[1:] != i[:-1] + 1, True)
+        lo = self.access(i).astype(np.int64)
+        hi = np.append(lo[1:], 0)
+        hi[last] = self.access(i[last] + 1).astype(np.int64)
+        return lo, hi
+
     def find(self, x: np.ndarray) -> np.ndarray:
         """Index of each value, or -1: successor search in the bucket of its high bits."""
         out = np.full(len(x), -1, np.int64)
@@ -132,8 +158,11 @@ class EliasFano:
             return out
         h = h[some]
         want = x[some] & np.uint64((1 << self.low_bits) - 1)
-        at = np.where(h > 0, self.zero_at(np.maximum(h - 1, 0)) - np.maximum(h - 1, 0), 0)
-        end = self.zero_at(h) - h
+        # neighbours often share their bucket: its range is looked up once
+        new = np.append(True, h[1:] != h[:-1])
+        own = np.cumsum(new) - 1
+        first, last = self.bucket_ranges(h[new])
+        at, end = first[own], last[own]
         stop, live = end.copy(), np.flatnonzero(at < end)
         while len(live):  # a bucket of a frequent context may hold thousands
             middle = (at[live] + stop[live]) >> 1
@@ -235,7 +264,7 @@ class Trie:
             new = np.append(True, c[1:] != c[:-1])
             own = np.cumsum(new) - 1
             c = c[new]
-            lo, hi = part["pointers"].access(c).astype(np.int64), part["pointers"].access(c + 1).astype(np.int64)
+            lo, hi = part["pointers"].both_ends(c)
             base = np.where(lo > 0, part["codes"].access(np.maximum(lo - 1, 0)) + np.uint64(1), np.uint64(0))
             full = np.flatnonzero((hi > lo)[own])
             at, own = at[full], own[full]
@@ -271,16 +300,18 @@ VALUES = 10.0 ** ((np.arange(256) - 255) * STEP)
 
 def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each distinct token, number of the token at each place, number of tokens of each text): words, then the end."""
-    raw = b"\n".join(utf8(t).lower() for t in texts) + b"\n"
-    x = np.frombuffer(raw, np.uint8)
-    sizes = np.fromiter((len(utf8(t)) + 1 for t in texts), np.int64, len(texts))
-    white = WHITE[x]
-    change = np.flatnonzero(np.diff(np.concatenate([[True], white, [True]]).astype(np.int8)))
+    parts = [utf8(t) for t in texts]
+    raw = (b"\n".join(parts) + b"\n").lower()
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+    white = np.ones(len(raw) + 1, bool)
+    white[1:] = WHITE[np.frombuffer(raw, np.uint8)]
+    change = np.flatnonzero(white[1:] != white[:-1])  # the last byte is white
     start, end = change[0::2], change[1::2]
     first, group = distinct_spans(raw, start, end - start)
     names = [xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-    doc = np.searchsorted(np.cumsum(sizes), start, side="right")
-    many = np.bincount(doc, minlength=len(texts)) + 1
+    words = np.diff(np.searchsorted(start, np.append(0, np.cumsum(sizes))))
+    many = words + 1
+    doc = np.repeat(np.arange(len(texts)), words)
     at = np.full(int(many.sum()), len(names))
     at[np.arange(len(start)) + doc] = group
     return np.append(np.array(names, np.uint64), END), at, many
@@ -367,9 +398,12 @@ def unpacked(both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def walk(trie: Trie, names: np.ndarray, at: np.ndarray, many: np.ndarray, levels: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    """(word number of each token; for each level the number of the n-gram that ends there, and of the one that ends before it; first tokens)."""
-    known = trie.words(names)
+def walk(trie: Trie, known: np.ndarray, at: np.ndarray, many: np.ndarray, levels: int) -> tuple[np.ndarray, list[np.ndarray], list[tuple]]:
+    """(word number of each token; for each level the number of the n-gram that ends before each token; the n-grams looked up).
+
+    ``known`` has the numbers of the distinct words.  From level 2 on the n-grams are
+    (tokens, number of the n-gram of each of these; context and own number of each n-gram).
+    """
     word, end = known[at], known[-1]
     start = np.cumsum(many) - many
 
@@ -379,20 +413,21 @@ def walk(trie: Trie, names: np.ndarray, at: np.ndarray, many: np.ndarray, levels
         out[start] = opening
         return out
 
-    numbers = [word]
-    contexts = [before(word, int(end))]
+    contexts, looked = [before(word, int(end))], []
     for level in range(2, levels + 1):
         context = contexts[-1]
-        if len(word) and max(word.max(), context.max()) < 1 << 32:
-            good = np.flatnonzero((context >= 0) & (word >= 0))
+        good = np.flatnonzero((context >= 0) & (word >= 0))
+        if len(good) and max(int(word.max()), int(context.max())) < 1 << 32:
             some, back = np.unique(packed(context[good], word[good]), return_inverse=True)
-            number = np.full(len(word), -1, np.int64)
-            number[good] = trie.extend(level, *unpacked(some))[back]
+            c, w = unpacked(some)
         else:
-            number = trie.extend(level, context, word)
-        numbers.append(number)
+            c, w, back = context[good], word[good], np.arange(len(good))
+        found = trie.extend(level, c, w)
+        looked.append((good, back, c, found))
+        number = np.full(len(word), -1, np.int64)
+        number[good] = found[back]
         contexts.append(before(number, -1))
-    return word, numbers, contexts, start
+    return word, contexts, looked
 
 
 def count_level(trie: Trie, level: int):
@@ -400,7 +435,7 @@ def count_level(trie: Trie, level: int):
 
     def run(batches):
         for names, at, many in _training(batches):
-            word, _, contexts, _ = walk(trie, names, at, many, level - 1)
+            word, contexts, _ = walk(trie, trie.words(names), at, many, level - 1)
             c = contexts[level - 2]
             good = c >= 0
             if not good.any():
@@ -434,7 +469,7 @@ def level_more(folder: str, level: int, sizes: np.ndarray, mass: int = MASS):
         w = np.concatenate([np.frombuffer(x, "<u4" if len(x) == 4 * m else "<u8").astype(np.int64) for x, m in zip(part["b"], part["n"], strict=True)])
         n = np.concatenate([np.frombuffer(x, np.uint8 if len(x) == m else "<u4").astype(np.int64) for x, m in zip(part["c"], part["n"], strict=True)])
         shard = int(part["shard"].iloc[0])
-        order = np.lexsort((w, c))
+        order = np.argsort(packed(c, w)) if len(w) and int(w.max()) < 1 << 32 else np.lexsort((w, c))
         c, w, n = c[order], w[order], n[order]
         first = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])))
         c, w, n = c[first], w[first], np.add.reduceat(n, first)
@@ -491,9 +526,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
 def score_tokens(trie: Trie, names: np.ndarray, place: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(count, log10 add-one probability, log10 model probability) of each token."""
     order = len(trie.starts)
-    word, numbers, contexts, _ = walk(trie, names, place, many, order)
-    whole = trie.tokens + int(trie.starts[0][-1]) + 1
     distinct = trie.words(names)
+    word, contexts, looked = walk(trie, distinct, place, many, order)
+    whole = trie.tokens + int(trie.starts[0][-1]) + 1
     known = np.flatnonzero(distinct >= 0)
     counts, first = np.zeros(len(names)), np.ones(len(names))
     if len(known):
@@ -502,13 +537,13 @@ def score_tokens(trie: Trie, names: np.ndarray, place: np.ndarray, many: np.ndar
     count, p = counts[place], first[place] / whole
     base = np.log10((counts + 1) / whole)[place]
     for level in range(2, order + 1):
-        c, number = contexts[level - 2], numbers[level - 1]
-        at = np.flatnonzero(c >= 0)
-        if len(at):
-            p[at] *= VALUES[trie.weights(level - 1, c[at])]
-        hit = np.flatnonzero(number >= 0)
+        good, back, c, number = looked[level - 2]
+        more, hit = np.zeros(len(c)), np.flatnonzero(number >= 0)
         if len(hit):
-            p[hit] += VALUES[trie.read(level, "probs", number[hit])]
+            more[hit] = VALUES[trie.read(level, "probs", number[hit])]
+        p[good] = p[good] * VALUES[trie.weights(level - 1, c)][back] + more[back]
+        new = np.flatnonzero((contexts[level - 2] >= 0) & (word < 0))  # a word that no n-gram has
+        p[new] *= VALUES[trie.weights(level - 1, contexts[level - 2][new])]
     return count, base, np.log10(p)
 
 

@@ -408,6 +408,39 @@ def test_very_long_texts(spark):
     assert {r["doc_id"] for r in shingle_join.deduplicate(docs).collect()} <= set(texts)
 
 
+@pytest.mark.parametrize("top", [0, 40, 3_000, 1 << 20, 1 << 62])
+def test_elias_fano_by_plain_search(top):
+    """Lookups of all values, their neighbours and others, with crowded buckets and long empty stretches, in any order."""
+    rng = np.random.default_rng(top % 97)
+    values = np.unique(np.concatenate([rng.integers(0, top + 1, 500, np.uint64), np.arange(300, dtype=np.uint64) + np.uint64(top // 3)]))
+    made = ngram_trie.EliasFano(ngram_trie.EliasFano.build("x", values), "x")
+    asked = np.concatenate([values, values + np.uint64(1), rng.integers(0, top + 99, 2_000, np.uint64)])
+    for x in (asked, np.sort(asked)):
+        at = np.minimum(np.searchsorted(values, x), len(values) - 1)
+        assert (made.find(x) == np.where(values[at] == x, at, -1)).all()
+    i = np.array([0, 1, 2, 7, 8, 3, 3, len(values) - 2])
+    lo, hi = made.both_ends(i)
+    assert (lo == values[i].astype(np.int64)).all() and (hi == values[i + 1].astype(np.int64)).all()
+
+
+def test_ngrams_are_read_once_a_group(spark, monkeypatch):
+    """However often n-grams occur in a group of texts, each is read once at its level; the scores are those of one text alone."""
+    docs = spark.createDataFrame([(k, f"a b c a b d {BASE}") for k in range(20)], "doc_id long, text string")
+    trie = ngram_trie.train(docs)
+    read, weights, asked = ngram_trie.Trie.read, ngram_trie.Trie.weights, []
+    monkeypatch.setattr(ngram_trie.Trie, "read", lambda self, level, name, number: asked.append(len(number)) or read(self, level, name, number))
+    monkeypatch.setattr(ngram_trie.Trie, "weights", lambda self, level, context: asked.append(len(context)) or weights(self, level, context))
+    ngram_trie.score_tokens(trie, *ngram_trie.tokens_of(["a b c a b c a b d"] * 300))
+    assert max(asked) < 20
+    texts = ["a b c a b c a b d"] * 30 + ["a b q a b"] * 20  # with a word that no training text has
+    tokens, at = ngram_trie.tokens_of(texts), 0
+    whole = ngram_trie.score_tokens(trie, *tokens)
+    for t, n in zip(texts, tokens[2].tolist(), strict=True):
+        for x, one in zip(whole, ngram_trie.score_tokens(trie, *ngram_trie.tokens_of([t])), strict=True):
+            assert (x[at : at + n] == one).all()
+        at += n
+
+
 def test_prefix_batches_are_bounded(tmp_path):
     """A batch of many large sets gives prefix rows in batches of about ``SENT_ROWS``, the same rows in all, and frees the sets as it goes."""
     import tracemalloc
