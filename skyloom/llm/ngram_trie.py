@@ -163,13 +163,15 @@ class EliasFano:
         own = np.cumsum(new) - 1
         first, last = self.bucket_ranges(h[new])
         at, end = first[own], last[own]
-        stop, live = end.copy(), np.flatnonzero(at < end)
+        # the last entry that isn't above; most buckets have one at most
+        stop, live = end.copy(), np.flatnonzero(end - at > 1)
         while len(live):  # a bucket of a frequent context may hold thousands
-            middle = (at[live] + stop[live]) >> 1
-            less = self.lows(middle) < want[live]
-            at[live[less]] = middle[less] + 1
-            stop[live[~less]] = middle[~less]
-            live = live[at[live] < stop[live]]
+            lo, hi = at[live], stop[live]
+            middle = (lo + hi) >> 1
+            above = self.lows(middle) > want[live]
+            lo, hi = np.where(above, lo, middle), np.where(above, middle, hi)
+            at[live], stop[live] = lo, hi
+            live = live[hi - lo > 1]
         inside = np.flatnonzero(at < end)
         inside = inside[self.lows(at[inside]) == want[inside]]
         out[some[inside]] = at[inside]
