@@ -62,31 +62,31 @@ class Coder:
     """Encodes and decodes blocks by one frequency table."""
 
     def __init__(self, freq: np.ndarray, precision: int = PRECISION):
-        self.freq, self.bits = freq.astype(np.uint64), np.uint64(precision)
+        # a state is kept below 2**63; a lane sheds 32 bits where x >= freq << room
+        self.freq, self.bits, self.room = freq.astype(np.uint64), np.uint64(precision), np.uint64(63 - precision)
         self.start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
         self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
-        # a state is kept below 2**63; a lane sheds 32 bits where x >= freq << (63 - precision)
-        self.most = self.freq << np.uint64(63 - precision)
 
     def encode(self, ids: np.ndarray, lanes: int | None = None, every: int = EVERY) -> bytes:
         n = len(ids)
+        if (self.freq.take(ids) == 0).any():
+            raise ValueError("an id is not in the frequency table")
         lanes = lanes_for(n) if lanes is None else max(1, min(lanes, n))
         steps = -(-n // lanes)
         state = np.full(lanes, LOW, np.uint64)
         out, marks, held = [], [], 0
         f32 = np.uint64(32)
         for s in range(steps - 1, -1, -1):
-            part = ids[s * lanes : (s + 1) * lanes]
+            part = ids[s * lanes : (s + 1) * lanes].astype(np.int64)
             k = len(part)
-            x, f = state[:k], self.freq[part]
-            if (f == 0).any():
-                raise ValueError("an id is not in the frequency table")
-            shed = np.flatnonzero(x >= self.most[part])
+            x, f = state[:k], self.freq.take(part, mode="clip")
+            shed = np.flatnonzero(x >= f << self.room)
             if len(shed):
                 out.append((x[shed] & np.uint64(0xFFFFFFFF)).astype("<u4")[::-1])
                 held += len(shed)
                 x[shed] >>= f32
-            state[:k] = ((x // f) << self.bits) + x % f + self.start[part]
+            times = x // f
+            state[:k] = (times << self.bits) + (x - times * f) + self.start.take(part, mode="clip")
             if s % every == 0:
                 marks.append((s, held, state.astype("<u8").tobytes()))
         marks.reverse()
@@ -99,19 +99,23 @@ class Coder:
         """``n`` ids from the lanes' states on."""
         lanes, pos = len(state), 0
         out = np.empty(n, np.uint32)
-        mask, low, f32 = np.uint64((1 << int(self.bits)) - 1), np.uint64(LOW), np.uint64(32)
+        # states are below 2**63, and signed numbers serve as indices as they are; none is out of range, and clipping needs no copy
+        state, freq, start, words = state.astype(np.int64), self.freq.view(np.int64), self.start.view(np.int64), words.astype(np.int64)
+        mask = (1 << int(self.bits)) - 1
         for s in range(0, n, lanes):
             k = min(lanes, n - s)
             x = state[:k]
             slot = x & mask
-            sym = self.symbol[slot]
+            sym = self.symbol.take(slot, mode="clip")
             out[s : s + k] = sym
-            x = self.freq[sym] * (x >> self.bits) + slot - self.start[sym]
-            take = np.flatnonzero(x < low)
+            x >>= int(self.bits)
+            x *= freq.take(sym, mode="clip")
+            slot -= start.take(sym, mode="clip")
+            x += slot
+            take = np.flatnonzero(x < LOW)
             if len(take):
-                x[take] = (x[take] << f32) | words[pos : pos + len(take)]
+                x[take] = (x.take(take) << 32) | words[pos : pos + len(take)]
                 pos += len(take)
-            state[:k] = x
         return out
 
     def part(self, read, number: int) -> np.ndarray:
@@ -138,24 +142,30 @@ class Coder:
         return out
 
 
-def crc32_joined(first: int, second: int, size: int) -> int:
-    """crc32 of two strings put together, from the crc32 of each and the second's size in bytes."""
+def _times(matrix: list[int], vector: int) -> int:
+    """A matrix of bits (a number for each bit of the vector) times a vector."""
+    out = 0
+    while vector:
+        low = vector & -vector
+        out ^= matrix[low.bit_length() - 1]
+        vector ^= low
+    return out
 
-    def times(matrix: list[int], vector: int) -> int:
-        out = 0
-        for row in matrix:
-            if vector & 1:
-                out ^= row
-            vector >>= 1
-        return out
 
-    # the effect of a zero bit on the register, then of 2, 4, 8... zero bits, by squaring
-    step = [0xEDB88320] + [1 << k for k in range(31)]
-    for _ in range(3):
-        step = [times(step, row) for row in step]
-    while size:
-        if size & 1:
-            first = times(step, first)
-        step = [times(step, row) for row in step]
-        size >>= 1
+#: What 1, 2, 4, 8... zero bytes do to the register of a crc32, as far as needed yet.
+_zeros: list[list[int]] = []
+
+
+def crc32_joined(first: int, second: int, size: int) -> int:
+    """crc32 of two strings put together, from the crc32 of each and the second's size in bytes."""
+    if not _zeros:
+        step = [0xEDB88320] + [1 << k for k in range(31)]  # a zero bit
+        for _ in range(3):
+            step = [_times(step, row) for row in step]
+        _zeros.append(step)
+    while len(_zeros) < size.bit_length():
+        _zeros.append([_times(_zeros[-1], row) for row in _zeros[-1]])
+    for k in range(size.bit_length()):
+        if size >> k & 1:
+            first = _times(_zeros[k], first)
     return first ^ second

@@ -27,8 +27,8 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -65,7 +65,7 @@ def _placed(batches):
     """Adds the partition and each row's bytes before it there."""
     part, at = TaskContext.get().partitionId(), 0
     for batch in batches:
-        size = np.fromiter((len(x) for x in batch.column(1).to_pylist()), np.int64, batch.num_rows)
+        size = pc.binary_length(batch.column(1)).to_numpy().astype(np.int64)
         ends = at + np.cumsum(size)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(size), part, np.int32)), pa.array(ends - size)], names=["key", "ids", "part", "before"])
         at = int(ends[-1]) if len(ends) else at
@@ -155,10 +155,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_i
     def count(batches):
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, wide), minlength=vocabulary) if len(x) > 4 * vocabulary else 0
-                if len(x) <= 4 * vocabulary:
-                    np.add.at(total, np.frombuffer(x, wide), 1)
+            found = np.frombuffer(b"".join(batch.column(0).to_pylist()), wide)
+            for lo in range(0, len(found), BLOCK_IDS):
+                total += np.bincount(found[lo : lo + BLOCK_IDS], minlength=vocabulary)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["id", "n"])
 
@@ -205,6 +204,25 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_i
     return folder, freq
 
 
+def _joined(batches):
+    """(key, start, n_tokens, ids_crc32) of documents whose parts follow each other in order."""
+    start, done, crc = None, 0, 0
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            if start is None:
+                start, done, crc = row["start"], 0, 0
+            if (row["start"], row["before"]) != (start, done):
+                raise ValueError("a part of a document is missing")
+            crc, done = crc32_joined(crc, row["crc"], 4 * row["here"]), done + row["here"]
+            if done == row["length"]:
+                out.append((row["key"], start, done, crc))
+                start = None
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=["key", "start", "n_tokens", "ids_crc32"])
+    if start is not None:
+        raise ValueError("a part of a document is missing")
+
+
 def read_tokens(spark: SparkSession, folder: str, freq: np.ndarray, key: str = "doc_id") -> DataFrame:
     """(key, start, n_tokens, ids_crc32) of each document in the files."""
     small_batches(spark)
@@ -237,15 +255,7 @@ def read_tokens(spark: SparkSession, folder: str, freq: np.ndarray, key: str = "
     rows = stored(listed.repartition(spread).mapInArrow(decode, "key long, start long, length long, before long, here long, crc long"), "decoded")
     discard(listed)
 
-    def join(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("before")
-        crc = 0
-        for n, c in zip(part["here"].tolist(), part["crc"].tolist(), strict=True):
-            crc = crc32_joined(crc, c, 4 * n)
-        first = part.iloc[:1]
-        return pd.DataFrame({"key": first["key"], "start": first["start"], "n_tokens": first["length"], "ids_crc32": [crc]})
-
     kind = "key long, start long, n_tokens long, ids_crc32 long"
     whole = rows.where("here = length").select("key", "start", F.col("length").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
-    crossing = rows.where("here < length").groupBy("start").applyInPandas(join, kind)  # a document has a row for each of its parts
+    crossing = rows.where("here < length").repartition("start").sortWithinPartitions("start", "before").mapInArrow(_joined, kind)  # a document has a row for each of its parts
     return whole.union(crossing).withColumnRenamed("key", key)

@@ -11,6 +11,7 @@ go to the library whole.
 from __future__ import annotations
 
 import os
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -19,6 +20,8 @@ from .spans import distinct_spans
 
 #: Pieces that a worker remembers before it starts anew.
 REMEMBERED = 1_500_000
+#: Runs of letters in a text that goes to the library: longer texts cost more a piece, as do single pieces.
+TOGETHER = 100
 
 _made: dict[str, PieceEncoder] = {}
 keeps_cache("pieces", _made.clear)
@@ -76,14 +79,12 @@ class PieceEncoder:
     """Texts to little-endian unsigned 16- or 32-bit ids; one per worker and file."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.wide = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.plain = regex.compile(r" ?\p{L}+").fullmatch
         self.line = self.library.encode("\n", add_special_tokens=False).ids
         self.forget()
 
@@ -98,37 +99,47 @@ class PieceEncoder:
         self.known: dict[bytes, int] = {}
         self.at, self.size, self.pool, self.filled = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.wide), 0
 
-    def library_ids(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of each piece.
+    def library_ids(self, runs: list[bytes], others: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one after another, how many each has); ``runs`` are letters, with a blank before them or not.
 
-        Pieces of letters go in one text with a line feed after each: the splitter
-        ends a run of letters there and gives the line feed a token of its own.
+        Runs go in texts of ``TOGETHER`` with a line feed after each: the splitter ends
+        a run of letters there and gives the line feed a token of its own.
         """
-        out: dict[int, np.ndarray] = {}
-        runs = [i for i, p in enumerate(pieces) if self.plain(p)] if len(self.line) == 1 else []
-        if runs:
-            ids = np.array(self.library.encode_batch_fast(["\n".join([pieces[i] for i in runs]) + "\n"], add_special_tokens=False)[0].ids, self.wide)
+        found = []
+        if runs and len(self.line) == 1:
+            texts = [(b"\n".join(runs[i : i + TOGETHER]) + b"\n").decode() for i in range(0, len(runs), TOGETHER)]
+            ids, _ = self.whole_ids(texts)
             ends = np.flatnonzero(ids == self.line[0])
             if len(ends) == len(runs):
-                out = {i: ids[a:b] for i, a, b in zip(runs, [0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True)}
-        rest = [i for i in range(len(pieces)) if i not in out]
-        for i, e in zip(rest, self.library.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, self.wide)
-        return [out[i] for i in range(len(pieces))]
-
-    def learn(self, pieces: list[bytes]) -> None:
-        ids = self.library_ids([p.decode() for p in pieces])
-        n, many = len(self.known), sum(map(len, ids))
-        while n + len(ids) > len(self.at):
+                found.append((np.delete(ids, ends), np.diff(ends, prepend=-1) - 1))
+        found.append(self.whole_ids([p.decode() for p in (others if found else runs + others)]))
+        ids, size = zip(*found, strict=True)
+        return np.concatenate(ids), np.concatenate(size)
+
+    def whole_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, how many each has) by the library."""
+        each = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter(chain.from_iterable(each), self.wide, int(size.sum())), size
+
+    def learn(self, pieces: list[bytes], letters: np.ndarray) -> np.ndarray:
+        """Numbers of pieces that weren't known; ``letters`` marks those that are runs of letters."""
+        order = np.argsort(~letters, kind="stable")
+        pieces, many = [pieces[i] for i in order.tolist()], int(letters.sum())
+        ids, size = self.library_ids(pieces[:many], pieces[many:])
+        n = len(self.known)
+        while n + len(size) > len(self.at):
             self.at, self.size = np.append(self.at, np.zeros_like(self.at)), np.append(self.size, np.zeros_like(self.size))
-        while self.filled + many > len(self.pool):
+        while self.filled + len(ids) > len(self.pool):
             self.pool = np.append(self.pool, np.zeros_like(self.pool))
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.at[n : n + len(ids)] = self.filled + np.cumsum(size) - size
-        self.size[n : n + len(ids)] = size
-        self.pool[self.filled : self.filled + many] = np.concatenate(ids)
-        self.filled += many
-        self.known.update(zip(pieces, range(n, n + len(ids)), strict=True))
+        self.at[n : n + len(size)] = self.filled + np.cumsum(size) - size
+        self.size[n : n + len(size)] = size
+        self.pool[self.filled : self.filled + len(ids)] = ids
+        self.filled += len(ids)
+        self.known.update(zip(pieces, range(n, n + len(size)), strict=True))
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(n, n + len(size))
+        return number
 
     def regular(self, texts: list[bytes]) -> list[bytes]:
         """Ids of texts that hold known characters only, none of them empty."""
@@ -136,16 +147,18 @@ class PieceEncoder:
         raw = np.frombuffer(whole, np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         firsts = np.cumsum(sizes) - sizes
-        start = np.flatnonzero(piece_starts(raw, firsts)[0])
+        mask, kind = piece_starts(raw, firsts)
+        start = np.flatnonzero(mask)
         end = np.append(start[1:], len(raw))
         first, group = distinct_spans(whole, start, end - start)
         pieces = [whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        number = list(map(self.known.get, pieces))
-        fresh = [p for p, k in zip(pieces, number, strict=True) if k is None]
-        if fresh:
-            self.learn(fresh)
-            number = list(map(self.known.get, pieces))
-        number = np.array(number)[group]
+        number = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
+            at = first[fresh]
+            letters = (kind[end[at] - 1] == LETTER) & (raw[start[at]] != 39)  # a mark and letters: a contraction
+            number[fresh] = self.learn([pieces[i] for i in fresh.tolist()], letters)
+        number = number[group]
         size = self.size[number]
         ends = np.cumsum(size)
         ids = self.pool[np.repeat(self.at[number] - ends + size, size) + np.arange(ends[-1])]

@@ -14,6 +14,7 @@ import corpus_pipeline
 from skyloom.llm import byte_bpe, language_id, ngram_trie, packing, quality_classifier, quality_rules, queries, scaled_sketch, shingle_join, simhash, spans, suffix_dedup, token_files
 from skyloom.llm.common import KeyRanges
 from skyloom.llm.queries import tokenizer_file
+from skyloom.llm.rans import Coder, table_of
 from skyloom.llm.token_ids import PieceEncoder
 
 from test_operators import BASE, brute_components, brute_fingerprint
@@ -524,3 +525,63 @@ def test_pipeline_by_brute_force(spark):
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert (g["offset"].to_numpy() == np.cumsum(g["length"]) - g["length"]).all() and g["length"].sum() <= 2048
     assert got["sequence_id"].nunique() <= -(-int(got["length"].sum()) // 2048) + 1
+
+
+class CountedLookups(dict):
+    asked = 0
+
+    def get(self, *a):
+        self.asked += 1
+        return super().get(*a)
+
+
+@pytest.mark.parametrize("count", [1, 99, 100, 101, 1000])
+def test_new_pieces_go_to_the_library_in_short_texts_and_are_looked_up_once(count):
+    """Runs of letters over the bounds of such texts, contractions, digits, signs and letters of two bytes equal the library's ids."""
+    rng = np.random.default_rng(count)
+    letters = list("abcdefghijklmnopqrstuvwxyzéßŒſ")
+    words = ["".join(rng.choice(letters, rng.integers(1, 12))) for _ in range(count)]
+    texts = [" ".join(words), "\n".join(words[::-1]) + "it's they'll 'tis 'S d'été '' 2024 !? \t x  y'", words[0]]
+    for line in (None, [1, 2]):  # a line feed of two ids: no texts of several pieces
+        encoder = PieceEncoder(tokenizer_file(FILE))
+        encoder.line = line or encoder.line
+        encoder.known = CountedLookups()
+        inner, sent = encoder.library, []
+
+        class Library:
+            def encode_batch_fast(self, texts, **options):
+                sent.extend(texts)
+                return inner.encode_batch_fast(texts, **options)  # noqa: B023
+
+        encoder.library = Library()
+        ids = text_ids(encoder, texts)
+        assert ids == library(texts)
+        assert encoder.known.asked == len(encoder.known)
+        assert max(len(t.split("\n")) for t in sent) <= 101 and sum(len(t) for t in sent) <= sum(len(p.decode()) + 1 for p in encoder.known)
+        assert text_ids(encoder, texts[::-1]) == ids[::-1]  # all pieces are known now
+
+
+def test_parts_of_a_document_are_joined_as_they_come(spark, tmp_path):
+    """Documents over several parts, also with null keys and over bounds of Arrow batches; a part that is missing is an error."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    ids = [rng.integers(0, 50, n).astype(np.uint32) for n in (3000, 1, 2500, 700, 4000)]
+    keys, at, rows, want = [None, 3, 4, None, -7], 0, [], []
+    for k, x in zip(keys, ids, strict=True):
+        cuts = np.unique([0, *range(1024 - at % 1024, len(x), 1024), len(x)]).tolist()
+        rows += [{"key": k, "start": at, "length": len(x), "before": a, "here": b - a, "crc": zlib.crc32(x[a:b].tobytes())} for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        want.append((k, at, len(x), zlib.crc32(x.tobytes())))
+        at += len(x)
+    for size in (1, 2, 3, 100):
+        got = [tuple(r.values()) for b in token_files._joined(pa.RecordBatch.from_pylist(rows[i : i + size]) for i in range(0, len(rows), size)) for r in b.to_pylist()]
+        assert got == want
+    for gone in (0, 1, len(rows) - 1):
+        with pytest.raises(ValueError):
+            list(token_files._joined(iter([pa.RecordBatch.from_pylist(rows[:gone] + rows[gone + 1 :])])))
+    freq = table_of(np.bincount(np.concatenate(ids), minlength=50))
+    token_files.write_whole(str(tmp_path), "x.tok", token_files.file_bytes(Coder(freq), 0, keys, ids, block_ids=3000, lanes=8, every=64))
+    read = token_files.read_tokens(spark, str(tmp_path), freq)
+    assert sorted(tuple(r) for r in read.select("start", "n_tokens", "ids_crc32").collect()) == sorted(w[1:] for w in want)
+    assert {r["start"]: r["doc_id"] for r in read.collect()} == {w[1]: w[0] for w in want}
+    assert "FlatMapGroupsInPandas" not in read._jdf.queryExecution().toString()  # no pandas frame for each document
