@@ -37,12 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bucket, fresh_dir, release_shuffles, small_batches, utf8
-from .spans import distinct_spans
+from .spans import distinct_spans, xxh64_spans
 from .token_files import write_whole
 from .token_ids import groups_by_size
 
 #: ``DISCOUNT`` is that of a shard whose counts fit none; ``SHARD`` bytes of text give one shard of words, ``MASS`` occurrences one of n-grams.
 ORDER, DISCOUNT, SHARD, MASS = 3, 0.75, 16 << 20, 3 << 20
+#: Characters of the texts that are counted or scored at once.
+PIECE = 9_000_000
 #: The end token; no word has a line feed in it.
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 #: Quantised logs: code 255 is 0, each step below it STEP.  A word's code is the log of its count and one in steps of WORD_STEP.
@@ -222,6 +224,20 @@ def by_shard(where: np.ndarray):
         yield int(where[part[0]]), part
 
 
+def between(edges: np.ndarray, numbers: np.ndarray):
+    """(k, positions) of each k with numbers from ``edges[k]`` to below ``edges[k + 1]``; slices where the numbers ascend."""
+    if not len(numbers):
+        return
+    if (numbers[1:] >= numbers[:-1]).all():  # few edges are looked up, not all numbers
+        cut = np.searchsorted(numbers, edges[1:])
+        cut[-1] = len(numbers)
+        begin = np.append(0, cut[:-1])
+        for k in np.flatnonzero(cut > begin).tolist():
+            yield k, slice(int(begin[k]), int(cut[k]))
+        return
+    yield from by_shard(np.searchsorted(edges, numbers, side="right") - 1)
+
+
 class Trie:
     """The levels built so far.
 
@@ -256,7 +272,7 @@ class Trie:
         if not len(some):
             return out
         over = self.cuts[level - 1]
-        for s, k in by_shard(np.searchsorted(over, context[some], side="right") - 1):
+        for s, k in between(over, context[some]):
             at = some[k]
             if self.starts[level - 1][s + 1] == self.starts[level - 1][s]:
                 continue
@@ -277,7 +293,7 @@ class Trie:
     def read(self, level: int, name: str, number: np.ndarray) -> np.ndarray:
         """Array ``name`` of a level at entries, which all exist."""
         out = None
-        for s, at in by_shard(np.searchsorted(self.starts[level - 1], number, side="right") - 1):
+        for s, at in between(self.starts[level - 1], number):
             got = self.part(level, s)[name][number[at] - self.starts[level - 1][s]]
             out = np.zeros(len(number), got.dtype) if out is None else out
             out[at] = got
@@ -287,7 +303,7 @@ class Trie:
         """Codes of the back-off weights of contexts of ``level`` towards level + 1."""
         out = np.zeros(len(context), np.uint8)
         over = self.cuts[level]
-        for s, at in by_shard(np.searchsorted(over, context, side="right") - 1):
+        for s, at in between(over, context):
             out[at] = self.part(level + 1, s)["weights"][context[at] - over[s]] if self.starts[level][s + 1] > self.starts[level][s] else 255
         return out
 
@@ -310,13 +326,13 @@ def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     change = np.flatnonzero(white[1:] != white[:-1])  # the last byte is white
     start, end = change[0::2], change[1::2]
     first, group = distinct_spans(raw, start, end - start)
-    names = [xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+    names = xxh64_spans(raw, start[first], (end - start)[first])
     words = np.diff(np.searchsorted(start, np.append(0, np.cumsum(sizes))))
     many = words + 1
     doc = np.repeat(np.arange(len(texts)), words)
     at = np.full(int(many.sum()), len(names))
     at[np.arange(len(start)) + doc] = group
-    return np.append(np.array(names, np.uint64), END), at, many
+    return np.append(names, END), at, many
 
 
 def held_out(keys: list) -> np.ndarray:
@@ -332,19 +348,26 @@ def sent_rows(where: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "n", "a", "b", "c"])
 
 
-def _training(batches, most: int = 6_000_000):
-    """Tokens of the training texts, some millions of characters at a time."""
-    held, size = [], 0
+def _pieces(batches, most: int = PIECE):
+    """(keys, texts) of about ``most`` characters, over the ends of record batches: the n-grams of a piece are looked up once each."""
+    keys, held, size = [], [], 0
     for batch, texts in groups_by_size(batches):
-        out = held_out(batch.column(0).to_pylist())
-        held += [t for t, o in zip(texts, out, strict=True) if not o]
+        keys.append(batch.column(0))
+        held += texts
         size += sum(len(t or "") for t in texts)
         if size >= most:
-            if held:
-                yield tokens_of(held)
-            held, size = [], 0
+            yield pa.chunked_array(keys).combine_chunks(), held
+            keys, held, size = [], [], 0
     if held:
-        yield tokens_of(held)
+        yield pa.chunked_array(keys).combine_chunks(), held
+
+
+def _training(batches):
+    """Tokens of the training texts, a piece at a time."""
+    for keys, texts in _pieces(batches):
+        held = [t for t, o in zip(texts, held_out(keys.to_pylist()), strict=True) if not o]
+        if held:
+            yield tokens_of(held)
 
 
 def count_words(shards: int):
@@ -554,12 +577,12 @@ def score(docs: DataFrame, trie: Trie, key: str = "doc_id", text: str = "text")
     small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch, texts in groups_by_size(batches, 6_000_000):
+        for keys, texts in _pieces(batches):
             names, at, many = tokens_of(texts)
             count, base, model = score_tokens(trie, names, at, many)
             start = np.cumsum(many) - many
             sums = [np.add.reduceat(x, start) for x in ((count > 0).astype(np.int64), base, model)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held_out(batch.column(0).to_pylist())), pa.array(many.astype(np.int64)), pa.array(sums[0]), pa.array(np.full(len(many), trie.tokens)), pa.array(sums[1]), pa.array(sums[2])], names=["k", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(held_out(keys.to_pylist())), pa.array(many.astype(np.int64)), pa.array(sums[0]), pa.array(np.full(len(many), trie.tokens)), pa.array(sums[1]), pa.array(sums[2])], names=["k", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = "k long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, kind).withColumnRenamed("k", key)

@@ -5,6 +5,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -442,6 +443,34 @@ def test_ngrams_are_read_once_a_group(spark, monkeypatch):
         at += n
 
 
+def test_pieces_cross_record_batches():
+    """Texts of small record batches are scored together; no row is lost, and keys stay with their texts."""
+    rows = [(None if k == 5 else k, None if k % 7 == 3 else f"{k} " * 40) for k in range(50)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[a : a + 3]], pa.int64()), pa.array([r[1] for r in rows[a : a + 3]], pa.string())], names=["k", "t"]) for a in range(0, 50, 3)]
+    for most, least_texts in ((1_000, 9), (1 << 30, 50)):
+        pieces = list(ngram_trie._pieces(iter(batches), most))
+        assert [(k, t) for keys, texts in pieces for k, t in zip(keys.to_pylist(), texts, strict=True)] == rows
+        assert all(sum(len(t or "") for t in texts) >= most and len(texts) >= least_texts for _, texts in pieces[:-1])
+    assert len(pieces) == 1 and not list(ngram_trie._pieces(iter([])))
+
+
+def test_word_hashes_and_ranges_by_plain_search():
+    """Hashes of spans of any size and place are the library's; entries fall into the ranges that a search of each names."""
+    rng = np.random.default_rng(5)
+    raw = rng.bytes(5_000)
+    size = np.repeat(np.arange(90), 4)
+    start = rng.integers(0, len(raw) - size + 1)
+    start[-1] = len(raw) - size[-1]
+    assert spans.xxh64_spans(raw, start, size).tolist() == [xxhash.xxh64_intdigest(raw[a : a + n]) for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+    assert len(spans.xxh64_spans(b"", size[:0], size[:0])) == 0
+    edges = np.array([0, 0, 4, 9, 9, 9, 20, 31, 31])  # empty ranges, too
+    for numbers in (rng.integers(0, 31, 200), np.sort(rng.integers(0, 31, 200)), np.array([4, 9]), np.array([30]), np.zeros(0, np.int64)):
+        got = np.full(len(numbers), -1)
+        for k, at in ngram_trie.between(edges, numbers):
+            got[at] = k
+        assert (got == np.searchsorted(edges, numbers, side="right") - 1).all()
+
+
 def test_prefix_batches_are_bounded(tmp_path):
     """A batch of many large sets gives prefix rows in batches of about ``SENT_ROWS``, the same rows in all, and frees the sets as it goes."""
     import tracemalloc
